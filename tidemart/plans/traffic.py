@@ -9,6 +9,7 @@ from tidemart.operators import keywords, logs
 from tidemart.operators.bounce import bounces
 from tidemart.operators.dedup import first_per_day
 from tidemart.operators.sets import union_all
+from tidemart.operators.visitors import daily_visits, is_returning
 from tidemart.operators.windows import DELAY, LATE_DELAY, WINDOW, sums, to_metrics, tumble
 from tidemart.sources.text import parse_logs
 from tidemart.streaming.ordered import (

@@ -71,7 +71,7 @@ def log_text(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         F.when(is_kind("error"), F.struct(k.alias("error_code"))).alias("err"),
         ms.alias("ts"),
     )
-    return events.select(F.to_json(record).alias("value"), *keep)
+    return _texts(events, [F.to_json(record)], keep)
 
 
 def _change(table: str, kind: str, ts: Column, data: dict[str, Column], old: dict[str, Column] | None = None) -> Column:
@@ -86,8 +86,11 @@ def _change(table: str, kind: str, ts: Column, data: dict[str, Column], old: dic
 
 
 def _feed(df: DataFrame, kinds: Sequence[str], makers: dict[str, Callable[[], Column]], keep: Sequence[str]) -> DataFrame:
-    texts = F.array(*(makers[k]() for k in kinds))
-    return df.select(F.explode(texts).alias("value"), *keep).filter(F.col("value").isNotNull())
+    return _texts(df, [makers[k]() for k in kinds], keep).filter(F.col("value").isNotNull())
+
+
+def _texts(df: DataFrame, texts: Sequence[Column], keep: Sequence[str]) -> DataFrame:
+    return df.select(F.explode(F.array(*texts)).alias("value"), *keep)
 
 
 def order_text(orders: DataFrame, kinds: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -230,15 +233,12 @@ def event_text(events: DataFrame, kinds: Sequence[str], keep: Sequence[str] = ()
 
 def table_text(df: DataFrame, table: str, columns: dict[str, str]) -> DataFrame:
     """Every row of a small master table as a bootstrap change event; `columns` maps field -> column."""
-    return df.select(
-        F.to_json(
-            F.struct(
-                F.lit(DATABASE).alias("database"), F.lit(table).alias("table"),
-                F.lit("bootstrap-insert").alias("type"), F.lit(0).cast("bigint").alias("ts"),
-                F.struct(*(_text(c).alias(n) for n, c in columns.items())).alias("data"),
-            )
-        ).alias("value")
+    record = F.struct(
+        F.lit(DATABASE).alias("database"), F.lit(table).alias("table"),
+        F.lit("bootstrap-insert").alias("type"), F.lit(0).cast("bigint").alias("ts"),
+        F.struct(*(_text(c).alias(n) for n, c in columns.items())).alias("data"),
     )
+    return _texts(df, [F.to_json(record)], ())
 
 
 def dictionary_of(df: DataFrame, code: str, name: str) -> DataFrame:

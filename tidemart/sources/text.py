@@ -17,12 +17,13 @@ def is_json_object(text: Column | str) -> Column:
 def parse_json(df: DataFrame, value_col: str, schema: T.StructType, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(good, dirty): parsed fields of well-formed records, and the raw text of all others.
 
-    Null and blank values belong to neither.
+    Null and blank values belong to neither. The parsed record leaves through a generator, where
+    later filters on its fields cannot be pushed below it: each text is parsed into fields once.
     """
     some = df.filter(F.trim(value_col) != "")
     good = some.filter(is_json_object(value_col)).select(
-        F.from_json(value_col, schema).alias("__r"), *keep
-    ).select("__r.*", *keep)
+        F.inline(F.array(F.from_json(value_col, schema))), *keep
+    )
     return good, some.filter(~is_json_object(value_col)).select(value_col, *keep)
 
 
