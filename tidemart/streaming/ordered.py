@@ -1,8 +1,11 @@
 """Per-key stateful operators on streams.
 
-Every operator here replays a key's rows in event-time order: rows wait in state until the watermark
-passes them, then meet the rule in (time, order) sequence. Results therefore equal those of
-the batch twin for any arrival order the watermark allows.
+Operators that return whole rows replay them in event-time order: rows wait in state until the
+watermark passes them, then meet the rule in (time, order) sequence. Results equal those of the
+batch twin for any arrival order the watermark allows. As they lie behind the watermark by then, they
+go to a sink, and the next job reads that sink as a stream of its own.
+
+`daily_visits_stream` feeds window sums in the same query and so answers at once.
 """
 
 from __future__ import annotations
@@ -72,15 +75,16 @@ class OrderedReplay(StatefulProcessor):
         out.extend(self.on_time(mark * 1000))
         rest = times[len(due)] if len(due) < len(times) else None
         deadlines = [t for t in (rest, self.next_deadline()) if t is not None]
-        self._arm(min(deadlines, default=None))
+        self._arm(min(deadlines, default=None), fired=expiredTimerInfo.getExpiryTimeInMs())
         if out:
             yield self._frame(key, out)
 
-    def _arm(self, micros: int | None) -> None:
+    def _arm(self, micros: int | None, fired: int = -1) -> None:
         if micros is None:
             return
         at = _ceil_ms(micros)
-        live = [t for t in self.handle.listTimers()]
+        # A timer is still listed while its own callback runs.
+        live = [t for t in self.handle.listTimers() if t > fired]
         if live and min(live) <= at:
             return
         for t in live:
@@ -90,7 +94,6 @@ class OrderedReplay(StatefulProcessor):
     def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(
             {
-                "ts": pd.to_datetime([r[0] for r in out], unit="us", utc=True),
                 "payload": [r[1] for r in out],
                 "result": pd.array([r[2] for r in out], dtype="object"),
             }
@@ -123,19 +126,63 @@ class FirstDay(_Days):
         return [(micros, payload, self.first.get()[0])]
 
 
-class DayVisits(_Days):
-    """Lets the first row of a key on each day through; the result is the day visited before."""
+class FirstOfDay(_Days):
+    """Lets the first row of a key on each day through."""
 
     def begin(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "day string")
 
     def on_row(self, micros: int, payload: str, flag: str | None) -> list[tuple]:
-        last = self.last.get()[0] if self.last.exists() else None
         day = self.day(micros)
-        if day == last:
+        if self.last.exists() and self.last.get()[0] == day:
             return []
         self.last.update((day,))
-        return [(micros, payload, last)]
+        return [(micros, payload, None)]
+
+
+class DayVisits(StatefulProcessor):
+    """First visit of a key on each day, as it arrives, with the day visited before.
+
+    Only key and time reach it, and a batch is cut to one time per day before state is read. State
+    is the last day and the one before it, enough to place rows that are late across midnight.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.days = handle.getValueState("days", "last string, before string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        firsts: dict[str, int] = {}
+        for pdf in rows:
+            for day, us in pdf.groupby("day")["us"].min().items():
+                firsts[day] = min(us, firsts.get(day, us))
+        last, before = self.days.get() if self.days.exists() else (None, None)
+        out = []
+        for day in sorted(firsts):
+            if day in (last, before):
+                continue
+            if last is None or day > last:
+                out.append((firsts[day], day, last))
+                last, before = day, last
+            else:
+                # The day is new but older than the last: not a first-ever visit, not a return.
+                out.append((firsts[day], day, before or day))
+                before = max(before or day, day)
+        if not out:
+            return
+        self.days.update((last, before))
+        # Rows the watermark has overtaken since they came in count at the watermark.
+        floor = timerValues.getCurrentWatermarkInMs() * 1000
+        yield pd.DataFrame(
+            {
+                "key": [key[0]] * len(out),
+                "rt": pd.to_datetime([max(r[0], floor) for r in out], unit="us", utc=True),
+                "day": [r[1] for r in out],
+                "previous_day": pd.array([r[2] for r in out], dtype="object"),
+            }
+        )
+
+    def close(self) -> None:
+        pass
 
 
 class Bounce(OrderedReplay):
@@ -190,20 +237,12 @@ def _replay(
     out = slim.groupBy("__key").transformWithStateInPandas(
         statefulProcessor=processor,
         outputStructType=T.StructType(
-            [
-                T.StructField("ts", T.TimestampType()),
-                T.StructField("payload", T.StringType()),
-                T.StructField("result", T.StringType()),
-            ]
+            [T.StructField("payload", T.StringType()), T.StructField("result", T.StringType())]
         ),
         outputMode="append",
         timeMode="EventTime",
-        eventTimeColumnName="ts",
     )
-    row = out.select(F.col("ts").alias("__ts"), F.from_json("payload", schema, _TIME).alias("__r"), F.col("result").alias("__result"))
-    # The event-time column must be the operator's own output to carry the watermark on.
-    cols = [F.col("__ts").alias(ts) if c == ts else F.col("__r")[c].alias(c) for c in df.columns]
-    return row.select(*cols, "__result")
+    return out.select(F.inline(F.array(F.from_json("payload", schema, _TIME))), F.col("result").alias("__result"))
 
 
 def _zone(df: DataFrame) -> str:
@@ -219,13 +258,38 @@ def repair_is_new_stream(df: DataFrame, key: str, ts: str, flag: str, order: Seq
 
 def first_per_day_stream(df: DataFrame, key: str, ts: str, order: Sequence[str] = ()) -> DataFrame:
     """Streaming twin of `first_per_day`: one date of state per key."""
-    return daily_visits_stream(df, key, ts, order).drop("day", "previous_day")
+    return _replay(df, key, ts, order, F.lit(None).cast("string"), FirstOfDay(_zone(df))).drop("__result")
+
 
+def daily_visits_stream(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """Streaming twin of `daily_visits`: `key`, first `ts` of each day, `day` and `previous_day`.
 
-def daily_visits_stream(df: DataFrame, key: str, ts: str, order: Sequence[str] = ()) -> DataFrame:
-    """Streaming twin of `daily_visits`: first row of each key and day with `day` and `previous_day`."""
-    out = _replay(df, key, ts, order, F.lit(None).cast("string"), DayVisits(_zone(df)))
-    return out.withColumn("day", F.to_date(ts)).withColumn("previous_day", F.to_date("__result")).drop("__result")
+    Answers with each micro-batch and keeps `ts` as event time for a window sum to follow.
+    """
+    key_type = df.schema[key].dataType
+    slim = df.select(
+        F.to_json(F.struct(key)).alias("__key"), F.col(ts).alias("__rt"),
+        F.unix_micros(ts).alias("us"), F.date_format(ts, "yyyy-MM-dd").alias("day"),
+    )
+    out = slim.groupBy("__key").transformWithStateInPandas(
+        statefulProcessor=DayVisits(),
+        outputStructType=T.StructType(
+            [
+                T.StructField("key", T.StringType()),
+                T.StructField("rt", T.TimestampType()),
+                T.StructField("day", T.StringType()),
+                T.StructField("previous_day", T.StringType()),
+            ]
+        ),
+        outputMode="append",
+        timeMode="EventTime",
+        eventTimeColumnName="rt",
+    )
+    parsed = F.from_json("key", T.StructType([T.StructField(key, key_type)]))
+    return out.select(
+        parsed[key].alias(key), F.col("rt").alias(ts), F.to_date("day").alias("day"),
+        F.to_date("previous_day").alias("previous_day"),
+    )
 
 
 def bounces_stream(
