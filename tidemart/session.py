@@ -32,6 +32,13 @@ def build_session(app: str = "tidemart", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the settings above to a session built elsewhere; all of them can change at run time."""
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under `spark.checkpoint.dir`.
 
