@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,7 +15,8 @@ PAYMENT_HORIZON = 905.0
 
 
 def _interval(seconds: float) -> Column:
-    return F.make_dt_interval(secs=F.lit(seconds).cast("decimal(18,6)"))
+    # A plain literal: Spark reads it off the condition to know when join state can go.
+    return F.lit(timedelta(microseconds=round(seconds * 1_000_000)))
 
 
 def bounded_join(
