@@ -273,10 +273,14 @@ def latest_lines(details: DataFrame, columns: list[str], order: tuple[str, ...]
 
 
 def order_window(details: DataFrame, size: str = WINDOW, version: bool = True, order: tuple[str, ...] = ()) -> DataFrame:
-    """Ordering users of the day, first-time buyers, and order amounts."""
+    """Ordering users of the day, first-time buyers, and order amounts.
+
+    Versions of a line differ in amounts only: buyers are read off all of them, in parallel.
+    """
     lines = latest_lines(
-        details, ["user_id", "split_activity_amount", "split_coupon_amount", "split_original_amount"], order, size
+        details, ["split_activity_amount", "split_coupon_amount", "split_original_amount"], order, size
     )
+    buys = details.select("user_id", parse_time("create_time").alias("rt")).withWatermark("rt", DELAY)
     users = {"order_unique_user_count": 0, "order_new_user_count": 0}
     zero = F.lit(0.0)
     money = {"order_activity_reduce_amount": zero, "order_coupon_reduce_amount": zero, "order_origin_total_amount": zero}
@@ -290,7 +294,7 @@ def order_window(details: DataFrame, size: str = WINDOW, version: bool = True, o
         },
     )
     buyers = to_metrics(
-        _visits(lines.select("user_id", "rt"), "user_id"), "rt", {},
+        _visits(buys, "user_id"), "rt", {},
         {"order_unique_user_count": 1, "order_new_user_count": is_first_ever(), **money},
     )
     return tumble(union_all(amounts, buyers), "rt", size, sums(*users, *money), version=version)

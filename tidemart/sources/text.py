@@ -8,10 +8,24 @@ from tidemart import schemas
 
 
 def is_json_object(text: Column | str) -> Column:
-    """Strict JSON with an object at the top."""
+    """Strict JSON, one object and nothing after it.
+
+    The parser stops at the end of the first value, so the text is parsed inside brackets, where a
+    tail breaks the syntax or makes a second element. A tail that closes the bracket itself fails
+    inside braces; only text that could hold one is parsed a second time.
+    """
     text = F.col(text) if isinstance(text, str) else text
-    opens = F.ltrim(text, F.lit(" \t\r\n")).startswith("{")
-    return F.coalesce(opens & F.try_parse_json(text).isNotNull(), F.lit(False))
+    bare = F.trim(text, F.lit(" \t\r\n"))
+    listed = F.try_parse_json(F.concat(F.lit("["), bare, F.lit("]")))
+    alone = F.size(listed.cast("array<variant>")) == 1
+    braced = F.try_parse_json(F.concat(F.lit('{"v":'), bare, F.lit("}"))).isNotNull()
+    valid = (
+        F.when(~(bare.startswith("{") & bare.endswith("}")), False)
+        .when(~F.coalesce(alone, F.lit(False)), False)
+        .when(bare.rlike(r"\}\s*\]"), braced)
+        .otherwise(True)
+    )
+    return F.coalesce(valid, F.lit(False))
 
 
 def parse_json(df: DataFrame, value_col: str, schema: T.StructType, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
