@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemart.session import tune
+from tidemart.session import tune, work_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,27 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+_layers: dict[tuple[str, str, str], str] = {}
+
+
+def layer_path(t: Tables, name: str, write: Callable[[str], None]) -> str:
+    """Where a layer of the warehouse is stored, written on first use.
+
+    As in a running warehouse, a layer is worked out once from the whole tables and read by all jobs
+    above it. It lives in the session's shared folder and lasts as long as the application.
+    """
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _layers:
+        path = work_dir(t.spark, name)
+        write(path)
+        _layers[key] = path
+    return _layers[key]
+
+
+def layer(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return t.spark.read.parquet(layer_path(t, name, lambda path: build().write.parquet(path)))
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Register a function of `Tables`, under its own name, with its SQL."""
 

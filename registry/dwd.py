@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from registry import Tables, query
+from registry import Tables, layer, layer_path, query
+from tidemart.operators.logs import split_log
 from tidemart.operators.sets import union_all
 from tidemart.plans import dim, tools, trade, traffic
 from tidemart.schemas import DIM_CONFIG
 from tidemart.sources import feeds
-from tidemart.sources.text import parse_changes
+from tidemart.sources.text import parse_changes, parse_logs, store_changes, stored_changes
 
 # The log records behind `feeds.log_text`, flat; `is_new` as sent, `fixed` as repaired.
 LOGS = """
@@ -41,7 +42,13 @@ uj AS (
 
 
 def page_logs(t: Tables) -> DataFrame:
-    return traffic.split_raw_logs(feeds.log_text(t.events, ["event_id"]), order=("event_id",))["page"]
+    """The page log as stored by the log job."""
+    return layer(t, "detail-page", lambda: log_kinds(t)["page"])
+
+
+def log_kinds(t: Tables) -> dict[str, DataFrame]:
+    parsed = layer(t, "raw-log", lambda: parse_logs(feeds.log_text(t.events, ["event_id"]), keep=("event_id",)))
+    return split_log(traffic.repair_logs(parsed, ("event_id",)))
 
 
 def visitor_rows(pages: DataFrame) -> DataFrame:
@@ -57,7 +64,7 @@ WITH {LOGS}
 SELECT event_id, mid, fixed AS is_new, vc, ch, ar, uid, page_id, last_page_id, k AS during_time, ms AS ts FROM pages
 """)
 def detail_page_log(t: Tables) -> DataFrame:
-    return page_logs(t).select(
+    return log_kinds(t)["page"].select(
         "event_id", *(F.col("common")[c].alias(c) for c in ("mid", "is_new", "vc", "ch", "ar", "uid")),
         "page.page_id", "page.last_page_id", "page.during_time", "ts",
     )
@@ -72,7 +79,7 @@ UNION ALL SELECT 'start', event_id, '{"entry":"icon"}', NULL, ms FROM a WHERE ki
 UNION ALL SELECT 'error', event_id, '{"error_code":' || k || '}', NULL, ms FROM a WHERE kind = 'error'
 """)
 def detail_side_logs(t: Tables) -> DataFrame:
-    kinds = traffic.split_raw_logs(feeds.log_text(t.events, ["event_id"]), order=("event_id",))
+    kinds = log_kinds(t)
 
     def rows(kind: str, what: str, item: str | None = None) -> DataFrame:
         text = F.col(item) if item else F.lit(None).cast("string")
@@ -101,14 +108,31 @@ def dictionary(t: Tables) -> DataFrame:
     return feeds.dictionary_of(t.nation, "n_nationkey", "n_name")
 
 
+def _stored(t: Tables, name: str, *feed: DataFrame) -> DataFrame:
+    path = layer_path(t, name, lambda path: store_changes(parse_changes(union_all(*feed)), path))
+    return stored_changes(t.spark, path)
+
+
 def order_changes(t: Tables) -> DataFrame:
-    raw = union_all(
-        feeds.order_text(t.orders, ["placed", "status"]), feeds.line_text(t.lineitem, ["line", "activity", "coupon"])
+    """All change events around orders."""
+    return _stored(
+        t, "raw-order",
+        feeds.order_text(t.orders, ["placed", "status", "payment", "coupon_get", "coupon_order", "coupon_pay"]),
+        feeds.line_text(t.lineitem, ["line", "activity", "coupon", "refund", "payout"]),
     )
-    return parse_changes(raw)
+
+
+def action_changes(t: Tables) -> DataFrame:
+    """All change events of user actions."""
+    return _stored(t, "raw-action", feeds.event_text(t.events, ["cart", "favor", "comment", "user"]))
 
 
 def pre_processed(t: Tables) -> DataFrame:
+    """Pre-processed order lines as stored by their job."""
+    return layer(t, "detail-pre", lambda: _pre_process(t))
+
+
+def _pre_process(t: Tables) -> DataFrame:
     return trade.order_pre_process(order_changes(t), dictionary(t), feeds.DATABASE)
 
 
@@ -156,7 +180,7 @@ PLACED = _FACT.format("date_id", "create_time", "create_time")
 
 @query(f"WITH {LINES} SELECT * FROM pre")
 def detail_order_pre_process(t: Tables) -> DataFrame:
-    return pre_processed(t).drop("old", "row_op_ts")
+    return _pre_process(t).drop("old", "row_op_ts")
 
 
 @query(f"WITH {LINES} SELECT {PLACED} FROM pre WHERE type = 'insert'")
@@ -184,8 +208,7 @@ pd AS (
 
 
 def paid_lines(t: Tables) -> DataFrame:
-    pays = parse_changes(feeds.order_text(t.orders, ["payment"]))
-    return trade.payment_detail(pays, trade.order_detail(pre_processed(t)), dictionary(t), feeds.DATABASE)
+    return trade.payment_detail(order_changes(t), trade.order_detail(pre_processed(t)), dictionary(t), feeds.DATABASE)
 
 
 @query(f"WITH {LINES}, {PAID} SELECT * FROM pd")
@@ -194,8 +217,7 @@ def detail_payment(t: Tables) -> DataFrame:
 
 
 def refunds(t: Tables) -> DataFrame:
-    raw = union_all(feeds.line_text(t.lineitem, ["refund"]), feeds.order_text(t.orders, ["status"]))
-    return trade.order_refund(parse_changes(raw), dictionary(t), feeds.DATABASE)
+    return trade.order_refund(order_changes(t), dictionary(t), feeds.DATABASE)
 
 
 REFUNDS = f"""
@@ -231,8 +253,7 @@ JOIN nation ON p.l_suppkey % 30 = n_nationkey
 WHERE p.l_linestatus = 'F' AND o_orderstatus = 'O'
 """)
 def detail_refund_payment(t: Tables) -> DataFrame:
-    raw = union_all(feeds.line_text(t.lineitem, ["refund", "payout"]), feeds.order_text(t.orders, ["status"]))
-    return trade.refund_payment(parse_changes(raw), dictionary(t), feeds.DATABASE).drop("row_op_ts")
+    return trade.refund_payment(order_changes(t), dictionary(t), feeds.DATABASE).drop("row_op_ts")
 
 
 CARTS = """
@@ -249,7 +270,7 @@ cart AS (
 
 
 def carts(t: Tables) -> DataFrame:
-    return trade.cart_add(parse_changes(feeds.event_text(t.events, ["cart"])), dictionary(t), feeds.DATABASE)
+    return trade.cart_add(action_changes(t), dictionary(t), feeds.DATABASE)
 
 
 @query(f"WITH {CARTS} SELECT * FROM cart")
@@ -264,11 +285,7 @@ _COUPON = """CAST(o_orderkey AS VARCHAR) AS id, CAST(o_orderkey % 10 AS VARCHAR)
 SELECT {_COUPON}, strftime(o_orderdate, '%Y-%m-%d') AS date_id, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS get_time FROM orders
 """)
 def detail_coupon_get(t: Tables) -> DataFrame:
-    return tools.coupon_get(_coupons(t), feeds.DATABASE)
-
-
-def _coupons(t: Tables) -> DataFrame:
-    return parse_changes(feeds.order_text(t.orders, ["coupon_get", "coupon_order", "coupon_pay"]))
+    return tools.coupon_get(order_changes(t), feeds.DATABASE)
 
 
 _USED = f"""{_COUPON}, CAST(o_orderkey AS VARCHAR) AS order_id, strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d') AS date_id,
@@ -277,12 +294,12 @@ strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS"""
 
 @query(f"SELECT {_USED} order_time FROM orders WHERE o_orderstatus = 'F'")
 def detail_coupon_order(t: Tables) -> DataFrame:
-    return tools.coupon_order(_coupons(t))
+    return tools.coupon_order(order_changes(t))
 
 
 @query(f"SELECT {_USED} payment_time FROM orders WHERE o_orderstatus = 'O'")
 def detail_coupon_pay(t: Tables) -> DataFrame:
-    return tools.coupon_pay(_coupons(t))
+    return tools.coupon_pay(order_changes(t))
 
 
 _ACTION = """CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS sku_id"""
@@ -291,11 +308,7 @@ _WHEN = "strftime(ts, '%Y-%m-%d') AS date_id, strftime(ts, '%Y-%m-%d %H:%M:%S')
 
 @query(f"SELECT {_ACTION}, {_WHEN} FROM events WHERE event_type = 'view'")
 def detail_favor_add(t: Tables) -> DataFrame:
-    return tools.favor_add(_actions(t))
-
-
-def _actions(t: Tables) -> DataFrame:
-    return parse_changes(feeds.event_text(t.events, ["favor", "comment", "user"]))
+    return tools.favor_add(action_changes(t))
 
 
 @query(f"""
@@ -303,11 +316,11 @@ SELECT {_ACTION}, CAST(event_id AS VARCHAR) AS order_id, {_WHEN}, CAST(CAST(json
 FROM events JOIN nation ON CAST(json_extract(props, '$.k') AS BIGINT) % 30 = n_nationkey WHERE event_type = 'click'
 """)
 def detail_comment(t: Tables) -> DataFrame:
-    return tools.comment(_actions(t), dictionary(t))
+    return tools.comment(action_changes(t), dictionary(t))
 
 
 def registers(t: Tables) -> DataFrame:
-    return tools.user_register(_actions(t))
+    return tools.user_register(action_changes(t))
 
 
 @query(f"SELECT CAST(event_id AS VARCHAR) AS user_id, {_WHEN} FROM events WHERE event_type = 'signup'")

@@ -90,6 +90,10 @@ def _feed(df: DataFrame, kinds: Sequence[str], makers: dict[str, Callable[[], Co
 
 
 def _texts(df: DataFrame, texts: Sequence[Column], keep: Sequence[str]) -> DataFrame:
+    """Build texts, on all cores where a small table comes as fewer splits than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not df.isStreaming and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
     return df.select(F.explode(F.array(*texts)).alias("value"), *keep)
 
 

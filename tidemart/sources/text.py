@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidemart import schemas
 
@@ -12,7 +12,7 @@ def is_json_object(text: Column | str) -> Column:
 
     The parser stops at the end of the first value, so the text is parsed inside brackets, where a
     tail breaks the syntax or makes a second element. A tail that closes the bracket itself fails
-    inside braces; only text that could hold one is parsed a second time.
+    inside braces; only text with a closing bracket is parsed a second time.
     """
     text = F.col(text) if isinstance(text, str) else text
     bare = F.trim(text, F.lit(" \t\r\n"))
@@ -22,7 +22,7 @@ def is_json_object(text: Column | str) -> Column:
     valid = (
         F.when(~(bare.startswith("{") & bare.endswith("}")), False)
         .when(~F.coalesce(alone, F.lit(False)), False)
-        .when(bare.rlike(r"\}\s*\]"), braced)
+        .when(bare.contains("]"), braced)
         .otherwise(True)
     )
     return F.coalesce(valid, F.lit(False))
@@ -50,6 +50,18 @@ def parse_changes(df: DataFrame, value_col: str = "value", keep: tuple[str, ...]
     return parse_json(df, value_col, schemas.CHANGE, keep)[0].withColumn("pt", F.current_timestamp())
 
 
+def store_changes(changes: DataFrame, path: str) -> None:
+    """Keep parsed change events as files, a partition per source table.
+
+    Jobs that read several tables of one topic then parse it once and each skip the other tables.
+    """
+    changes.select(*schemas.CHANGE.names).write.partitionBy("table").parquet(path)
+
+
+def stored_changes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(schemas.CHANGE).parquet(path).withColumn("pt", F.current_timestamp())
+
+
 def parse_config_changes(df: DataFrame, value_col: str = "value") -> DataFrame:
     return parse_json(df, value_col, schemas.CONFIG_CHANGE)[0]
 
