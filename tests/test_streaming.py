@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows_of, run, stream_of
 from tidemart.operators.bounce import bounces
-from tidemart.operators.dedup import first_per_day, latest_in_window
+from tidemart.operators.dedup import first_per_day, first_within, latest_in_window
 from tidemart.operators.visitors import daily_visits, repair_is_new
 from tidemart.operators.windows import sums, tumble, tumble_distinct
 from tidemart.streaming.ordered import (
@@ -117,3 +117,11 @@ def test_distinct_count_without_sets(spark, folder):
     want = tumble_distinct(batch, *args, version=False)
     got = run(spark, folder, tumble_distinct(stream, *args, version=False))
     assert rows_of(_no_end(got)) == rows_of(_no_end(want))
+
+
+def test_first_within_drops_repeats(spark, folder):
+    t0 = 1_700_000_000_000
+    batches = [[("a", t0, "x", 1)], [("a", t0 + 900, "y", 2), ("b", t0 + 900, "x", 3)], [("end", FAR, "0", -1)]]
+    stream = stream_of(spark, folder, batches, SCHEMA).withColumn("rt", F.timestamp_millis("ms"))
+    got = run(spark, folder, first_within(stream, ["k"], "rt", "10 seconds"))
+    assert rows_of(_no_end(got), "k", "n") == [("a", 1), ("b", 3)]

@@ -86,11 +86,12 @@ def order_pre_process(
         ),
         "activity_ts",
     )
-    # The dictionary join drops lines first, so that the wide joins after it move fewer rows.
-    named = lookup(lines, dictionary, "source_type", "source_type_name")
-    joined = bounded_join(named, orders, [("order_id", "info_id")], "inner", "line_ts", "info_ts", h)
+    # The dictionary join drops lines first. Activity and coupon share the line id and so one shuffle
+    # of the lines; the order join, which repeats a line for every event of its order, comes last.
+    joined = lookup(lines, dictionary, "source_type", "source_type_name")
     joined = bounded_join(joined, activities, [("id", "activity_line")], "left", "line_ts", "activity_ts", h)
     joined = bounded_join(joined, coupons, [("id", "coupon_line")], "left", "line_ts", "coupon_ts", h)
+    joined = bounded_join(joined, orders, [("order_id", "info_id")], "inner", "line_ts", "info_ts", h)
     return joined.select(
         "id", "order_id", "user_id", "order_status", "sku_id", "sku_name", "province_id",
         "activity_id", "activity_rule_id", "coupon_id", date_id("create_time").alias("date_id"),

@@ -11,14 +11,19 @@ go to a sink, and the next job reads that sink as a stream of its own.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+# Processors travel to the workers by value, which need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
