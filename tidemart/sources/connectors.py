@@ -36,7 +36,7 @@ def read_kafka_json(
     return parse_json(read_kafka(spark, servers, topic, starting, **extra), "value", schema, ("partition", "offset"))[0]
 
 
-def read_kafka_changes(spark: SparkSession, servers: str, topic: str = "topic_db", starting: str = "latest") -> DataFrame:
+def read_kafka_changes(spark: SparkSession, servers: str, topic: str, starting: str = "latest") -> DataFrame:
     return parse_changes(read_kafka(spark, servers, topic, starting), keep=("partition", "offset"))
 
 
@@ -53,7 +53,7 @@ def read_jdbc(
     return camel_names(df) if to_camel else df
 
 
-def read_dictionary(spark: SparkSession, options: dict[str, str], table: str = "base_dic") -> DataFrame:
+def read_dictionary(spark: SparkSession, options: dict[str, str], table: str) -> DataFrame:
     """The code dictionary; a streaming join re-reads it with every micro-batch."""
     return read_jdbc(spark, options, table=table).select(*schemas.DICTIONARY.names)
 
