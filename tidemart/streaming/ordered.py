@@ -25,6 +25,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_FRAME_ROWS = 10_000
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
@@ -57,15 +58,17 @@ class OrderedReplay(StatefulProcessor):
         return None
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        fresh: dict[int, list] = {}
+        earliest = None
         for pdf in rows:
+            fresh: dict[int, list] = {}
             for us, order, payload, flag in zip(pdf["us"], pdf["ord"], pdf["payload"], pdf["flag"]):
                 fresh.setdefault(int(us), []).append([order, payload, flag])
-        for us, new in fresh.items():
-            if self.waiting.containsKey((us,)):
-                new = json.loads(self.waiting.getValue((us,))[0]) + new
-            self.waiting.updateValue((us,), (json.dumps(new),))
-        self._arm(min(fresh, default=None))
+            for us, new in fresh.items():
+                if self.waiting.containsKey((us,)):
+                    new = json.loads(self.waiting.getValue((us,))[0]) + new
+                self.waiting.updateValue((us,), (json.dumps(new),))
+            earliest = min([*fresh, *([] if earliest is None else [earliest])], default=None)
+        self._arm(earliest)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -77,12 +80,15 @@ class OrderedReplay(StatefulProcessor):
             for _, payload, flag in sorted(json.loads(self.waiting.getValue((us,))[0]), key=lambda r: r[0]):
                 out.extend(self.on_row(us, payload, flag))
             self.waiting.removeKey((us,))
+            if len(out) >= _FRAME_ROWS:
+                yield self._frame(out)
+                out = []
         out.extend(self.on_time(mark * 1000))
         rest = times[len(due)] if len(due) < len(times) else None
         deadlines = [t for t in (rest, self.next_deadline()) if t is not None]
         self._arm(min(deadlines, default=None), fired=expiredTimerInfo.getExpiryTimeInMs())
         if out:
-            yield self._frame(key, out)
+            yield self._frame(out)
 
     def _arm(self, micros: int | None, fired: int = -1) -> None:
         if micros is None:
@@ -96,7 +102,7 @@ class OrderedReplay(StatefulProcessor):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(at)
 
-    def _frame(self, key, out: list[tuple]) -> pd.DataFrame:
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(
             {
                 "payload": [r[1] for r in out],
