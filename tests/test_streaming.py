@@ -125,3 +125,11 @@ def test_first_within_drops_repeats(spark, folder):
     stream = stream_of(spark, folder, batches, SCHEMA).withColumn("rt", F.timestamp_millis("ms"))
     got = run(spark, folder, first_within(stream, ["k"], "rt", "10 seconds"))
     assert rows_of(_no_end(got), "k", "n") == [("a", 1), ("b", 3)]
+
+
+def test_ties_go_by_value(spark, folder):
+    t0 = 1_700_000_000_000
+    batches = [[("a", t0, "x", 10), ("a", t0, "y", 9)], [("b", t0, "x", None), ("b", t0, "y", 3)], [("end", FAR, "0", -1)]]
+    stream = _timed(stream_of(spark, folder, batches, SCHEMA))
+    got = run(spark, folder, first_per_day_stream(stream, "k", "rt", ["n"]))
+    assert rows_of(_no_end(got), "k", "n") == [("a", 9), ("b", None)]

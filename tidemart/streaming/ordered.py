@@ -29,6 +29,11 @@ _FRAME_ROWS = 10_000
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
+def _rank(row: list) -> list:
+    """Order of rows at one instant: by value, NULLs first."""
+    return [(v is not None, v) for v in json.loads(row[0]).values()]
+
+
 def _ceil_ms(micros: int) -> int:
     return -(-micros // 1000)
 
@@ -77,7 +82,7 @@ class OrderedReplay(StatefulProcessor):
         due = [us for us in times if _ceil_ms(us) <= mark]
         out: list[tuple] = []
         for us in due:
-            for _, payload, flag in sorted(json.loads(self.waiting.getValue((us,))[0]), key=lambda r: r[0]):
+            for _, payload, flag in sorted(json.loads(self.waiting.getValue((us,))[0]), key=_rank):
                 out.extend(self.on_row(us, payload, flag))
             self.waiting.removeKey((us,))
             if len(out) >= _FRAME_ROWS:
@@ -241,7 +246,7 @@ def _replay(
         F.col(key).alias("__key"),
         F.col(ts).alias("__rt"),
         F.unix_micros(ts).alias("us"),
-        F.to_json(F.struct(*order)).alias("ord") if order else F.lit("").alias("ord"),
+        F.to_json(F.struct(*order), {"ignoreNullFields": "false"}).alias("ord") if order else F.lit("{}").alias("ord"),
         flag.alias("flag"),
         F.to_json(F.struct(*df.columns), _TIME).alias("payload"),
     )

@@ -79,7 +79,8 @@ class DimensionStore:
         newest = rows.groupBy("sink_table", "pk").agg(
             F.max_by(F.struct("data", "version", "arrival"), F.struct("version", "arrival")).alias("r")
         )
-        newest.select("sink_table", "pk", "r.*").write.mode("overwrite").partitionBy("sink_table").parquet(
+        even = newest.select("sink_table", "pk", "r.*").hint("rebalance", F.col("sink_table"))
+        even.write.mode("overwrite").partitionBy("sink_table").parquet(
             f"{self.path}/{_BATCH}={batch_id}"
         )
 
