@@ -12,8 +12,8 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     # A join of all texts with some of their ids drops most texts before the shuffle, whatever their size.
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
-    # A file of few rows with long texts still fans out: its size, not its row count, deals the splits.
-    "spark.sql.files.minPartitionNum": "1",
+    # A state store per partition must not reserve disk it does not need.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
