@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
@@ -40,7 +41,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     """Bytes of all rows and the offset of each; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    column = column.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -101,7 +102,7 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
 
 def slices(batch: pa.RecordBatch | pa.Table, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch | pa.Table]:
     """The batch in runs of rows of about `most` bytes of text, at least one row each."""
-    sizes = np.frombuffer(pa.compute.fill_null(pa.compute.binary_length(batch[text]), 0).cast(pa.int64()).to_numpy(zero_copy_only=False), np.int64)
+    sizes = np.frombuffer(pc.fill_null(pc.binary_length(batch[text]), 0).cast(pa.int64()).to_numpy(zero_copy_only=False), np.int64)
     total, at = np.cumsum(sizes), 0
     while at < len(sizes):
         to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
