@@ -9,7 +9,8 @@
    A digest with different bytes below it (a collision) is settled by bytes instead.
 
 Of equal texts the row with the largest id stays; of rows that also share the id, one stays. A null id is
-smaller than any other. An empty table gives no rows. Other columns are not read.
+smaller than any other. An empty table gives no rows. Other columns are not read. Rows are numbered alike in every
+scan of a stored table, which the input must be.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemart.llm.session import lower_ascii, prepared, stored, table
+from tidemart.llm.session import lower_ascii, numbered, prepared, stored, table
 from tidemart.session import work_dir
 
 FILES_PER_BATCH = 64
@@ -46,7 +47,7 @@ def _streamed_state(spark: SparkSession, prints: DataFrame, folder: str, files:
 def dedup(
     docs: DataFrame, id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, files: int = FILES_PER_BATCH,
 ) -> DataFrame:
-    """Per row: id, keep_id, group_size, kept, text_sha256, and the locators of the row and of the one that stays."""
+    """Per row: row number, id, keep_id, group_size, kept, text_sha256, and the locators of the row and of the one that stays."""
     spark = prepared(docs.sparkSession)
     folder = work_dir(spark, "exact-dedup")
     source = docs.select(F.col(id).cast("long").alias("id"), lower_ascii(F.col(text)).alias("norm"))
@@ -66,7 +67,7 @@ def dedup(
     plain = rows.join(clashes, "digest", "left_anti") if clashes.take(1) else rows
     hit = F.col("n").isNotNull()
     out = plain.select(
-        F.col("id").alias("doc_id"), F.when(hit, F.col("best.id")).otherwise(F.col("id")).alias("keep_id"),
+        "seq", F.col("id").alias("doc_id"), F.when(hit, F.col("best.id")).otherwise(F.col("id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         F.when(hit, F.col("best.seq") == F.col("seq")).otherwise(F.lit(True)).alias("kept"), "text_sha256",
         "locator", F.when(hit, F.col("best.locator")).otherwise(F.col("locator")).alias("keep_locator"),
@@ -76,22 +77,21 @@ def dedup(
 
 def _by_bytes(docs: DataFrame, id: str, text: str, digest: Callable[[Column], Column], clashes: DataFrame) -> DataFrame:
     """The answer for digests that different texts share."""
-    rows = docs.select(F.col(id).cast("long").alias("id"), lower_ascii(F.col(text)).alias("norm"), F.input_file_name().alias("locator"))
+    rows = docs.select(F.col(id).cast("long").alias("id"), lower_ascii(F.col(text)).alias("norm"), F.monotonically_increasing_id().alias("seq"), F.input_file_name().alias("locator"))
     rows = rows.withColumn("digest", digest(F.col("norm"))).join(clashes, "digest")
     group = Window.partitionBy("norm")
-    ranked = group.orderBy(F.col("id").desc_nulls_last())
+    ranked = group.orderBy(F.col("id").desc_nulls_last(), F.col("seq").desc())
     return rows.select(
-        F.col("id").alias("doc_id"), F.max("id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"),
+        "seq", F.col("id").alias("doc_id"), F.max("id").over(group).alias("keep_id"), F.count("*").over(group).alias("group_size"),
         (F.row_number().over(ranked) == 1).alias("kept"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
         "locator", F.first("locator").over(ranked).alias("keep_locator"),
     )
 
 
 def kept_rows(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, columns unchanged, without their copies. Ids must be unique, as after an earlier stage."""
-    gone = dedup(docs, id, text).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    gone = stored(gone, "exact-gone")
-    return docs.join(gone, docs[id].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents, columns unchanged, without their copies."""
+    gone = stored(dedup(docs, id, text).filter(~F.col("kept")).select("seq"), "exact-gone")
+    return numbered(docs).join(gone, "seq", "left_anti").select("row.*")
 
 
 def op4(spark: SparkSession, folder: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemart.llm import words as W
 from tidemart.llm.components import components
-from tidemart.llm.session import prepared, stored, table
+from tidemart.llm.session import numbered, prepared, stored, table
 
 SHINGLE = 4
 PERCENT = 85
@@ -359,21 +359,24 @@ class Join:
         return with_x.select("x", "y", "text_x", "text_y").sortWithinPartitions("x").mapInArrow(_verify(self.k, self.percent), "a long, b long")
 
     def classes(self) -> DataFrame:
-        """seq, id, size, root: the smallest row number of the component, and its smallest id."""
+        """seq, id, size, the component's smallest id and number of rows, and whether the row is its first by id."""
         roots = components(self.links.union(self.copies))
         rows = self.docs.join(roots, self.docs["seq"] == roots["node"], "left").withColumn("root", F.coalesce("root", "seq")).select("seq", "id", "size", "root")
         rows = stored(rows, "join-classes")
-        least = rows.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("members")).filter("members > 1")
-        return rows.join(least.select("root", "component_id", "members"), "root", "left").select(
-            "seq", "id", "size", "root", F.coalesce("component_id", "id").alias("component_id"), F.coalesce("members", F.lit(1)).alias("members")
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "seq")).alias("first")
+        groups = rows.groupBy("root").agg(first, F.count("*").alias("members")).filter("members > 1")
+        joined = rows.join(groups, "root", "left")
+        single = F.col("members").isNull()
+        return joined.select(
+            "seq", "id", "size", F.when(single, F.col("id")).otherwise(F.col("first.id")).alias("component_id"),
+            F.coalesce("members", F.lit(1)).alias("members"), (single | (F.col("first.seq") == F.col("seq"))).alias("first"),
         )
 
 
 def kept_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents, columns unchanged, with the one of smallest id left of each component. Ids must be unique, as after an earlier stage."""
-    gone = Join(docs, id, text, k, percent).classes().filter(~F.col("id").eqNullSafe(F.col("component_id")))
-    gone = stored(gone.select(F.col("id").alias("_gone")), "join-gone")
-    return docs.join(gone, docs[id].eqNullSafe(gone["_gone"]), "left_anti")
+    """The documents, columns unchanged, with the one of smallest id left of each component."""
+    gone = stored(Join(docs, id, text, k, percent).classes().filter(~F.col("first")).select("seq"), "join-gone")
+    return numbered(docs).join(gone, "seq", "left_anti").select("row.*")
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:

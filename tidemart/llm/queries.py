@@ -15,9 +15,11 @@ from tidemart.llm.packing import op5
 from tidemart.llm.quality import SQL3, op3
 from tidemart.llm.secrets import op10
 from tidemart.llm.substrings import SQL7, op7
+from tidemart.llm.toxicity import op2
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_raked_mixing": op1,
+    "op2_subsequence_toxicity": op2,
     "op3_quality_ledger": op3,
     "op4_streaming_exact_dedup": op4,
     "op5_binary_packing": op5,

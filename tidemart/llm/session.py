@@ -35,6 +35,11 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """`row` and `seq`: the rows of a stored table, numbered alike in every scan."""
+    return docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("seq"))
+
+
 WHITE = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
