@@ -28,8 +28,8 @@ from tidemart.session import work_dir
 
 LIMIT = 4096
 END = 2
-#: Words a worker remembers; beyond it forgets all and starts anew.
-REMEMBERED = 200_000
+#: Words of a generation; a worker remembers two.
+REMEMBERED = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -40,18 +40,37 @@ def pieces(n: int, limit: int = LIMIT) -> list[int]:
 
 
 class Words(dict):
-    """Ids of words as little-endian 32-bit bytes; a word without white space is encoded like in its text."""
+    """Ids of words as little-endian 32-bit bytes; a word without white space is encoded like in its text.
+
+    Full stops and commas behind a letter or digit are words of their own to the tokenizer, so they are
+    cut off and only the rest is remembered. Words not met since the last change of generation are forgotten.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self) + len(words) > REMEMBERED:
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode("utf-8", "replace")
+            # Up to U+024F lower case is one letter for one and composes with nothing, so it may come first too.
+            if max(text) < "\u0250" and "<|" not in text and text != text.lower():
+                return self[text.lower().encode()]
+            core = text.rstrip(".,")
+            if len(core) < len(text) and core and core[-1] < "\u0250" and (core[-1].isalpha() or core[-1] in "0123456789"):
+                ids = self[core.encode()] + self[text[len(core) :].encode()]
+                if len(core) <= 4:
+                    self[word] = ids
+                return ids
+            ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
-            self[word] = np.asarray(e.ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
 
 @cache
@@ -59,19 +78,11 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
-def encode(texts: list[bytes], known: Words) -> Iterator[bytes]:
-    for text in texts:
-        words = text.split()
-        new = {w for w in words if w not in known}
-        if new:
-            known.learn(list(new))
-            if len(new) < len(words):
-                # What was forgotten meanwhile is encoded again.
-                missing = {w for w in words if w not in known}
-                if missing:
-                    for w in missing:
-                        known[w] = np.asarray(known.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        yield b"".join([known[w] for w in words])
+def encode(text: bytes, known: Words) -> bytes:
+    # The tokenizer lower-cases; doing it first only brings more equal words. A special token's string must stay as it is.
+    if text.isascii() and b"<|" not in text:
+        text = text.lower()
+    return b"".join(map(known.__getitem__, text.split()))
 
 
 def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", limit: int = LIMIT, end: int = END) -> DataFrame:
@@ -84,8 +95,8 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", lim
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, starts, lengths, sums, totals = [], [], [], [], []
-                for doc, tokens in zip(part["id"].to_pylist(), encode([t or b"" for t in part["text"].to_pylist()], known)):
-                    tokens += last
+                for doc, text in zip(part["id"].to_pylist(), part["text"].to_pylist()):
+                    tokens = encode(text or b"", known) + last
                     total, at = len(tokens) // 4, 0
                     for n in pieces(total, limit):
                         ids.append(doc)
