@@ -17,6 +17,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +43,19 @@ def pieces(n: int, limit: int = LIMIT) -> list[int]:
 class Words(dict):
     """Ids of words as little-endian 32-bit bytes; a word without white space is encoded like in its text.
 
-    Full stops and commas behind a letter or digit are words of their own to the tokenizer, so they are
-    cut off and only the rest is remembered. Words not met since the last change of generation are forgotten.
+    Marks behind the last letter or digit are one word of their own to the tokenizer, so they are cut off and
+    remembered apart. Words not met since the last change of generation are forgotten.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
+        # Byte-level vocabularies write printable bytes as they are and number the others from 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173]
+        others = [b for b in range(256) if b not in set(plain)]
+        self.letters = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
         self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -57,15 +63,20 @@ class Words(dict):
         if ids is None:
             text = word.decode("utf-8", "replace")
             # Up to U+024F lower case is one letter for one and composes with nothing, so it may come first too.
-            if max(text) < "\u0250" and "<|" not in text and text != text.lower():
+            if text and max(text) < "\u0250" and "<|" not in text and text != text.lower():
                 return self[text.lower().encode()]
-            core = text.rstrip(".,")
-            if len(core) < len(text) and core and core[-1] < "\u0250" and (core[-1].isalpha() or core[-1] in "0123456789"):
+            core = text.rstrip(punctuation)
+            if len(core) < len(text) and core and "<|" not in text and core[-1] < "\u0250" and (core[-1].isalpha() or core[-1] in "0123456789"):
                 ids = self[core.encode()] + self[text[len(core) :].encode()]
                 if len(core) <= 4:
                     self[word] = ids
                 return ids
-            ids = np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if text.isalpha() and max(text) < "\u0250":
+                # One run of letters: only the merges are left to do, on the letters that stand for its bytes.
+                found = [t.id for t in self.merges.tokenize(text if text.isascii() else "".join([self.letters[b] for b in word]))]
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = np.asarray(found, "<u4").tobytes()
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
