@@ -335,7 +335,7 @@ UNION ALL SELECT 'dirty', NULL, CAST(count(*) AS VARCHAR) FROM documents
 """)
 def dimension_router(t: Tables) -> DataFrame:
     """Two master tables routed by a config feed whose later row wins; free text is dirty."""
-    config_feed = t.nation.filter("n_nationkey < 2").select(
+    config_feed = t.nation.select(
         F.explode(
             F.array(
                 F.to_json(F.struct(_config("nation", "dim_province", "id,name").alias("after"), F.col("n_nationkey").alias("ts_ms"))),

@@ -148,17 +148,18 @@ def catalog(t: Tables) -> dict[str, DataFrame]:
             F.substring("p_type", 1, 1).alias("category2_id"),
         ),
         "category2": part.select(F.substring("p_type", 1, 1).alias("id")).distinct().select(
-            "id", F.concat(F.lit("c2 "), "id").alias("name"), F.when(F.col("id") < "M", "1").otherwise("2").alias("category1_id")
+            "id", F.concat(F.lit("c2 "), "id").alias("name"), F.when(F.col("id") < "M", "1").otherwise("30").alias("category1_id")
         ),
-        "category1": t.nation.filter("n_nationkey = 1").select(
+        # No nation has number 30: half of the products have no name at this level.
+        "category1": t.nation.select(
             text("n_nationkey").alias("id"), F.lower("n_name").alias("name")
         ),
     }
 
 
-_NAMES = """trademark_id, 'tm ' || trademark_id AS trademark_name, c1 AS category1_id, (SELECT lower(n_name) FROM nation WHERE c1 = '1' AND n_nationkey = 1) AS category1_name,
+_NAMES = """trademark_id, 'tm ' || trademark_id AS trademark_name, c1 AS category1_id, (SELECT lower(n_name) FROM nation WHERE CAST(n_nationkey AS VARCHAR) = c1) AS category1_name,
 c2 AS category2_id, 'c2 ' || c2 AS category2_name, category3_id, 'c3 ' || category3_id AS category3_name"""
-_LEVELS = "SELECT *, left(category3_id, 1) AS c2, CASE WHEN left(category3_id, 1) < 'M' THEN '1' ELSE '2' END AS c1 FROM g"
+_LEVELS = "SELECT *, left(category3_id, 1) AS c2, CASE WHEN left(category3_id, 1) < 'M' THEN '1' ELSE '30' END AS c1 FROM g"
 
 
 @query(f"""

@@ -390,10 +390,10 @@ def refund_window(t: Tables) -> DataFrame:
 @query("""
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS date_id,
        CAST(CAST(l_quantity AS DECIMAL(16,2)) * CAST(l_extendedprice AS DECIMAL(16,2)) AS VARCHAR) AS split_original_amount,
-       a.p_brand AS activity, c.s_name AS coupon, n_name AS source_name
+       a.quality AS activity, c.item_id AS coupon, n_name AS source_name
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-LEFT JOIN (SELECT * FROM part WHERE p_size > 25) a ON l_partkey = a.p_partkey
-LEFT JOIN (SELECT * FROM supplier WHERE s_acctbal > 3000) c ON l_suppkey = c.s_suppkey
+LEFT JOIN labels a ON l_partkey = a.doc_id
+LEFT JOIN benchmark c ON l_suppkey = c.item_id
 JOIN nation ON l_suppkey % 30 = n_nationkey
 """)
 def order_preprocess_join(t: Tables) -> DataFrame:
@@ -404,14 +404,9 @@ def order_preprocess_join(t: Tables) -> DataFrame:
     )
     lines = lookup(lines, feeds.dictionary_of(t.nation, "n_nationkey", "n_name"), "source", "source_name")
     joined = bounded_join(lines, t.orders.select("o_orderkey", "o_custkey", "o_orderdate"), [("l_orderkey", "o_orderkey")])
-    joined = bounded_join(
-        joined, t.part.filter("p_size > 25").select("p_partkey", F.col("p_brand").alias("activity")),
-        [("l_partkey", "p_partkey")], "left",
-    )
-    joined = bounded_join(
-        joined, t.supplier.filter("s_acctbal > 3000").select("s_suppkey", F.col("s_name").alias("coupon")),
-        [("l_suppkey", "s_suppkey")], "left",
-    )
+    # Labels and benchmark items cover some of the numbers only, so both joins leave rows unmatched.
+    joined = bounded_join(joined, t.labels.select("doc_id", F.col("quality").alias("activity")), [("l_partkey", "doc_id")], "left")
+    joined = bounded_join(joined, t.benchmark.select("item_id", F.col("item_id").alias("coupon")), [("l_suppkey", "item_id")], "left")
     return joined.select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "o_custkey",
         F.date_format("o_orderdate", times.DAY).alias("date_id"), product_text("num", "price").alias("split_original_amount"),
@@ -493,8 +488,8 @@ def interval_join_full(t: Tables) -> DataFrame:
 
 def _variant(how: str) -> str:
     return (
-        f"SELECT '{how}' AS how, count(*) AS n, count(c_custkey) AS customers, count(o_orderkey) AS orders, "
-        f"CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM c {how} JOIN o ON c_custkey = o_custkey"
+        f"SELECT '{how}' AS how, count(*) AS n, count(page_id) AS pages, count(doc_id) AS labels, "
+        f"CAST(sum(doc_id) AS BIGINT) AS key_sum FROM pages {how} JOIN labels ON page_id = doc_id"
     )
 
 
@@ -502,18 +497,16 @@ _HOWS = ("inner", "left", "right", "full")
 
 
 @query(
-    "WITH c AS (SELECT * FROM customer WHERE c_acctbal > 2000), o AS (SELECT * FROM orders WHERE o_orderstatus <> 'P') "
-    + " UNION ALL ".join(_variant(h) for h in _HOWS)
+    " UNION ALL ".join(_variant(h) for h in _HOWS)
 )
 def outer_join_variants(t: Tables) -> DataFrame:
-    customers = t.customer.filter("c_acctbal > 2000").select("c_custkey")
-    orders = t.orders.filter("o_orderstatus <> 'P'").select("o_orderkey", "o_custkey")
+    """Two whole tables whose numbers overlap in part, so every kind of join has unmatched rows."""
+    pages, labels = t.pages.select("page_id"), t.labels.select("doc_id")
     return union_all(
         *(
-            bounded_join(customers, orders, [("c_custkey", "o_custkey")], how).agg(
-                F.count("*").alias("n"), F.count("c_custkey").alias("customers"), F.count("o_orderkey").alias("orders"),
-                F.sum("o_orderkey").alias("key_sum"),
-            ).select(F.lit(how).alias("how"), "n", "customers", "orders", "key_sum")
+            bounded_join(pages, labels, [("page_id", "doc_id")], how).agg(
+                F.count("*").alias("n"), F.count("page_id").alias("pages"), F.count("doc_id").alias("labels"), F.sum("doc_id").alias("key_sum"),
+            ).select(F.lit(how).alias("how"), "n", "pages", "labels", "key_sum")
             for how in _HOWS
         )
     )

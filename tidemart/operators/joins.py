@@ -98,7 +98,7 @@ def interval_join(
 
 def time_bucket(micros: Column, width: int) -> Column:
     """Number of the bucket of `width` microseconds, in exact integer arithmetic."""
-    return ((micros - F.pmod(micros, F.lit(width))) / F.lit(width)).cast("bigint")
+    return F.call_function("div", micros - F.pmod(micros, F.lit(width)), F.lit(width))
 
 
 def _micros(ts: str) -> Column:

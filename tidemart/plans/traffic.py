@@ -34,12 +34,11 @@ def fan_out_raw_logs(raw: DataFrame, value_col: str = "value", order: tuple[str,
 def repair_logs(parsed: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
     if not parsed.isStreaming:
         return logs.repair_visitors(parsed, order)
-    flat = (
-        _timed(parsed, DELAY)
-        .withColumn("__mid", F.coalesce("common.mid", F.lit("")))
-        .withColumn("__flag", F.when(F.col("common.mid").isNotNull(), F.col("common.is_new")))
-    )
-    return logs.with_flag(repair_is_new_stream(flat, "__mid", "rt", "__flag", order), "__flag").select(*parsed.columns)
+    known = F.col("common.mid").isNotNull()
+    flat = _timed(parsed.filter(known), DELAY).withColumns({"__mid": F.col("common.mid"), "__flag": F.col("common.is_new")})
+    repaired = logs.with_flag(repair_is_new_stream(flat, "__mid", "rt", "__flag", order), "__flag")
+    # Records without a device have no history to be held against: they pass by the state.
+    return union_all(repaired.select(*parsed.columns), parsed.filter(~known))
 
 
 def _timed(pages: DataFrame, delay: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -42,10 +43,13 @@ def tune(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under `spark.checkpoint.dir`.
 
-    On a cluster that setting names storage all executors share. Only where it is unset
-    (local runs and tests) a machine-local folder takes its place.
+    On a cluster that setting names storage all executors share, and must be set. Only a session
+    that runs in one process (local runs and tests) may do with a machine-local folder instead.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder all executors share; the master is {master!r}")
         root = os.path.join(tempfile.gettempdir(), "tidemart-work")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -44,12 +44,18 @@ def jdbc_options(url: str, user: str, password: str, driver: str, **extra: str)
     return {"url": url, "user": user, "password": password, "driver": driver, **extra}
 
 
+def jdbc_source(table: str | None = None, query: str | None = None) -> str:
+    """A query goes in brackets where a table stands: the `query` option excludes partitioned reads."""
+    if (table is None) == (query is None):
+        raise ValueError("give a table or a query")
+    return table if table is not None else f"({query}) AS source"
+
+
 def read_jdbc(
     spark: SparkSession, options: dict[str, str], table: str | None = None, query: str | None = None, to_camel: bool = False
 ) -> DataFrame:
     """A table or a query; pass partitionColumn, bounds and numPartitions in `options` for a parallel read."""
-    target = {"dbtable": table} if table else {"query": query}
-    df = spark.read.format("jdbc").options(**options, **target).load()
+    df = spark.read.format("jdbc").options(**options, dbtable=jdbc_source(table, query)).load()
     return camel_names(df) if to_camel else df
 
 

@@ -12,8 +12,10 @@ from __future__ import annotations
 
 import json
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta, timezone
+from itertools import groupby
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -24,14 +26,14 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 # Processors travel to the workers by value, which need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 _FRAME_ROWS = 10_000
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
-def _rank(row: list) -> list:
+def _rank(order: str) -> list:
     """Order of rows at one instant: by value, NULLs first."""
-    return [(v is not None, v) for v in json.loads(row[0]).values()]
+    return [(v is not None, v) for v in json.loads(order).values()]
 
 
 def _ceil_ms(micros: int) -> int:
@@ -39,61 +41,64 @@ def _ceil_ms(micros: int) -> int:
 
 
 class OrderedReplay(StatefulProcessor):
-    """Buffers (micros -> rows) per key and drains it up to the watermark.
+    """Holds the rows of a key until the watermark passes them, then meets the rule with them in order.
 
-    One timer per key is live at a time, at the earliest moment anything is due. Subclasses give
-    `begin` (open state), `on_row` and, where silence matters, `on_time`.
+    State is read once and written once at most per key and callback: the waiting rows as one text, and the
+    rule's own value of type `VALUE`. One timer per key is live at a time, at the earliest moment anything is due.
+    Subclasses give `on_row` and, where silence matters, `on_time` and `next_deadline`; each takes the value and
+    those that may change it return it.
     """
 
+    VALUE = ""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "us bigint", "rows string")
-        self.begin(handle)
-
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        raise NotImplementedError
+        self.waiting = handle.getValueState("waiting", "rows string")
+        self.kept = handle.getValueState("kept", self.VALUE)
 
-    def on_row(self, micros: int, payload: str, flag: str | None) -> list[tuple]:
+    def on_row(self, value: tuple | None, micros: int, payload: str, flag: str | None, out: list[tuple]) -> tuple | None:
         raise NotImplementedError
 
-    def on_time(self, watermark_us: int) -> list[tuple]:
-        return []
+    def on_time(self, value: tuple | None, watermark_us: int, out: list[tuple]) -> tuple | None:
+        return value
 
-    def next_deadline(self) -> int | None:
+    def next_deadline(self, value: tuple | None) -> int | None:
         return None
 
+    def _rows(self) -> list[list]:
+        return json.loads(self.waiting.get()[0]) if self.waiting.exists() else []
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        earliest = None
+        held = self._rows()
+        at = len(held)
         for pdf in rows:
-            fresh: dict[int, list] = {}
-            for us, order, payload, flag in zip(pdf["us"], pdf["ord"], pdf["payload"], pdf["flag"]):
-                fresh.setdefault(int(us), []).append([order, payload, flag])
-            for us, new in fresh.items():
-                if self.waiting.containsKey((us,)):
-                    new = json.loads(self.waiting.getValue((us,))[0]) + new
-                self.waiting.updateValue((us,), (json.dumps(new),))
-            earliest = min([*fresh, *([] if earliest is None else [earliest])], default=None)
-        self._arm(earliest)
+            held.extend(map(list, zip(pdf["us"].tolist(), pdf["ord"], pdf["payload"], pdf["flag"])))
+        if len(held) > at:
+            self.waiting.update((json.dumps(held),))
+            self._arm(min(r[0] for r in held[at:]))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        times = sorted(k[0] for k in self.waiting.keys())
-        due = [us for us in times if _ceil_ms(us) <= mark]
+        held = sorted(self._rows(), key=lambda r: r[0])
+        due = bisect_right([_ceil_ms(r[0]) for r in held], mark)
+        before = value = tuple(self.kept.get()) if self.kept.exists() else None
         out: list[tuple] = []
-        for us in due:
-            for _, payload, flag in sorted(json.loads(self.waiting.getValue((us,))[0]), key=_rank):
-                out.extend(self.on_row(us, payload, flag))
-            self.waiting.removeKey((us,))
-            if len(out) >= _FRAME_ROWS:
-                yield self._frame(out)
-                out = []
-        out.extend(self.on_time(mark * 1000))
-        rest = times[len(due)] if len(due) < len(times) else None
-        deadlines = [t for t in (rest, self.next_deadline()) if t is not None]
-        self._arm(min(deadlines, default=None), fired=expiredTimerInfo.getExpiryTimeInMs())
-        if out:
-            yield self._frame(out)
+        for _, same in groupby(held[:due], key=lambda r: r[0]):
+            group = list(same)
+            if len(group) > 1:
+                group.sort(key=lambda r: _rank(r[1]))
+            for us, _, payload, flag in group:
+                value = self.on_row(value, us, payload, flag, out)
+        value = self.on_time(value, mark * 1000, out)
+        if value != before:
+            self.kept.clear() if value is None else self.kept.update(value)
+        if due:
+            self.waiting.update((json.dumps(held[due:]),)) if due < len(held) else self.waiting.clear()
+        deadlines = [held[due][0] if due < len(held) else None, self.next_deadline(value)]
+        self._arm(min((t for t in deadlines if t is not None), default=None), fired=expiredTimerInfo.getExpiryTimeInMs())
+        for at in range(0, len(out), _FRAME_ROWS):
+            yield self._frame(out[at : at + _FRAME_ROWS])
 
     def _arm(self, micros: int | None, fired: int = -1) -> None:
         if micros is None:
@@ -108,18 +113,15 @@ class OrderedReplay(StatefulProcessor):
         self.handle.registerTimer(at)
 
     def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(
-            {
-                "payload": [r[1] for r in out],
-                "result": pd.array([r[2] for r in out], dtype="object"),
-            }
-        )
+        return pd.DataFrame({"payload": [r[0] for r in out], "result": pd.array([r[1] for r in out], dtype="object")})
 
     def close(self) -> None:
         pass
 
 
 class _Days(OrderedReplay):
+    VALUE = "day string"
+
     def __init__(self, zone: str) -> None:
         self.zone = zone
 
@@ -130,30 +132,22 @@ class _Days(OrderedReplay):
 class FirstDay(_Days):
     """Keeps the first day of a key; the result of each row is that day."""
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "day string")
-
-    def on_row(self, micros: int, payload: str, flag: str | None) -> list[tuple]:
-        if not self.first.exists():
+    def on_row(self, value: tuple | None, micros: int, payload: str, flag: str | None, out: list[tuple]) -> tuple | None:
+        if value is None:
             day = self.day(micros)
-            if flag != "1":
-                day = (datetime.fromisoformat(day) - timedelta(days=1)).date().isoformat()
-            self.first.update((day,))
-        return [(micros, payload, self.first.get()[0])]
+            value = (day if flag == "1" else (datetime.fromisoformat(day) - timedelta(days=1)).date().isoformat(),)
+        out.append((payload, value[0]))
+        return value
 
 
 class FirstOfDay(_Days):
     """Lets the first row of a key on each day through."""
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "day string")
-
-    def on_row(self, micros: int, payload: str, flag: str | None) -> list[tuple]:
+    def on_row(self, value: tuple | None, micros: int, payload: str, flag: str | None, out: list[tuple]) -> tuple | None:
         day = self.day(micros)
-        if self.last.exists() and self.last.get()[0] == day:
-            return []
-        self.last.update((day,))
-        return [(micros, payload, None)]
+        if value is None or value[0] != day:
+            out.append((payload, None))
+        return (day,)
 
 
 class DayVisits(StatefulProcessor):
@@ -204,34 +198,24 @@ class DayVisits(StatefulProcessor):
 class Bounce(OrderedReplay):
     """Lets an entry through once its next row, or silence, makes it a bounce. `flag` '1' marks entries."""
 
+    VALUE = "us bigint, payload string"
+
     def __init__(self, within_us: int) -> None:
         self.within_us = within_us
 
-    def begin(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getValueState("open", "us bigint, payload string")
+    def on_row(self, value: tuple | None, micros: int, payload: str, flag: str | None, out: list[tuple]) -> tuple | None:
+        if value is not None and (micros - value[0] >= self.within_us or flag == "1"):
+            out.append((value[1], None))
+        return (micros, payload) if flag == "1" else None
 
-    def on_row(self, micros: int, payload: str, flag: str | None) -> list[tuple]:
-        out = []
-        if self.open.exists():
-            us, held = self.open.get()
-            if micros - us >= self.within_us or flag == "1":
-                out.append((us, held, None))
-            self.open.clear()
-        if flag == "1":
-            self.open.update((micros, payload))
-        return out
-
-    def on_time(self, watermark_us: int) -> list[tuple]:
-        if not self.open.exists():
-            return []
-        us, held = self.open.get()
-        if us + self.within_us > watermark_us:
-            return []
-        self.open.clear()
-        return [(us, held, None)]
-
-    def next_deadline(self) -> int | None:
-        return self.open.get()[0] + self.within_us if self.open.exists() else None
+    def on_time(self, value: tuple | None, watermark_us: int, out: list[tuple]) -> tuple | None:
+        if value is None or value[0] + self.within_us > watermark_us:
+            return value
+        out.append((value[1], None))
+        return None
+
+    def next_deadline(self, value: tuple | None) -> int | None:
+        return None if value is None else value[0] + self.within_us
 
 
 def _replay(

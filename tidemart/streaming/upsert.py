@@ -99,5 +99,7 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Files at `path`, or no rows where nothing was written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
