@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from registry import Tables, query
+from registry import Tables, layer_path, query
 from registry.dwd import (
     CARTS, LINES, LOGS, PAID, PLACED, REFUNDS, bounce_rows, carts, page_logs, paid_lines, pre_processed, refunds,
     registers, visitor_rows,
 )
 from tidemart.plans import dashboard, tools, trade, traffic
+from tidemart.sources.connectors import read_summary, store_summary
 
 _SPAN = """strftime(b, '%Y-%m-%d %H:%M:%S') AS stt, strftime(b + INTERVAL '{0}', '%Y-%m-%d %H:%M:%S') AS edt"""
 
@@ -54,9 +55,9 @@ def rollup_channel_window(t: Tables) -> DataFrame:
     return _channel_window(t)
 
 
-def _channel_window(t: Tables) -> DataFrame:
+def _channel_window(t: Tables, version: bool = False) -> DataFrame:
     pages = page_logs(t)
-    return traffic.channel_window(pages, visitor_rows(pages), bounce_rows(pages), "1 hour", version=False)
+    return traffic.channel_window(pages, visitor_rows(pages), bounce_rows(pages), "1 hour", version=version)
 
 
 @query(f"""
@@ -174,8 +175,18 @@ def rollup_user_spu_window(t: Tables) -> DataFrame:
     return _money(_user_spu(t), "order_amount")
 
 
-def _user_spu(t: Tables) -> DataFrame:
-    return trade.user_spu_window(trade.order_detail(pre_processed(t)), **catalog(t), size="1 day", version=False)
+def _user_spu(t: Tables, version: bool = False) -> DataFrame:
+    return trade.user_spu_window(trade.order_detail(pre_processed(t)), **catalog(t), size="1 day", version=version)
+
+
+def user_spu_summary(t: Tables, date: int) -> DataFrame:
+    path = layer_path(t, "summary-user-spu", lambda p: store_summary(_user_spu(t, version=True), p))
+    return read_summary(t.spark, path, ["user_id", "spu_id", "category3_id", "trademark_id"], date)
+
+
+def channel_summary(t: Tables, date: int) -> DataFrame:
+    path = layer_path(t, "summary-channel", lambda p: store_summary(_channel_window(t, version=True), p))
+    return read_summary(t.spark, path, ["vc", "ch", "ar", "is_new"], date)
 
 
 @query(f"""
@@ -213,7 +224,7 @@ SELECT '{{"status":0,"msg":"","data":' || CAST(CAST(round(sum(CAST(split_total_a
 FROM pre WHERE type = 'insert' AND date_id = '1998-10-03'
 """)
 def dashboard_gmv(t: Tables) -> DataFrame:
-    exact = _user_spu(t).withColumn("order_amount", F.col("order_amount").cast("decimal(18,2)"))
+    exact = user_spu_summary(t, 19981003).withColumn("order_amount", F.col("order_amount").cast("decimal(18,2)"))
     return dashboard.gmv_answer(exact, 19981003)
 
 
@@ -225,4 +236,4 @@ SELECT '{{"status":0,"msg":"","data":{{"categories":["' || string_agg(ch, '","'
 FROM top
 """)
 def dashboard_channels(t: Tables) -> DataFrame:
-    return dashboard.channel_answer(_channel_window(t), 20240115)
+    return dashboard.channel_answer(channel_summary(t, 20240115), 20240115)

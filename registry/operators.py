@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from registry import Tables, query
+from registry import Tables, layer_path, query
 from tidemart.functions import times
 from tidemart.functions.values import product_text
 from tidemart.operators import serve
@@ -24,6 +24,7 @@ from tidemart.operators.windows import sums, to_metrics, tumble, tumble_distinct
 from tidemart.plans.traffic import fan_out_raw_logs
 from tidemart.schemas import DIM_CONFIG
 from tidemart.sources import feeds
+from tidemart.sources.connectors import read_summary, store_summary
 from tidemart.sources.text import parse_changes, parse_json
 
 
@@ -545,16 +546,23 @@ def gmv_by_day(t: Tables) -> DataFrame:
 SELECT round(sum(o_totalprice), 2) AS order_amount FROM orders WHERE CAST(o_orderdate AS DATE) = DATE '1998-10-03'
 """)
 def gmv_one_day(t: Tables) -> DataFrame:
-    summary = t.orders.select(times.full("o_orderdate").alias("stt"), F.col("o_totalprice").alias("order_amount"))
+    """Read off a summary of order amounts per second, stored by day."""
+
+    def write(path: str) -> None:
+        rows = tumble(t.orders, "o_orderdate", "1 second", {"order_amount": F.sum("o_totalprice")})
+        store_summary(rows, path)
+
+    summary = read_summary(t.spark, layer_path(t, "summary-orders", write), date=19981003)
     return serve.gmv(summary, 19981003).select(_r2("order_amount"))
 
 
-def _channels(t: Tables) -> DataFrame:
-    """Hourly visitors per channel, a device counting once a day in each."""
+def _channels(t: Tables, date: int) -> DataFrame:
+    """A day of the stored summary of hourly visitors per channel, a device counting once a day in each."""
     slim = t.events.select("event_id", "ts", "user_id", F.col("event_type").alias("ch"))
     firsts = slim.groupBy("ch", "user_id", F.to_date("ts").alias("day")).agg(F.min("ts").alias("rt"))
     rows = firsts.select("ch", "rt", F.lit(1).cast("bigint").alias("uv_ct"))
-    return tumble(rows, "rt", "1 hour", sums("uv_ct"), ["ch"], version=False)
+    path = layer_path(t, "summary-channels", lambda p: store_summary(tumble(rows, "rt", "1 hour", sums("uv_ct"), ["ch"]), p))
+    return read_summary(t.spark, path, ["ch"], date)
 
 
 _TOP = """
@@ -566,7 +574,7 @@ top AS (SELECT ch, CAST(sum(uv_ct) AS BIGINT) AS uv, count(*) AS ct FROM h GROUP
 
 @query(_TOP + "SELECT ch, uv, ct FROM top")
 def uv_topn_by_channel(t: Tables) -> DataFrame:
-    return serve.uv_by_channel(_channels(t), 20240115, 3)
+    return serve.uv_by_channel(_channels(t, 20240115), 20240115, 3)
 
 
 @query(_TOP + """
@@ -575,7 +583,7 @@ SELECT '{"status":0,"msg":"","data":{"categories":["' || string_agg(ch, '","' OR
 FROM top
 """)
 def dashboard_payload(t: Tables) -> DataFrame:
-    return serve.uv_payload(serve.uv_by_channel(_channels(t), 20240115, 3))
+    return serve.uv_payload(serve.uv_by_channel(_channels(t, 20240115), 20240115, 3))
 
 
 @query("""

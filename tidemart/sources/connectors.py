@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidemart import schemas
 from tidemart.functions.values import camel_names
 from tidemart.operators.dedup import latest_per_key
+from tidemart.operators.serve import of_day, with_day
 from tidemart.sources.text import parse_changes, parse_json
 
 
@@ -76,6 +77,19 @@ def stream_files(
     return reader.load(folder)
 
 
-def read_summary(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
-    """A summary table as dashboards read it: of repeated writes of a window row, the newest."""
-    return latest_per_key(spark.read.parquet(path), ["stt", "edt", *keys], ["ts"])
+def store_summary(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Window rows with their version column `ts`: a partition per month, days in order within its files.
+
+    A partition per day would leave thousands of tiny files; within a month the day is found by file statistics.
+    """
+    rows = with_day(df).hint("rebalance", F.col("month")).sortWithinPartitions("month", "day")
+    rows.write.mode(mode).partitionBy("month").parquet(path)
+
+
+def read_summary(spark: SparkSession, path: str, keys: Sequence[str] = (), date: int | None = None) -> DataFrame:
+    """A summary table as dashboards read it: of repeated writes of a window row, the newest.
+
+    With `date`, yyyyMMdd, only that day of a table by `store_summary` is read.
+    """
+    rows = spark.read.parquet(path)
+    return latest_per_key(rows if date is None else of_day(rows, date), ["stt", "edt", *keys], ["ts"])
