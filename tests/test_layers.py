@@ -18,7 +18,7 @@ from tidemart.operators.routing import dim_schema, latest_config, route_dimensio
 from tidemart.operators.serve import gmv, on_day, uv_by_channel
 from tidemart.plans import dashboard, dim, traffic
 from tidemart.session import work_dir
-from tidemart.sources.connectors import jdbc_options, kafka_options, read_summary
+from tidemart.sources.connectors import jdbc_options, jdbc_source, kafka_options, read_summary, store_summary
 from tidemart.sources.text import parse_changes, parse_json, parse_logs, split_line
 from tidemart.streaming.sinks import drain, kafka_rows, kafka_upserts
 from tidemart.streaming.upsert import DimensionStore, UpsertTable
@@ -232,10 +232,55 @@ def test_dashboards(spark):
 def test_work_dir_follows_the_session():
     session = lambda **conf: SimpleNamespace(conf={k.replace("_", "."): v for k, v in conf.items()})
     assert work_dir(session(spark_checkpoint_dir="hdfs://shared/check/"), "x").startswith("hdfs://shared/check/x-")
-    assert "tidemart-work" in work_dir(session(), "x")
-
-
-@pytest.mark.parametrize("path,n", [("common.mid", 1), ("page.page_id", 1)])
-def test_sample_record_parses(spark, path, n):
-    record = _log(page=PAGE, actions=[], displays=None)
-    assert parse_logs(text(spark, record)).select(path).count() == n
+    for master in ("local", "local[4]", "local[2,3]"):
+        assert "tidemart-work" in work_dir(session(spark_master=master), "x")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", ""):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_dir(session(spark_master=master), "x")
+
+
+# A whole page record, with the values an application sends (fixed values).
+SAMPLE = {
+    "actions": [
+        {"action_id": "favor_add", "item": "33", "item_type": "sku_id", "ts": 1651303989298},
+        {"action_id": "cart_add", "item": "33", "item_type": "sku_id", "ts": 1651303993596},
+    ],
+    "common": {
+        "ar": "440000", "ba": "iPhone", "ch": "Appstore", "is_new": "0", "md": "iPhone X", "mid": "mid_3442864", "os": "iOS 12.4.1",
+        "uid": "928", "vc": "v2.1.134",
+    },
+    "displays": [
+        {"display_type": "promotion", "item": "19", "item_type": "sku_id", "order": 1, "pos_id": 3},
+        {"display_type": "query", "item": "27", "item_type": "sku_id", "order": 2, "pos_id": 4},
+    ],
+    "page": {
+        "during_time": 17195, "item": "33", "item_type": "sku_id", "last_page_id": "good_list", "page_id": "good_detail",
+        "source_type": "promotion",
+    },
+    "ts": 1651303985000,
+}
+
+
+def test_whole_sample_record_is_read(spark):
+    row = parse_logs(text(spark, SAMPLE)).first().asDict(recursive=True)
+    assert {k: row[k] for k in SAMPLE} == SAMPLE
+    assert row["start"] is None and row["err"] is None
+
+
+def test_summary_is_read_by_day(spark, folder):
+    rows = [("2024-01-15 00:00:00", "2024-01-15 01:00:00", "a", 1, 5), ("2024-01-15 00:00:00", "2024-01-15 01:00:00", "a", 2, 6),
+            ("2024-01-16 00:00:00", "2024-01-16 01:00:00", "a", 1, 9), ("2023-12-31 00:00:00", "2023-12-31 01:00:00", "b", 1, 7)]
+    df = spark.createDataFrame(rows, "stt string, edt string, ch string, ts long, uv_ct long")
+    store_summary(df.limit(2), f"{folder}/s")
+    store_summary(df.filter("ch = 'b' OR uv_ct = 9"), f"{folder}/s")
+    day = read_summary(spark, f"{folder}/s", ["ch"], 20240115)
+    assert [(r.ch, r.uv_ct) for r in day.collect()] == [("a", 6)]
+    plan = day._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan and "EqualTo(day,20240115)" in plan
+    assert read_summary(spark, f"{folder}/s", ["ch"]).count() == 3
+
+
+def test_jdbc_queries_stand_where_tables_do():
+    assert jdbc_source(table="t") == "t" and jdbc_source(query="SELECT 1") == "(SELECT 1) AS source"
+    with pytest.raises(ValueError):
+        jdbc_source()

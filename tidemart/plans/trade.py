@@ -38,19 +38,19 @@ def cart_add(changes: DataFrame, dictionary: DataFrame, database: str | None = N
         "id", "user_id", "sku_id", "sku_name", "is_checked", "create_time", "operate_time",
         "is_ordered", "order_time", "source_type", "source_id",
     ]
+    # Output order, with the added number and the name of the source in their places.
+    out = {
+        "id": "id", "user_id": "user_id", "sku_id": "sku_id", "sku_num": "added_num", "sku_name": "sku_name",
+        "is_checked": "is_checked", "create_time": "create_time", "operate_time": "operate_time", "is_ordered": "is_ordered",
+        "order_time": "order_time", "source_type": "source_type", "dic_name": "dic_name", "source_id": "source_id",
+    }
     cond = F.col("table") == "cart_info"
     if database is not None:
         cond = cond & (F.col("database") == database)
     grown = positive_delta(changes.filter(cond), "sku_num", out="added_num")
     rows = change_events(grown, "cart_info", columns, keep=["added_num"])
     named = lookup(rows, dictionary, "source_type", "dic_name")
-    return rename(
-        named,
-        {
-            **{c: c for c in columns[:3]}, "sku_num": "added_num",
-            **{c: c for c in columns[3:10]}, "dic_name": "dic_name", "source_id": "source_id",
-        },
-    )
+    return rename(named, out)
 
 
 def order_pre_process(
@@ -264,10 +264,14 @@ def payment_window(payments: DataFrame, size: str = WINDOW, version: bool = True
 
 
 def latest_lines(details: DataFrame, columns: list[str], order: tuple[str, ...] = (), size: str = WINDOW) -> DataFrame:
-    """The newest version of each order line, `columns` and its event time `rt`."""
+    """The newest version of each order line, `columns` and its event time `rt`.
+
+    `order` names arrival columns. Versions that agree in time and arrival are settled by their values, so the
+    result never depends on the partitioning.
+    """
     timed = details.withColumn("rt", parse_time("create_time")).withWatermark("rt", DELAY)
     slim = timed.select("id", *columns, "rt", "row_op_ts", *order)
-    newest = ["row_op_ts", *order]
+    newest = ["row_op_ts", *order, *columns]
     if slim.isStreaming:
         return latest_in_window(slim, ["id"], "rt", size, newest).select(*columns, "rt")
     return latest_per_key(slim, ["id"], newest).select(*columns, "rt")
