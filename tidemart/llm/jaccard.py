@@ -44,6 +44,9 @@ LONG_LISTS = 65_536
 #: Members of a list compared at a time. Longer lists are cut, and all their blocks are compared in the second round.
 BLOCK = 256
 CLASSES = 64
+#: Smallest lists of a document that travel with it, so that a pair of many common lists is told once.
+FIRSTS = 8
+ROWS_AT_ONCE = 20_000
 FOLD = 2_000_000
 BUNDLE = 64
 
@@ -107,9 +110,9 @@ _HEADS = "seq long, id long, size long, set_digest binary, counts binary, lists
 
 
 def _counts(s: np.ndarray) -> bytes:
-    """Shingles per hash class as bytes; empty if one does not fit, which rules nothing out."""
+    """Shingles per hash class as bytes; all 255 if one does not fit, which rules nothing out."""
     n = np.bincount((s >> W.U64(40)).astype(np.int64) % CLASSES, minlength=CLASSES)
-    return n.astype(np.uint8).tobytes() if n.max() < 256 else b""
+    return n.astype(np.uint8).tobytes() if n.max() < 255 else b"\xff" * CLASSES
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,91 +147,138 @@ def repeated_members(heads: DataFrame) -> DataFrame:
     return seen.filter("known OR (salt = 0 AND n > 1)").select("token", "seq")
 
 
-# ---- candidates
+_SPREAD = "token long, seq long, size long, counts binary, firsts binary"
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document and list, with the document's smallest lists as bytes, filled up with the largest number."""
+    for batch in batches:
+        lists = [np.asarray(t, np.int64) for t in batch["tokens"].to_pylist()]
+        n = np.array([len(t) for t in lists], np.int64)
+        fill = np.full(FIRSTS, np.iinfo(np.int64).max)
+        firsts = pa.array([np.concatenate((t[:FIRSTS], fill))[:FIRSTS].tobytes() for t in lists], pa.binary())
+        row = np.repeat(np.arange(len(lists)), n)
+        # Documents of very many lists are spread over batches.
+        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
+        for at in range(0, len(flat), ROWS_AT_ONCE):
+            take = pa.array(row[at : at + ROWS_AT_ONCE])
+            yield pa.record_batch(
+                [pa.array(flat[at : at + ROWS_AT_ONCE]), *(batch[c].take(take) for c in ("seq", "size", "counts")), firsts.take(take)],
+                ["token", "seq", "size", "counts", "firsts"],
+            )
 
 
-def _possible(sizes: np.ndarray, counts: list[bytes], percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For all pairs of a block: whether they may link, and the bound on their similarity."""
-    known = np.array([len(c) == CLASSES for c in counts])
-    classes = np.stack([np.frombuffer(c, np.uint8) if len(c) == CLASSES else np.zeros(CLASSES, np.uint8) for c in counts])
-    bound = np.minimum(sizes[:, None], sizes[None, :])
-    for i in range(len(sizes)):
-        if known[i]:
-            at_most = np.minimum(classes[i], classes).sum(axis=1, dtype=np.int64)
-            bound[i] = np.where(known, np.minimum(bound[i], at_most), bound[i])
-    both = sizes[:, None] + sizes[None, :]
-    return bound >= least_overlap(sizes[:, None], sizes[None, :], percent), bound / np.maximum(both - bound, 1)
+# ---- candidates
 
 
-def _forest(may: np.ndarray, score: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a spanning forest of the possible links, likeliest first."""
-    i, j = np.nonzero(np.triu(may, 1))
-    root = list(range(len(may)))
+class _Rows:
+    """Members of lists, sorted by list and block, as numpy columns."""
+
+    def __init__(self, batch: pa.RecordBatch | pa.Table, percent: int, firsts: bool) -> None:
+        column = lambda name: batch[name].to_numpy()
+        self.token, self.block, self.seq, self.root = (column(c) for c in ("token", "block", "seq", "root"))
+        self.size, self.percent = column("size"), percent
+        self.own = batch["own"].to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch["own"].to_numpy()
+        self.classes = np.frombuffer(W.text_bytes(batch["counts"])[0], np.uint8).reshape(-1, CLASSES)
+        self.open = (self.classes == 255).all(axis=1)
+        self.firsts = None
+        if firsts:
+            flat, offsets = W.text_bytes(batch["firsts"])
+            self.firsts = np.frombuffer(flat.tobytes(), np.int64).reshape(-1, FIRSTS)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of pairs of rows those that may link and have to be told here, and the bound on their similarity."""
+        need = least_overlap(self.size[a], self.size[b], self.percent)
+        keep = (np.minimum(self.size[a], self.size[b]) >= need) & (self.root[a] != self.root[b]) & (self.own[a] | self.own[b])
+        a, b, need = a[keep], b[keep], need[keep]
+        bound = np.minimum(self.classes[a], self.classes[b]).sum(axis=1, dtype=np.int64)
+        least = np.minimum(self.size[a], self.size[b])
+        bound = np.where(self.open[a] & self.open[b], least, np.minimum(bound, least))
+        keep = bound >= need
+        a, b, bound = a[keep], b[keep], bound[keep]
+        if self.firsts is not None and len(a):
+            # A pair is told in the smallest list both are known to share, and nowhere else.
+            told = np.zeros(len(a), bool)
+            for i in range(FIRSTS):
+                one = self.firsts[a, i]
+                told |= (one < self.token[a]) & (one[:, None] == self.firsts[b]).any(axis=1)
+            a, b, bound = a[~told], b[~told], bound[~told]
+        return a, b, bound / np.maximum(self.size[a] + self.size[b] - bound, 1)
+
+
+def _index_pairs(starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of all pairs within runs of n rows, some hundred thousand at a time."""
+    for low in range(0, n, BLOCK):
+        i, j = np.meshgrid(np.arange(low, min(low + BLOCK, n)), np.arange(low, n), indexing="ij")
+        upper = i < j
+        i, j = i[upper], j[upper]
+        step = max(1, 200_000 // max(len(i), 1))
+        for at in range(0, len(starts), step):
+            some = starts[at : at + step, None]
+            yield (some + i).ravel(), (some + j).ravel()
+
+
+def _forest(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a spanning forest, likeliest first."""
+    root: dict[int, int] = {}
 
     def top(x: int) -> int:
-        while root[x] != x:
+        while root.setdefault(x, x) != x:
             root[x] = root[root[x]]
             x = root[x]
         return x
 
-    out = []
-    for e in np.argsort(-score[i, j], kind="stable").tolist():
-        a, b = top(int(i[e])), top(int(j[e]))
-        if a != b:
-            root[a] = b
-            out.append((int(i[e]), int(j[e])))
-    return out
-
-
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Rows of equal keys, from batches sorted by them."""
-    held: list = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        change = np.zeros(batch.num_rows, bool)
-        for k in keys:
-            v = batch[k].to_numpy(zero_copy_only=False)
-            change[1:] |= v[1:] != v[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            part = batch.slice(a, b - a)
-            if held and any(held[-1][k][0] != part[k][0] for k in keys):
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(part)
-    if held:
-        yield pa.Table.from_batches(held)
+    keep = []
+    for e in np.argsort(-score, kind="stable").tolist():
+        x, y = top(int(a[e])), top(int(b[e]))
+        if x != y:
+            root[x] = y
+            keep.append(e)
+    return a[keep], b[keep]
 
 
 def _pairs(percent: int, forest: bool):
+    def found(rows: _Rows, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of runs that end at `ends`, runs of one length together."""
+        starts = np.concatenate(([0], ends[:-1]))
+        lengths = ends - starts
+        for n in np.unique(lengths[lengths > 1]).tolist():
+            runs = starts[lengths == n]
+            for group in np.split(runs, range(1, len(runs))) if forest and n > 3 else [runs]:
+                got = [rows.may_link(a, b) for a, b in _index_pairs(group, n)]
+                a, b, score = (np.concatenate(c) for c in zip(*got))
+                if forest and n > 3:
+                    a, b = _forest(a, b, score)
+                if len(a):
+                    yield _pair_batch(np.minimum(rows.seq[a], rows.seq[b]), np.maximum(rows.seq[a], rows.seq[b]))
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[tuple[int, int]] = []
-        for run in _runs(batches, ["token", "block"]):
-            if run.num_rows < 2:
-                continue
-            seq, root, own = (run[c].to_numpy() for c in ("seq", "root", "own"))
-            sizes = run["size"].to_numpy()
-            # A block stays near BLOCK by hashing, but its rows are compared in strips, however many there are.
-            for low in range(0, len(seq), BLOCK):
-                for high in range(low, len(seq), BLOCK):
-                    pick = np.unique(np.concatenate((np.arange(low, min(low + BLOCK, len(seq))), np.arange(high, min(high + BLOCK, len(seq))))))
-                    may, score = _possible(sizes[pick], run["counts"].take(pa.array(pick)).to_pylist(), percent)
-                    r, o, s = root[pick], own[pick], seq[pick]
-                    may &= (r[:, None] != r[None, :]) & (o[:, None] | o[None, :]) & (s[:, None] != s[None, :])
-                    chosen = _forest(may, score) if forest else zip(*(x.tolist() for x in np.nonzero(np.triu(may, 1))))
-                    made += [(int(min(s[a], s[b])), int(max(s[a], s[b]))) for a, b in chosen]
-            if len(made) > 50_000:
-                yield _pair_batch(made)
-                made = []
-        if made:
-            yield _pair_batch(made)
+        held: list[pa.RecordBatch] = []
+
+        def cut(last: bool) -> Iterator[pa.RecordBatch]:
+            """Pairs of all whole runs held; the last run waits for the next batch."""
+            if not held:
+                return
+            table = pa.Table.from_batches(held).combine_chunks()
+            rows = _Rows(table, percent, not forest)
+            change = (rows.token[1:] != rows.token[:-1]) | (rows.block[1:] != rows.block[:-1])
+            ends = np.concatenate((np.flatnonzero(change) + 1, [len(rows.token)] if last else []))
+            if len(ends):
+                yield from found(rows, ends.astype(np.int64))
+            held[:] = [] if last else table.slice(int(ends[-1]) if len(ends) else 0).to_batches()
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= ROWS_AT_ONCE:
+                yield from cut(False)
+        yield from cut(True)
 
     return pairs
 
 
-def _pair_batch(made: list[tuple[int, int]]) -> pa.RecordBatch:
-    rows = np.unique(np.array(made, np.int64).reshape(-1, 2), axis=0)
+def _pair_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    rows = np.unique(np.column_stack((x, y)), axis=0)
     return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["x", "y"])
 
 
@@ -318,8 +368,9 @@ class Join:
 
         heads = self.rows.mapInArrow(_heads(k, percent, long_lists), _HEADS).drop("id", "set_digest")
         heads = stored(heads.filter("size > 0").join(self.copies, F.col("seq") == F.col("a"), "left_anti"), "join-heads")
-        members = repeated_members(heads.select("seq", "lists"))
-        self.members = stored(members.join(heads.select("seq", "size", "counts"), "seq"), "join-members")
+        tokens = repeated_members(heads.select("seq", "lists")).groupBy("seq").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
+        members = tokens.join(heads.select("seq", "size", "counts"), "seq").mapInArrow(_spread, _SPREAD)
+        self.members = stored(members, "join-members")
 
         first = stored(self._candidates(self.members.withColumn("root", F.col("seq")), forest=True), "join-pairs")
         links = stored(self._links(first), "join-links")
@@ -345,7 +396,8 @@ class Join:
         else:
             everywhere = F.when(F.col("root") == F.col("major"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
             rows = rows.withColumn("block", F.explode(everywhere))
-        rows = rows.select("token", "block", "seq", "root", "size", "counts", (F.col("block") == F.col("home")).alias("own"))
+        firsts = [] if forest else ["firsts"]
+        rows = rows.select("token", "block", "seq", "root", "size", "counts", (F.col("block") == F.col("home")).alias("own"), *firsts)
         n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
         dealt = rows.repartition(int(n), "token", "block").sortWithinPartitions("token", "block", "size", "seq")
         return dealt.mapInArrow(_pairs(self.percent, forest), "x long, y long").distinct()
