@@ -9,7 +9,7 @@ from tidemart.operators.logs import split_log
 from tidemart.operators.sets import union_all
 from tidemart.plans import dim, tools, trade, traffic
 from tidemart.schemas import DIM_CONFIG
-from tidemart.sources import feeds
+from registry import feeds
 from tidemart.sources.text import parse_changes, parse_logs, store_changes, stored_changes
 
 # The log records behind `feeds.log_text`, flat; `is_new` as sent, `fixed` as repaired.

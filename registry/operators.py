@@ -23,7 +23,7 @@ from tidemart.operators.visitors import (
 from tidemart.operators.windows import sums, to_metrics, tumble, tumble_distinct
 from tidemart.plans.traffic import fan_out_raw_logs
 from tidemart.schemas import DIM_CONFIG
-from tidemart.sources import feeds
+from registry import feeds
 from tidemart.sources.connectors import read_summary, store_summary
 from tidemart.sources.text import parse_changes, parse_json
 

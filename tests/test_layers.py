@@ -21,7 +21,7 @@ from tidemart.session import work_dir
 from tidemart.sources.connectors import jdbc_options, jdbc_source, kafka_options, read_summary, store_summary
 from tidemart.sources.text import parse_changes, parse_json, parse_logs, split_line
 from tidemart.streaming.sinks import drain, kafka_rows, kafka_upserts
-from tidemart.streaming.upsert import DimensionStore, UpsertTable
+from tidemart.streaming.upsert import DimensionStore, PublishedFolders, UpsertTable
 
 COMMON = {"mid": "m1", "is_new": "1", "ch": "web", "vc": "v1", "ar": "1", "uid": "7"}
 PAGE = {"page_id": "home", "during_time": 5}
@@ -165,12 +165,12 @@ def test_dimension_stream(spark, folder):
         spark, _change("a", "insert", {"id": "1", "name": "it's"}), _change("a", "insert", {"id": "2"}),
         _change("b", "bootstrap-insert", {"code": "k"}), _change("c", "insert", {"id": "1"}), "dirty",
     ).coalesce(1).write.text(f"{folder}/in")
-    store = DimensionStore(f"{folder}/store")
+    store, refused = DimensionStore(f"{folder}/store"), PublishedFolders(f"{folder}/dirty")
     assert store.read(spark, config[0]).count() == 0
 
     def step():
         raw = spark.readStream.text(f"{folder}/in")
-        drain(dim.maintain_dimensions(spark, raw, f"{folder}/config", store, f"{folder}/check"), 120)
+        drain(dim.maintain_dimensions(spark, raw, f"{folder}/config", store, f"{folder}/check", refused), 120)
 
     step()
     assert rows_of(store.read(spark, config[0]), "id", "name") == [("1", "it's"), ("2", None)]
@@ -180,6 +180,9 @@ def test_dimension_stream(spark, folder):
     ).text(f"{folder}/in")
     step()
     assert rows_of(store.read(spark, config[0]), "id", "name") == [("1", "new"), ("2", None)]
+    store.compact(spark)
+    assert rows_of(store.read(spark, config[0]), "id", "name") == [("1", "new"), ("2", None)]
+    assert rows_of(refused.rows(spark, T.StructType([T.StructField("value", T.StringType())])), "value") == [("dirty",)]
 
 
 def test_upsert_table(spark, folder):
@@ -192,9 +195,13 @@ def test_upsert_table(spark, folder):
     table.write_batch(batch(("b", "x", 3, True), ("c", "y", 1, False)), 1)
     want = [("a", "c1"), ("c", "y")]
     assert rows_of(table.read(spark), "id", "v") == want
-    small = table.compact(spark, f"{folder}/t2")
-    assert rows_of(small.read(spark), "id", "v") == want
-    assert small.log(spark).count() == 2
+    before = table.read(spark)
+    table.compact(spark)
+    assert rows_of(table.read(spark), "id", "v") == want
+    assert table.log(spark).count() == 3 and list(table.folders.current(spark)) == [-1]
+    assert rows_of(before, "id", "v") == want, "a reader that began earlier keeps its files"
+    table.write_batch(batch(("b", "late", 2, False)), 3)
+    assert rows_of(table.read(spark), "id", "v") == want, "a deleted key does not come back with an old version"
     table.write_batch(batch(("c", "old", 0, False), ("c", "tie", 1, False)), 2)
     assert rows_of(table.read(spark), "id", "v") == [("a", "c1"), ("c", "tie")]
 

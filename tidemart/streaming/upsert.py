@@ -1,12 +1,16 @@
 """Keyed tables on plain files.
 
-Each micro-batch adds one folder of versioned rows, named by its batch id; a repeat of the batch
-replaces that folder, so a restarted query leaves no doubles. Readers keep the newest version per
-key. `compact` folds old folders into one so that reads stay short.
+Each micro-batch writes its rows to a fresh folder and then publishes it: a one-file manifest entry says which
+folder holds the batch. Nothing is overwritten, so readers see a batch whole or not at all, also while it is
+repeated; a repeat's entry replaces the earlier one. `compact` writes the current rows to one folder and
+publishes it in place of all batches before it, in one entry. Readers keep the newest version per key.
+Folders that no entry names any more may be deleted once no reader uses them.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -16,6 +20,44 @@ from tidemart.operators.dedup import latest_per_key
 from tidemart.operators.routing import dim_schema
 
 _BATCH = "batch_id"
+_ENTRY = T.StructType(
+    [T.StructField(_BATCH, T.LongType()), T.StructField("folder", T.StringType()), T.StructField("at", T.LongType())]
+)
+
+
+class PublishedFolders:
+    """Which folder holds each batch of a table at `path`."""
+
+    def __init__(self, path: str) -> None:
+        self.path = path
+
+    def current(self, spark: SparkSession) -> dict[int, str]:
+        """Folder per live batch. The manifest holds a row per batch, not per row of the table."""
+        entries = _read(spark, f"{self.path}/manifest", _ENTRY)
+        newest = entries.groupBy(_BATCH).agg(F.max_by("folder", "at").alias("folder")).collect()
+        return {r[_BATCH]: r["folder"] for r in newest if r["folder"] is not None}
+
+    def fresh(self, batch_id: int) -> str:
+        return f"data/{batch_id}-{uuid.uuid4().hex}"
+
+    def publish(self, spark: SparkSession, entries: dict[int, str | None]) -> None:
+        """One file, which appears whole: new folders, and None for batches that are gone."""
+        now = time.time_ns()
+        rows = spark.createDataFrame([(b, f, now) for b, f in entries.items()], _ENTRY)
+        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def rows(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
+        """Rows of all live batches, with their batch id."""
+        parts = [
+            spark.read.schema(schema).parquet(f"{self.path}/{folder}").withColumn(_BATCH, F.lit(b).cast("bigint"))
+            for b, folder in sorted(self.current(spark).items())
+        ]
+        if not parts:
+            return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(_BATCH, T.LongType())]))
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
 
 class UpsertTable:
@@ -24,28 +66,33 @@ class UpsertTable:
     def __init__(
         self, path: str, schema: T.StructType, keys: Sequence[str], version: Sequence[str], deleted: str | None = None
     ) -> None:
-        self.path, self.schema = path, schema
+        self.folders, self.schema = PublishedFolders(path), schema
         self.keys, self.version, self.deleted = list(keys), list(version), deleted
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         """For `foreachBatch`. One row per key leaves each batch."""
         newest = latest_per_key(batch.select(*self.schema.names), self.keys, self.version)
-        newest.write.mode("overwrite").parquet(f"{self.path}/{_BATCH}={batch_id}")
+        folder = self.folders.fresh(batch_id)
+        newest.write.parquet(f"{self.folders.path}/{folder}")
+        self.folders.publish(batch.sparkSession, {batch_id: folder})
 
     def log(self, spark: SparkSession) -> DataFrame:
-        full = T.StructType([*self.schema.fields, T.StructField(_BATCH, T.LongType())])
-        return _read(spark, self.path, full)
+        return self.folders.rows(spark, self.schema)
 
     def read(self, spark: SparkSession) -> DataFrame:
         """Current rows; batches written later win ties."""
-        now = latest_per_key(self.log(spark), self.keys, [*self.version, _BATCH]).drop(_BATCH)
+        now = self._newest(spark).drop(_BATCH)
         return now.filter(~F.col(self.deleted)) if self.deleted else now
 
-    def compact(self, spark: SparkSession, target: str) -> UpsertTable:
-        """A new table at `target` with the current rows alone; readers switch to it when it is whole."""
-        out = UpsertTable(target, self.schema, self.keys, self.version, self.deleted)
-        self.read(spark).write.mode("overwrite").parquet(f"{target}/{_BATCH}=-1")
-        return out
+    def _newest(self, spark: SparkSession) -> DataFrame:
+        return latest_per_key(self.log(spark), self.keys, [*self.version, _BATCH])
+
+    def compact(self, spark: SparkSession) -> None:
+        """Fold all batches into one. Tombstones stay, so that an old version written later does not come back."""
+        live = self.folders.current(spark)
+        folder = self.folders.fresh(-1)
+        self._newest(spark).drop(_BATCH).write.parquet(f"{self.folders.path}/{folder}")
+        self.folders.publish(spark, {**dict.fromkeys(live), -1: folder})
 
 
 class DimensionStore:
@@ -61,11 +108,12 @@ class DimensionStore:
             T.StructField("data", T.MapType(T.StringType(), T.StringType())),
             T.StructField("version", T.LongType()),
             T.StructField("arrival", T.LongType()),
+            T.StructField("sink_table", T.StringType()),
         ]
     )
 
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.folders = PublishedFolders(path)
 
     def write_batch(self, routed: DataFrame, batch_id: int) -> None:
         """For `foreachBatch`, on the output of `route_dimensions` with `ts` and `xid`/`xoffset` kept."""
@@ -79,20 +127,26 @@ class DimensionStore:
         newest = rows.groupBy("sink_table", "pk").agg(
             F.max_by(F.struct("data", "version", "arrival"), F.struct("version", "arrival")).alias("r")
         )
-        even = newest.select("sink_table", "pk", "r.*").hint("rebalance", F.col("sink_table"))
-        even.write.mode("overwrite").partitionBy("sink_table").parquet(
-            f"{self.path}/{_BATCH}={batch_id}"
-        )
+        self._write(routed.sparkSession, newest.select("sink_table", "pk", "r.*"), batch_id, {})
+
+    def _write(self, spark: SparkSession, rows: DataFrame, batch_id: int, gone: dict[int, None]) -> None:
+        folder = self.folders.fresh(batch_id)
+        even = rows.hint("rebalance", F.col("sink_table"))
+        even.write.partitionBy("sink_table").parquet(f"{self.folders.path}/{folder}")
+        self.folders.publish(spark, {**gone, batch_id: folder})
+
+    def compact(self, spark: SparkSession) -> None:
+        """Fold all batches into one with the newest row per table and key."""
+        live = self.folders.current(spark)
+        rows = self.folders.rows(spark, self.SCHEMA)
+        newest = latest_per_key(rows, ["sink_table", "pk"], ["version", "arrival", _BATCH]).drop(_BATCH)
+        self._write(spark, newest, -1, dict.fromkeys(live))
 
     def read(self, spark: SparkSession, config_row) -> DataFrame:
         """Current rows of one table, all text; NULL stays NULL."""
-        layout = dim_schema(config_row)
-        full = T.StructType(
-            [*self.SCHEMA.fields, T.StructField(_BATCH, T.LongType()), T.StructField("sink_table", T.StringType())]
-        )
-        rows = _read(spark, self.path, full).filter(F.col("sink_table") == config_row["sink_table"])
+        rows = self.folders.rows(spark, self.SCHEMA).filter(F.col("sink_table") == config_row["sink_table"])
         now = latest_per_key(rows, ["pk"], ["version", "arrival", _BATCH])
-        return now.select(*(F.col("data")[c].alias(c) for c in layout.names))
+        return now.select(*(F.col("data")[c].alias(c) for c in dim_schema(config_row).names))
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
