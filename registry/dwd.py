@@ -47,8 +47,12 @@ def page_logs(t: Tables) -> DataFrame:
 
 
 def log_kinds(t: Tables) -> dict[str, DataFrame]:
-    parsed = layer(t, "raw-log", lambda: parse_logs(feeds.log_text(t.events, ["event_id"]), keep=("event_id",)))
-    return split_log(traffic.repair_logs(parsed, ("event_id",)))
+    """Record kinds off the stored log, which is parsed and repaired once."""
+
+    def build() -> DataFrame:
+        return traffic.repair_logs(parse_logs(feeds.log_text(t.events, ["event_id"]), keep=("event_id",)), ("event_id",))
+
+    return split_log(layer(t, "repaired-log", build))
 
 
 def visitor_rows(pages: DataFrame) -> DataFrame:

@@ -53,6 +53,31 @@ def json_extract_project(t: Tables) -> DataFrame:
     )
 
 
+@query("""
+SELECT o_orderkey AS id, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) AS amount,
+       CAST(CAST(o_totalprice AS DECIMAL(18,2)) + 12345678901230 AS VARCHAR) AS large, o_orderkey % 2 = 0 AS quoted_time,
+       o_orderkey * 1000 AS ts
+FROM orders
+""")
+def payload_decimals(t: Tables) -> DataFrame:
+    """Bare decimals keep their digits in payload text; keys repeat, and every other time is quoted."""
+    even = F.col("o_orderkey") % 2 == 0
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    mark = F.when(even, '"').otherwise("")
+    value = F.concat(
+        F.lit('{"database":"shop","table":"order_info","type":"x","type":"insert","ts":'), mark, (F.col("o_orderkey") * 1000).cast("string"), mark,
+        F.lit(',"data":{"id":'), F.col("o_orderkey").cast("string"), F.lit(',"note":"costs: 1.50, or \\"2.50\\",","amount":'), price.cast("string"),
+        F.lit(',"large":'), (price + F.lit(12345678901230).cast("decimal(18,0)")).cast("string"), F.lit("}}"),
+    )
+    rows = parse_changes(t.orders.select(value.alias("value"))).filter(
+        (F.col("type") == "insert") & (F.col("data")["note"] == 'costs: 1.50, or "2.50",')
+    )
+    return rows.select(
+        F.col("data")["id"].cast("bigint").alias("id"), F.col("data")["amount"].alias("amount"), F.col("data")["large"].alias("large"),
+        (F.col("data")["id"].cast("bigint") % 2 == 0).alias("quoted_time"), "ts",
+    )
+
+
 @query("""
 WITH v AS (
   SELECT CASE WHEN event_type = 'error' THEN left(props, length(props) - 1)

@@ -13,7 +13,7 @@ from tidemart.streaming.upsert import DimensionStore, PublishedFolders
 
 def route_raw(raw: DataFrame, config: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(routed, dirty) of raw change-event text. The config is whole before any event is read."""
-    good, dirty = parse_json(raw, value_col, schemas.CHANGE)
+    good, dirty = parse_json(raw, value_col, schemas.CHANGE, exact_numbers=True)
     return route_dimensions(good, config), dirty
 
 

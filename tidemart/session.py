@@ -20,6 +20,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A record that repeats a key is valid; the later value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

@@ -28,16 +28,50 @@ def is_json_object(text: Column | str) -> Column:
     return F.coalesce(valid, F.lit(False))
 
 
-def parse_json(df: DataFrame, value_col: str, schema: T.StructType, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def quoted_numbers(text: Column | str) -> Column:
+    """JSON text with every number outside strings in quotes, so that it is read as the text it is.
+
+    A string is matched whole and stays; marks that strict JSON cannot hold stand for the quotes meanwhile.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    marked = F.regexp_replace(text, r'("(?:[^"\\]|\\.)*+")|(-?[0-9][0-9.eE+-]*)', "$1\u0001$2\u0001")
+    return F.replace(F.replace(marked, F.lit("\u0001\u0001"), F.lit("")), F.lit("\u0001"), F.lit('"'))
+
+
+def _as_text(kind: T.DataType) -> T.DataType:
+    """The type with text for its numbers."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _as_text(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_as_text(kind.elementType))
+    return T.StringType() if isinstance(kind, T.NumericType) else kind
+
+
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """Numbers from their text; one that is none is NULL and spoils nothing beside it."""
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_typed(value[f.name], f.dataType).alias(f.name) for f in kind)))
+    if isinstance(kind, T.ArrayType) and _as_text(kind) != kind:
+        return F.transform(value, lambda x: _typed(x, kind.elementType))
+    return value.try_cast(kind) if isinstance(kind, T.NumericType) else value
+
+
+def parse_json(
+    df: DataFrame, value_col: str, schema: T.StructType, keep: tuple[str, ...] = (), exact_numbers: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """(good, dirty): parsed fields of well-formed records, and the raw text of all others.
 
+    Numeric fields take quoted numbers too. With `exact_numbers`, numbers that land in text fields keep their digits.
+
     Null and blank values belong to neither. The parsed record leaves through a generator, where
     later filters on its fields cannot be pushed below it: each text is parsed into fields once.
     """
     some = df.filter(F.trim(value_col) != "")
     good = some.filter(is_json_object(value_col)).select(
-        F.inline(F.array(F.from_json(value_col, schema))), *keep
+        F.inline(F.array(F.from_json(quoted_numbers(value_col) if exact_numbers else F.col(value_col), _as_text(schema)))), *keep
     )
+    numbers = {f.name for f in schema if _as_text(f.dataType) != f.dataType}
+    good = good.withColumns({f.name: _typed(F.col(f.name), f.dataType) for f in schema if f.name in numbers})
     return good, some.filter(~is_json_object(value_col)).select(value_col, *keep)
 
 
@@ -47,7 +81,7 @@ def parse_logs(df: DataFrame, value_col: str = "value", keep: tuple[str, ...] =
 
 def parse_changes(df: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Change events with the processing time of their micro-batch as `pt`."""
-    return parse_json(df, value_col, schemas.CHANGE, keep)[0].withColumn("pt", F.current_timestamp())
+    return parse_json(df, value_col, schemas.CHANGE, keep, exact_numbers=True)[0].withColumn("pt", F.current_timestamp())
 
 
 def store_changes(changes: DataFrame, path: str) -> None:
