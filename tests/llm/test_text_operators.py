@@ -309,9 +309,12 @@ def test_kernel_matches_its_definition():
 def _labelled(n=240):
     insults = ["grubnik", "worplash", "snotface"]
     rows, labels = [], []
+    r = random.Random(0)
+    syllables = ["ter", "mo", "lin", "ca", "dro", "vel", "su", "pen", "ha", "rit"]
+    vocabulary = ["".join(r.choice(syllables) for _ in range(r.randrange(2, 4))) for _ in range(900)]
     for i in range(n):
         r = random.Random(i)
-        ws = prose(60, 500 + i).split()
+        ws = [r.choice(vocabulary) for _ in range(60)]
         bad = i % 4 == 0
         if bad:
             for _ in range(3):
@@ -326,10 +329,11 @@ def test_toxic_words_with_gaps_and_inserted_letters(spark, docs):
     frame = docs(rows)
     marks = spark.createDataFrame([*labels, (None, 1, 1), (5, 1, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(frame, marks)
-    plain = prose(40, 900)
-    texts = [plain, plain + " Grubnik!", plain + " gru-bnik", plain + " g r u b n i k", plain + " worxplash", plain + " sn0tface", "", None, "a", "grubnik" * 3000]
+    plain = rows[1][1]
+    texts = [plain, plain + " Grubnik!", plain + " gru-bnik", plain + " g r u b n i k", plain + " worxplash", plain + " sn0tface", "", None, "a", "kara" * 30_000]
     s = toxicity.scores(pa.array(texts), model)
-    assert s[0] < 0.5 and all(x >= 0.7 for x in s[1:6]) and s[9] >= 0.7
+    assert s[0] < 0.5, s
+    assert (s[1:6] >= 0.7).all() and s[9] < 0.5, s
     assert s[6] == s[7] == s[8] < 0.5
     out = {r.id: r.score for r in toxicity.score(frame, model).collect()}
     wrong = sum((out[i] >= 0.7) != bool(t) for i, _, t in labels)

@@ -219,11 +219,21 @@ def _image(words: list[bytes], index: dict[int, int]) -> np.ndarray:
     return out
 
 
+def disguises(word: bytes) -> list[bytes]:
+    """The word with one more letter at each place inside it."""
+    return [word[:i] + bytes([1 + (7 * i + word[i]) % 26]) + word[i:] for i in range(1, min(len(word), LONGEST - 1))]
+
+
 def fit_machine(good: list[bytes], bad: list[bytes], penalty: float = 0.001) -> tuple[np.ndarray, float]:
-    """Table and bias of the machine that tells `bad` words from `good` ones. Landmarks: the first words of both lists."""
+    """Table and bias of the machine that tells `bad` words and their disguises from `good` ones.
+
+    Landmarks are the first words of both lists.
+    """
     marks = bad[: LANDMARKS * 3 // 4] + good[: LANDMARKS - min(len(bad), LANDMARKS * 3 // 4)]
     index = {at: i for i, at in enumerate(sorted(set().union(*(subsequences(m[:LONGEST]) for m in marks))))}
     own = lambda ws: np.sqrt([sum(x * x for x in subsequences(w[:LONGEST]).values()) for w in ws])
+    known = set(good)
+    bad = bad + [d for w in bad for d in disguises(w) if len(w) > ORDER and d not in known]
     land = _image(marks, index) / own(marks)[:, None]
     values, vectors = np.linalg.eigh(land @ land.T)
     keep = values > 1e-8
