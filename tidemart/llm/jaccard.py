@@ -75,14 +75,22 @@ def sets_of(texts, k: int) -> list[np.ndarray]:
     return out
 
 
-def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
+def _lists(arrays: list[np.ndarray], short: bool) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
     flat = np.concatenate(arrays) if arrays else np.zeros(0, W.U64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64), kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_low(flat).view(np.int32) if short else flat.view(np.int64)))
+
+
+def _low(tokens: np.ndarray) -> np.ndarray:
+    """The lower half of a shingle's hash, enough to order lists by."""
+    return (tokens & W.U64(0xFFFFFFFF)).astype(np.uint32)
 
 
 def _heads(k: int, percent: int, long_lists: np.ndarray | None):
-    """Per document its size, a digest of its set, counts per class, and its short lists in the order of lists."""
+    """Per document its size, a digest of its set, counts per class, and its short lists in the order of lists.
+
+    Before the long lists are known, lists are those of the smallest hashes, by half a hash each.
+    """
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,14 +100,15 @@ def _heads(k: int, percent: int, long_lists: np.ndarray | None):
                 for s in sets:
                     n = short_lists(len(s), percent)
                     if long_lists is not None and len(long_lists) and len(s):
-                        place = np.minimum(np.searchsorted(long_lists, s), len(long_lists) - 1)
-                        late = long_lists[place] == s
+                        half = _low(s)
+                        place = np.minimum(np.searchsorted(long_lists, half), len(long_lists) - 1)
+                        late = long_lists[place] == half
                         s = np.concatenate((s[~late], s[late]))
                     first.append(s[:n])
                 columns = [
                     part["seq"], part["id"], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([_counts(s) for s in sets], pa.binary()), _lists(first, pa.int64()),
+                    pa.array([_counts(s) for s in sets], pa.binary()), _lists(first, long_lists is None),
                 ]
                 yield pa.record_batch(columns, ["seq", "id", "size", "set_digest", "counts", "lists"])
 
@@ -107,6 +116,7 @@ def _heads(k: int, percent: int, long_lists: np.ndarray | None):
 
 
 _HEADS = "seq long, id long, size long, set_digest binary, counts binary, lists array<long>"
+_SIZES = _HEADS.replace("array<long>", "array<int>")
 
 
 def _counts(s: np.ndarray) -> bytes:
@@ -147,25 +157,15 @@ def repeated_members(heads: DataFrame) -> DataFrame:
     return seen.filter("known OR (salt = 0 AND n > 1)").select("token", "seq")
 
 
-_SPREAD = "token long, seq long, size long, counts binary, firsts binary"
+_TRAITS = "seq long, size long, counts binary, firsts binary"
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per document and list, with the document's smallest lists as bytes, filled up with the largest number."""
+def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What candidates are judged by; the smallest lists as bytes, filled up with the largest number."""
+    fill = np.full(FIRSTS, np.iinfo(np.int64).max)
     for batch in batches:
-        lists = [np.asarray(t, np.int64) for t in batch["tokens"].to_pylist()]
-        n = np.array([len(t) for t in lists], np.int64)
-        fill = np.full(FIRSTS, np.iinfo(np.int64).max)
-        firsts = pa.array([np.concatenate((t[:FIRSTS], fill))[:FIRSTS].tobytes() for t in lists], pa.binary())
-        row = np.repeat(np.arange(len(lists)), n)
-        # Documents of very many lists are spread over batches.
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        for at in range(0, len(flat), ROWS_AT_ONCE):
-            take = pa.array(row[at : at + ROWS_AT_ONCE])
-            yield pa.record_batch(
-                [pa.array(flat[at : at + ROWS_AT_ONCE]), *(batch[c].take(take) for c in ("seq", "size", "counts")), firsts.take(take)],
-                ["token", "seq", "size", "counts", "firsts"],
-            )
+        firsts = [np.concatenate((np.asarray(t, np.int64), fill))[:FIRSTS].tobytes() for t in batch["tokens"].to_pylist()]
+        yield pa.record_batch([batch["seq"], batch["size"], batch["counts"], pa.array(firsts, pa.binary())], ["seq", "size", "counts", "firsts"])
 
 
 # ---- candidates
@@ -355,10 +355,10 @@ class Join:
         spark = prepared(docs.sparkSession)
         self.k, self.percent = k, percent
         self.rows = docs.select(F.monotonically_increasing_id().alias("seq"), docs[id].cast("long").alias("id"), docs[text].cast("binary").alias("text"))
-        early = stored(self.rows.mapInArrow(_heads(k, percent, None), _HEADS).drop("counts"), "join-sizes")
+        early = stored(self.rows.mapInArrow(_heads(k, percent, None), _SIZES).drop("counts"), "join-sizes")
         counts = early.select(F.explode("lists").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
         often = counts.filter(F.col("n") > LONG_FROM).orderBy(F.desc("n"), "token").limit(LONG_LISTS).collect()
-        long_lists = np.sort(np.array([r.token for r in often], np.int64).view(W.U64))
+        long_lists = np.sort(np.array([r.token for r in often], np.int32).view(np.uint32))
         self.docs = early.drop("lists")
 
         same = self.docs.filter("size > 0").groupBy("set_digest").agg(F.min("seq").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
@@ -369,15 +369,19 @@ class Join:
         heads = self.rows.mapInArrow(_heads(k, percent, long_lists), _HEADS).drop("id", "set_digest")
         heads = stored(heads.filter("size > 0").join(self.copies, F.col("seq") == F.col("a"), "left_anti"), "join-heads")
         tokens = repeated_members(heads.select("seq", "lists")).groupBy("seq").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-        members = tokens.join(heads.select("seq", "size", "counts"), "seq").mapInArrow(_spread, _SPREAD)
-        self.members = stored(members, "join-members")
-
-        first = stored(self._candidates(self.members.withColumn("root", F.col("seq")), forest=True), "join-pairs")
+        tokens = stored(tokens, "join-tokens")
+        members = tokens.select("seq", F.explode("tokens").alias("token"))
+        firsts = tokens.select("seq", F.slice("tokens", 1, FIRSTS).alias("tokens"))
+        traits = stored(firsts.join(heads.select("seq", "size", "counts"), "seq").mapInArrow(_traits, _TRAITS), "join-traits")
+        self.members = members.select("token", "seq")
+        self.traits = traits
+
+        first = stored(self._candidates(self.members.select("token", "seq", F.col("seq").alias("root")), forest=True), "join-pairs")
         links = stored(self._links(first), "join-links")
         roots = components(links)
         labelled = self.members.join(roots, self.members["seq"] == roots["node"], "left").withColumn("root", F.coalesce("root", "seq")).drop("node")
         apart = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        labelled = stored(labelled.join(apart.select("token"), "token"), "join-apart")
+        labelled = stored(labelled.join(apart.select("token"), "token").select("token", "seq", "root"), "join-apart")
         second = self._candidates(labelled, forest=False).join(first, ["x", "y"], "left_anti")
         self.links = links.union(stored(self._links(stored(second, "join-pairs")), "join-links"))
 
@@ -397,7 +401,8 @@ class Join:
             everywhere = F.when(F.col("root") == F.col("major"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
             rows = rows.withColumn("block", F.explode(everywhere))
         firsts = [] if forest else ["firsts"]
-        rows = rows.select("token", "block", "seq", "root", "size", "counts", (F.col("block") == F.col("home")).alias("own"), *firsts)
+        rows = rows.select("token", "block", "seq", "root", (F.col("block") == F.col("home")).alias("own"))
+        rows = rows.join(self.traits.select("seq", "size", "counts", *firsts), "seq")
         n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
         dealt = rows.repartition(int(n), "token", "block").sortWithinPartitions("token", "block", "size", "seq")
         return dealt.mapInArrow(_pairs(self.percent, forest), "x long, y long").distinct()
