@@ -108,8 +108,13 @@ def failed(policy: Policy, rules: tuple[Rule, ...] = RULES) -> Column:
 
 
 def kept_rows(docs: DataFrame, policy: Policy = POLICIES[-1], rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The documents, columns unchanged, that pass the policy."""
-    return ledger(docs, rules, text).filter(~failed(policy, rules)).select("row.*")
+    """The documents, columns unchanged, that pass the policy.
+
+    The bits leave through a generator: a filter on them would else be pushed below their projections, which
+    writes every measurement out anew wherever a rule names it.
+    """
+    book = ledger(docs, rules, text).select("row", F.inline(F.array(F.struct("failure_bits"))))
+    return book.filter(~failed(policy, rules)).select("row.*")
 
 
 def ablations(book: DataFrame, policies: tuple[Policy, ...] = POLICIES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
