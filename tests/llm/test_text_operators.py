@@ -1,6 +1,7 @@
 """Text operators against brute force on small tables with every odd kind of row."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemart.llm import exact, jaccard, quality, secrets, substrings, toxicity, trigrams
+from tidemart.llm import exact, jaccard, quality, secrets, session, substrings, toxicity, trigrams
 from tidemart.llm import words as W
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -211,6 +212,38 @@ def test_divide_skip_counts(t):
     assert jaccard.t_occurrence(lists, t, 30) == Counter({x: c for x, c in counts.items() if c >= t})
 
 
+# ---- row numbers
+
+
+def test_rows_keep_their_numbers_when_scans_are_cut_otherwise(spark, docs, monkeypatch):
+    """Each stored step changes how later scans cut files, as a lost executor does."""
+    cuts = itertools.cycle(["1", "8"])
+
+    def stored(*args, **options):
+        out = session.stored(*args, **options)
+        spark.conf.set("spark.sql.files.minPartitionNum", next(cuts))
+        return out
+
+    rows = near_copies(10, 41) + [(500 + i, prose(40, 500 + i // 2)) for i in range(30)] + [(None, None), (None, ""), (700, SHARED), (701, "x " + SHARED)]
+    frame = docs(rows, files=8)
+    for module in (exact, jaccard, substrings):
+        monkeypatch.setattr(module, "stored", stored)
+    try:
+        for files in ("8", "1"):
+            spark.conf.set("spark.sql.files.minPartitionNum", files)
+            got = Counter(lower(r.text) for r in exact.kept_rows(frame).collect())
+            assert got == Counter({lower(t): 1 for _, t in rows})
+            got = jaccard.Join(frame, k=5, percent=80).classes()
+            assert by_row(got, "id", ("size", "component_id")) == linked_components(rows, 5, 80)
+            left = jaccard.kept_rows(frame).collect()
+            truth = linked_components(rows, 5, 80)
+            assert {r.doc_id for r in left if r.text} == {c for _, n, c in truth if n}
+            got = substrings.Repeats(frame).removed()
+            assert by_row(got, "id", ("n_words", "n_removed", "kept_sha256")) == removed(rows, substrings.LENGTH)
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 # ---- substring dedup
 
 

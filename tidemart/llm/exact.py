@@ -9,8 +9,8 @@
    A digest with different bytes below it (a collision) is settled by bytes instead.
 
 Of equal texts the row with the largest id stays; of rows that also share the id, one stays. A null id is
-smaller than any other. An empty table gives no rows. Other columns are not read. Rows are numbered alike in every
-scan of a stored table, which the input must be.
+smaller than any other. An empty table gives no rows. Other columns are not read. Rows are stored with their number once,
+and every later step reads it from there.
 """
 
 from __future__ import annotations
@@ -48,13 +48,17 @@ def dedup(
     docs: DataFrame, id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256, files: int = FILES_PER_BATCH,
 ) -> DataFrame:
     """Per row: row number, id, keep_id, group_size, kept, text_sha256, and the locators of the row and of the one that stays."""
-    spark = prepared(docs.sparkSession)
+    prepared(docs.sparkSession)
+    return _dedup(numbered(docs.select(id, text)), id, text, digest, files)
+
+
+def _dedup(rows: DataFrame, id: str, text: str, digest: Callable[[Column], Column] = sha256, files: int = FILES_PER_BATCH) -> DataFrame:
+    """The answer for rows stored with their numbers."""
+    spark = prepared(rows.sparkSession)
     folder = work_dir(spark, "exact-dedup")
-    source = docs.select(F.col(id).cast("long").alias("id"), lower_ascii(F.col(text)).alias("norm"))
-    prints = source.select(
-        "id", F.monotonically_increasing_id().alias("seq"), F.input_file_name().alias("locator"),
-        digest(F.col("norm")).alias("digest"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"),
-    )
+    row = F.col("row")
+    source = rows.select(row[id].cast("long").alias("id"), lower_ascii(row[text]).alias("norm"), "seq", F.col("file").alias("locator"))
+    prints = source.select("id", "seq", "locator", digest(F.col("norm")).alias("digest"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))
     prints.write.parquet(f"{folder}/prints")
     prints = spark.read.schema(prints.schema).parquet(f"{folder}/prints")
     hits = stored(_streamed_state(spark, prints.drop("text_sha256"), folder, files).filter("n > 1"), "exact-hits")
@@ -72,13 +76,12 @@ def dedup(
         F.when(hit, F.col("best.seq") == F.col("seq")).otherwise(F.lit(True)).alias("kept"), "text_sha256",
         "locator", F.when(hit, F.col("best.locator")).otherwise(F.col("locator")).alias("keep_locator"),
     )
-    return out.unionByName(_by_bytes(docs, id, text, digest, clashes)) if clashes.take(1) else out
+    return out.unionByName(_by_bytes(source, digest, clashes)) if clashes.take(1) else out
 
 
-def _by_bytes(docs: DataFrame, id: str, text: str, digest: Callable[[Column], Column], clashes: DataFrame) -> DataFrame:
+def _by_bytes(source: DataFrame, digest: Callable[[Column], Column], clashes: DataFrame) -> DataFrame:
     """The answer for digests that different texts share."""
-    rows = docs.select(F.col(id).cast("long").alias("id"), lower_ascii(F.col(text)).alias("norm"), F.monotonically_increasing_id().alias("seq"), F.input_file_name().alias("locator"))
-    rows = rows.withColumn("digest", digest(F.col("norm"))).join(clashes, "digest")
+    rows = source.withColumn("digest", digest(F.col("norm"))).join(clashes, "digest")
     group = Window.partitionBy("norm")
     ranked = group.orderBy(F.col("id").desc_nulls_last(), F.col("seq").desc())
     return rows.select(
@@ -90,8 +93,10 @@ def _by_bytes(docs: DataFrame, id: str, text: str, digest: Callable[[Column], Co
 
 def kept_rows(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, columns unchanged, without their copies."""
-    gone = stored(dedup(docs, id, text).filter(~F.col("kept")).select("seq"), "exact-gone")
-    return numbered(docs).join(gone, "seq", "left_anti").select("row.*")
+    prepared(docs.sparkSession)
+    rows = numbered(docs)
+    gone = stored(_dedup(rows, id, text).filter(~F.col("kept")).select("seq"), "exact-gone")
+    return rows.join(gone, "seq", "left_anti").select("row.*")
 
 
 def op4(spark: SparkSession, folder: str) -> DataFrame:

@@ -16,8 +16,8 @@ inverted lists. DivideSkip merges short lists and skips long ones, up to T - 1 o
    no link between different sets is lost although groups of near copies are not expanded into all pairs.
 
 A document with words but fewer than a shingle has one for the whole sequence; one without words or text
-has an empty set and links with nothing. Null and repeated ids are kept apart by row number, so the input must be a
-stored table, which numbers its rows alike in every scan. An empty table gives no rows; other columns are not read.
+has an empty set and links with nothing. Null and repeated ids are kept apart by row number, with which the rows are
+stored once and read in every later step. An empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -349,12 +349,14 @@ def _verify(k: int, percent: int):
 
 
 class Join:
-    """The steps over one stored table; `classes()` is the result."""
+    """The steps over one table, stored as `numbered`; `classes()` is the result."""
 
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> None:
         spark = prepared(docs.sparkSession)
         self.k, self.percent = k, percent
-        self.rows = docs.select(F.monotonically_increasing_id().alias("seq"), docs[id].cast("long").alias("id"), docs[text].cast("binary").alias("text"))
+        self.numbered = numbered(docs)
+        row = F.col("row")
+        self.rows = self.numbered.select("seq", row[id].cast("long").alias("id"), row[text].cast("binary").alias("text"))
         early = stored(self.rows.mapInArrow(_heads(k, percent, None), _SIZES).drop("counts"), "join-sizes")
         counts = early.select(F.explode("lists").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
         often = counts.filter(F.col("n") > LONG_FROM).orderBy(F.desc("n"), "token").limit(LONG_LISTS).collect()
@@ -410,7 +412,7 @@ class Join:
     def _links(self, pairs: DataFrame) -> DataFrame:
         """a, b of the pairs that link."""
         needed = stored(pairs.select(F.explode(F.array("x", "y")).alias("seq")).distinct(), "join-needed")
-        texts = stored(self.rows.join(needed.filter("seq >= 0"), "seq").select("seq", "text"), "join-texts")
+        texts = self.rows.join(needed.filter("seq >= 0"), "seq").select("seq", "text")
         with_y = pairs.join(texts.select(F.col("seq").alias("y"), F.col("text").alias("text_y")), "y")
         with_x = with_y.join(texts.select(F.col("seq").alias("x"), F.col("text").alias("text_x")), "x")
         return with_x.select("x", "y", "text_x", "text_y").sortWithinPartitions("x").mapInArrow(_verify(self.k, self.percent), "a long, b long")
@@ -432,8 +434,9 @@ class Join:
 
 def kept_rows(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, columns unchanged, with the one of smallest id left of each component."""
-    gone = stored(Join(docs, id, text, k, percent).classes().filter(~F.col("first")).select("seq"), "join-gone")
-    return numbered(docs).join(gone, "seq", "left_anti").select("row.*")
+    join = Join(docs, id, text, k, percent)
+    gone = stored(join.classes().filter(~F.col("first")).select("seq"), "join-gone")
+    return join.numbered.join(gone, "seq", "left_anti").select("row.*")
 
 
 def op6(spark: SparkSession, folder: str) -> DataFrame:

@@ -28,16 +28,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def stored(frame: DataFrame, name: str) -> DataFrame:
+def stored(frame: DataFrame, name: str, **options: str) -> DataFrame:
     """The frame written to the shared folder and read again: cuts lineage and survives lost executors."""
     path = work_dir(frame.sparkSession, name)
-    frame.write.parquet(path)
+    frame.write.options(**options).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """`row` and `seq`: the rows of a stored table, numbered alike in every scan."""
-    return docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("seq"))
+    """`row`, its number `seq` and the `file` it was read from, stored together.
+
+    The number is drawn in the write only. Another scan of the same files may cut them otherwise, since splits depend
+    on the cores registered when it is planned, and would give the number to another row.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("seq"), F.input_file_name().alias("file"))
+    return stored(rows, "numbered-rows", compression="zstd")
 
 
 WHITE = " \t\n\x0b\f\r"

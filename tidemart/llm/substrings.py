@@ -14,8 +14,8 @@ Of documents with the same word sequence only one takes part in 3 and 4; all of
 have `LENGTH` or more. Equality is that of 64-bit hashes of words and windows (128 bits for whole documents).
 
 Null text has no words; a document shorter than a window loses nothing. Null and repeated ids are kept apart
-by row number, so the input must be a stored table, which numbers its rows alike in every scan. An empty table
-gives no rows; other columns are not read.
+by row number, with which the rows are stored once and read in every later step. An empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemart.llm import words as W
-from tidemart.llm.session import prepared, stored, table
+from tidemart.llm.session import numbered, prepared, stored, table
 
 LENGTH = 35
 ANCHOR = 18
@@ -168,15 +168,15 @@ def _repeated(places: DataFrame) -> DataFrame:
 
 
 class Repeats:
-    """The steps over one stored table; `spans` and `removed` are its results."""
+    """The steps over one table, stored as `numbered`; `spans` and `removed` are its results."""
 
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> None:
         if not 1 <= anchor <= length:
             raise ValueError("an anchor must fit into the window")
         prepared(docs.sparkSession)
         self.length = length
-        body = docs[text].cast("binary").alias("text")
-        self.rows = docs.select(F.monotonically_increasing_id().alias("seq"), docs[id].cast("long").alias("id"), body)
+        row = F.col("row")
+        self.rows = numbered(docs.select(id, text)).select("seq", row[id].cast("long").alias("id"), row[text].cast("binary").alias("text"))
         scanned = self.rows.mapInArrow(
             _scan(length, anchor), "seq long, id long, n_words long, words_digest binary, sha string, anchors array<long>, places array<int>"
         )
