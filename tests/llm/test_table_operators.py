@@ -55,6 +55,27 @@ def test_sampling_is_stable_and_calibrated(docs):
     assert out.columns == frame.columns and out.count() == taken
 
 
+def test_a_stray_category_leaves_the_rate_of_the_others(spark, docs, folder):
+    rows = mixed_rows()
+    step = dict(corpus_pipeline.STAGES)["source_mixing"]
+    stray = (9999, prose(15, 77), "xx", "stray", 100)
+    plain, strayed = docs(rows), docs([*rows, stray])
+    one, two = ({r.doc_id for r in step(spark, f, folder).collect()} for f in (plain, strayed))
+    assert len(one) > 150 and len(one ^ (two - {9999})) < 20
+    got = mixing.calibrated(strayed, keep=0.5).select("row.doc_id", "row.source", "n_tokens", "probability").toPandas()
+    assert got.probability.between(0, 1).all() and got.probability[got.doc_id == 9999].item() == pytest.approx(1, abs=0.02)
+    assert (got.n_tokens * got.probability).sum() == pytest.approx(0.5 * got.n_tokens.sum(), rel=1e-3)
+
+
+def test_bounded_raking_reaches_budgets(docs):
+    rows = mixed_rows()
+    targets = {"source": {"src0": 3.0, "src1": 1.0}, "lang": 0.9}
+    got = mixing.calibrated(docs(rows), targets, keep=0.4).select("row.source", "row.lang", "n_tokens", "probability").toPandas()
+    assert got.probability.between(0, 1).all()
+    held = (got.n_tokens * got.probability).groupby(got.source).sum() / got.n_tokens.sum()
+    assert held.sum() == pytest.approx(0.4, abs=1e-5) and held["src0"] == pytest.approx(0.3, abs=1e-5)
+
+
 def test_mixing_odd_tables(docs):
     odd = docs([*ROWS, (99, None, None, None, None)])
     assert mixing.calibrated(odd).count() == len(ROWS) + 1

@@ -7,6 +7,11 @@ the ratio of the targets. Sampling compares it with a uniform number taken from
 the same id always falls the same way. All of it is DataFrame functions; the texts are scanned twice and
 never shuffled, and only cells are iterated.
 
+On that scale the rarest cell sets the rate of the whole corpus, so one stray category can empty the sample. With
+`keep`, the share of tokens to sample, the scale is stated instead: a margin's targets are shares of that budget, a
+category that holds less than its target is kept whole and the others share what is left, and probabilities are
+raked with 1 as their bound (`rake_within`). The registered query keeps the scale of its SQL; the pipeline states `KEEP`.
+
 A null category is one of its own. Null and empty texts have no tokens; a category without tokens keeps its
 factor. Categories that explicit targets do not name get 0 and are not sampled; named ones that hold no
 tokens are left out of the total. Rows with the same id are sampled together. An empty table gives no rows.
@@ -25,7 +30,11 @@ from tidemart.llm.session import WHITE, stored, table
 TARGETS: dict[str, Mapping[str, float] | float] = {"source": 0.8, "lang": 0.8, "topic": 0.9}
 #: Topics by the first that has one of its marks in the text.
 TOPICS = (("contact", ("@", "+1 (")), ("legal", ("icense", "opyright")), ("secret", ("password", "token =", "AKIA")), ("markup", ("#", "*", "$", "|")))
+#: Share of tokens that the pipeline samples.
+KEEP = 0.5
 TOLERANCE = 1e-12
+#: Bounded raking ends at this error in token shares, or when so many sweeps in a row do not lower it by a hundredth.
+CLOSE, PATIENCE = 1e-6, 5
 MOST_SWEEPS = 16
 
 
@@ -58,18 +67,23 @@ def _held(margin: str) -> Column:
     return F.sum(F.col("share") * F.col("factor")).over(Window.partitionBy(margin))
 
 
-def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], tolerance: float = TOLERANCE, sweeps: int = MOST_SWEEPS) -> DataFrame:
-    """`cells` (margins, tokens) with `factor`: raked until no margin's share is off by more than `tolerance`.
-
-    Only sums over all cells, one number each, reach the driver.
-    """
+def _aimed(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float]) -> DataFrame:
+    """Cells with their share of tokens and the goals of their categories. Only sums over all cells reach the driver."""
     cells = stored(cells, "mix-cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 1
     cells = cells.withColumn("share", F.col("tokens") / F.lit(float(total)))
     for m, target in targets.items():
         goals = _goals(cells, m, target)
         cells = cells.join(goals, cells[m].eqNullSafe(goals["_m"]), "left").drop("_m")
-    cells = stored(cells.withColumn("factor", F.lit(1.0)), "mix-cells")
+    return cells
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], tolerance: float = TOLERANCE, sweeps: int = MOST_SWEEPS) -> DataFrame:
+    """`cells` (margins, tokens) with `factor`: raked until no margin's share is off by more than `tolerance`.
+
+    Only sums over all cells, one number each, reach the driver.
+    """
+    cells = stored(_aimed(cells, targets).withColumn("factor", F.lit(1.0)), "mix-cells")
     for _ in range(sweeps):
         for m in targets:
             cells = cells.withColumn("held", _held(m))
@@ -83,7 +97,61 @@ def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], t
     return cells
 
 
-def calibrated(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float] = TARGETS, id: str = "doc_id", text: str = "text", seed: str = "mix") -> DataFrame:
+def _budgets(open_cells: DataFrame, margin: str, keep: float) -> DataFrame:
+    """`aim` per category: its part of `keep`, at most what it holds; what full categories leave goes to the others."""
+    wide = open_cells.groupBy(margin).agg(F.sum("share").alias("have"), F.first(f"goal_{margin}").alias("goal"))
+    wide, rate, full = stored(wide, "mix-budgets"), 0.0, -1
+    while True:
+        whole = F.col("have") <= rate * F.col("goal")
+        n, held, goals = wide.agg(F.count_if(whole), F.sum(F.when(whole, F.col("have"))), F.sum(F.when(~whole, F.col("goal")))).first()
+        if n == full or not goals:
+            break
+        # Full categories hold less than their part, so the rate of the others only rises.
+        full, rate = n, max(rate, (keep - (held or 0.0)) / goals)
+    return wide.select(F.col(margin).alias("_m"), F.least("have", rate * F.col("goal")).alias(f"aim_{margin}"))
+
+
+def rake_within(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], keep: float, tolerance: float = CLOSE) -> tuple[DataFrame, dict[str, float]]:
+    """`cells` with `factor` and `probability`, the factor bounded by 1, and the error left in each margin's token shares.
+
+    A cell at 1 stays there and the free cells of its category are raked to the rest of the aim; only if cells at 1
+    hold more than the aim are all of them lowered. Cells of a category with goal 0, or without tokens, get 0.
+    """
+    cells = stored(_aimed(cells, targets), "mix-cells")
+    may = reduce(lambda a, b: a & b, (F.coalesce(F.col(f"goal_{m}"), F.lit(0.0)) > 0 for m in targets)) & (F.col("share") > 0)
+    open_cells = cells.filter(may)
+    keep = min(keep, open_cells.agg(F.sum("share")).first()[0] or 0.0)
+    for m in targets:
+        aims = _budgets(open_cells, m, keep)
+        cells = cells.join(aims, cells[m].eqNullSafe(aims["_m"]), "left").drop("_m")
+    cells = stored(cells.withColumn("factor", F.when(may, F.lit(keep)).otherwise(0.0)), "mix-cells")
+    bounded, best, idle = F.least("factor", F.lit(1.0)), float("inf"), 0
+    while True:
+        for m in targets:
+            of = Window.partitionBy(m)
+            at_one = F.col("factor") >= 1
+            cells = cells.withColumns({
+                "fixed": F.sum(F.when(at_one, F.col("share")).otherwise(0.0)).over(of), "free": F.sum(F.when(at_one, 0.0).otherwise(F.col("share") * F.col("factor"))).over(of),
+            })
+            rest = F.col(f"aim_{m}") - F.col("fixed")
+            step = F.when((rest > 0) & (F.col("free") > 0), rest / F.col("free")).otherwise(F.col(f"aim_{m}") / (F.col("fixed") + F.col("free")))
+            step = F.when(F.col("fixed") + F.col("free") > 0, step).otherwise(1.0)
+            # Cells at 1 are not raised further, so that they can come down again as soon as they must.
+            raised = F.when(at_one, F.col("factor") * F.least(step, F.lit(1.0))).otherwise(F.col("factor") * step)
+            lowered = F.when((rest > 0) & at_one, F.col("factor")).otherwise(raised)
+            cells = cells.withColumn("factor", F.coalesce(F.least(lowered, F.lit(1.0)), F.lit(0.0))).drop("fixed", "free")
+        cells = stored(cells, "mix-cells")
+        off = {m: cells.filter(may).groupBy(m).agg(F.abs(F.sum(F.col("share") * bounded) - F.first(f"aim_{m}")).alias("off")) for m in targets}
+        left = {m: x.agg(F.max("off")).first()[0] or 0.0 for m, x in off.items()}
+        worst = max(left.values(), default=0.0)
+        idle, best = (0, worst) if worst < 0.99 * best else (idle + 1, min(best, worst))
+        if worst <= tolerance or idle >= PATIENCE:
+            return cells.withColumn("probability", bounded), left
+
+
+def calibrated(
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float] = TARGETS, id: str = "doc_id", text: str = "text", seed: str = "mix", keep: float | None = None,
+) -> DataFrame:
     """`row`, `n_tokens`, `topic`, `factor`, `probability`, `sampled`; margins are columns of the row, or `topic` of its text."""
     body = docs[text]
     keyed = docs.select(
@@ -91,19 +159,25 @@ def calibrated(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | floa
         *(docs[m].alias(m) for m in targets if m != "topic"),
     )
     margins = list(targets)
-    cells = rake(keyed.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens")), targets)
-    top = cells.filter("share > 0").agg(F.max("factor")).first()[0] or 1.0
-    rate = F.least(F.col("factor") / top, F.lit(1.0)).alias("probability")
-    rates = stored(cells.select(*(F.col(m).alias(f"c_{m}") for m in margins), "factor", rate), "mix-rates")
+    cells = keyed.groupBy(*margins).agg(F.sum("n_tokens").alias("tokens"))
+    if keep is None:
+        cells = rake(cells, targets)
+        top = cells.filter("share > 0").agg(F.max("factor")).first()[0] or 1.0
+        cells = cells.withColumn("probability", F.least(F.col("factor") / top, F.lit(1.0)))
+    else:
+        cells, _ = rake_within(cells, targets, keep)
+    rates = stored(cells.select(*(F.col(m).alias(f"c_{m}") for m in margins), "factor", "probability"), "mix-rates")
     same = reduce(lambda a, b: a & b, (F.col(m).eqNullSafe(F.col(f"c_{m}")) for m in margins))
     uniform = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("key", F.lit("")))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     out = keyed.join(rates, same, "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     return out.select("row", "n_tokens", "topic", "factor", "probability", (uniform < F.col("probability")).alias("sampled"))
 
 
-def sampled_rows(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float] = TARGETS, id: str = "doc_id", text: str = "text", seed: str = "mix") -> DataFrame:
+def sampled_rows(
+    docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float] = TARGETS, id: str = "doc_id", text: str = "text", seed: str = "mix", keep: float | None = None,
+) -> DataFrame:
     """The sampled documents, columns unchanged."""
-    return calibrated(docs, targets, id, text, seed).filter("sampled").select("row.*")
+    return calibrated(docs, targets, id, text, seed, keep).filter("sampled").select("row.*")
 
 
 def op1(spark: SparkSession, folder: str) -> DataFrame:
