@@ -302,6 +302,13 @@ def test_spans_match_full_scan(docs):
     assert kinds >= {r.kind for r in secrets.RULES} - {"google"}
 
 
+def test_logins_of_any_length(docs):
+    text = "see scheme://user:" + "t" * 300 + "@host and http://" + "u" * 90 + ":pass@host"
+    (row,) = secrets.find(docs([(1, text)])).collect()
+    got = [(s.kind, s.start, s.end) for s in row.spans if s.kind == "url_login"]
+    assert got == [("url_login", 4, text.index("@") + 1), ("url_login", text.index("http"), text.rindex("@") + 1)]
+
+
 def test_every_match_satisfies_its_query():
     r = random.Random(1)
     for rule in secrets.RULES:

@@ -47,7 +47,7 @@ ADDED = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("bearer", r"(?ai:bearer)\x20+[A-Za-z0-9._~+/-]{20,}=*"),
-    Rule("url_login", r"[a-z][a-z0-9+]{1,20}://[^\s/:@]{1,64}:[^\s/@]{3,64}@"),
+    Rule("url_login", r"[a-z][a-z0-9+]{1,20}://[^\s/:@]+:[^\s/@]{3,}@"),
 )
 RULES = BASE + ADDED
 SCHEMA = "id long, spans array<struct<kind:string,start:long,end:long>>"
