@@ -14,6 +14,7 @@ from tidemart.llm.links import SQL9, op9
 from tidemart.llm.mixing import SQL1, op1
 from tidemart.llm.packing import op5
 from tidemart.llm.quality import SQL3, op3
+from tidemart.llm.ranked import SQL13, op13
 from tidemart.llm.secrets import op10
 from tidemart.llm.substrings import SQL7, op7
 from tidemart.llm.toxicity import op2
@@ -30,12 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_link_trust": op9,
     "op10_trigram_secrets": op10,
     "op12_grammar_round_trip": op12,
+    "op13_max_sketches": op13,
 }
 ORACLES: dict[str, str] = {
     name: sql.strip()
     for name, sql in (
         ("op1_raked_mixing", SQL1), ("op3_quality_ledger", SQL3), ("op4_streaming_exact_dedup", SQL4), ("op6_divide_skip_join", SQL6),
         ("op7_seed_and_extend", SQL7), ("op8_arc_to_warc", SQL8),
-        ("op9_link_trust", SQL9), ("op12_grammar_round_trip", SQL12),
+        ("op9_link_trust", SQL9), ("op12_grammar_round_trip", SQL12), ("op13_max_sketches", SQL13),
     )
 }
