@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemart.llm.archive import SQL8, op8
 from tidemart.llm.chat import SQL12, op12
 from tidemart.llm.exact import SQL4, op4
+from tidemart.llm.gnat import SQL11, op11
 from tidemart.llm.jaccard import SQL6, op6
 from tidemart.llm.links import SQL9, op9
 from tidemart.llm.mixing import SQL1, op1
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8,
     "op9_link_trust": op9,
     "op10_trigram_secrets": op10,
+    "op11_gnat_negatives": op11,
     "op12_grammar_round_trip": op12,
     "op13_max_sketches": op13,
 }
@@ -38,6 +40,6 @@ ORACLES: dict[str, str] = {
     for name, sql in (
         ("op1_raked_mixing", SQL1), ("op3_quality_ledger", SQL3), ("op4_streaming_exact_dedup", SQL4), ("op6_divide_skip_join", SQL6),
         ("op7_seed_and_extend", SQL7), ("op8_arc_to_warc", SQL8),
-        ("op9_link_trust", SQL9), ("op12_grammar_round_trip", SQL12), ("op13_max_sketches", SQL13),
+        ("op9_link_trust", SQL9), ("op11_gnat_negatives", SQL11), ("op12_grammar_round_trip", SQL12), ("op13_max_sketches", SQL13),
     )
 }
