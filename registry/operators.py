@@ -14,7 +14,7 @@ from tidemart.operators.dedup import first_per_day, first_per_key, latest_per_ke
 from tidemart.operators.enrich import enrich, lookup
 from tidemart.operators.hotkeys import attach_per_key
 from tidemart.operators.joins import bounded_join, interval_join
-from tidemart.operators.keywords import keyword_counts
+from tidemart.operators.keywords import keyword_counts, words
 from tidemart.operators.routing import route_dimensions
 from tidemart.operators.sets import union_all
 from tidemart.operators.visitors import (
@@ -540,6 +540,8 @@ def outer_join_variants(t: Tables) -> DataFrame:
 
 # --- keywords, dashboards, functions -------------------------------------------------------------
 
+IDEOGRAPHS = "[\\x{3040}-\\x{30FF}\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{F900}-\\x{FAFF}\\x{20000}-\\x{3FFFF}]"
+
 
 @query(f"""
 SELECT {_BUCKET.format('10 minutes')}, 'search' AS source, keyword, count(*) AS keyword_count FROM (
@@ -555,6 +557,35 @@ def keyword_window_count(t: Tables) -> DataFrame:
     return keyword_counts(typed, "text", "rt", "10 minutes", version=False)
 
 
+@query(f"""
+WITH dict AS (
+  SELECT DISTINCT word FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS word FROM benchmark) WHERE word <> ''),
+runs AS (
+  SELECT row_number() OVER () AS id, b, run FROM (
+    SELECT time_bucket(INTERVAL '10 minutes', TIMESTAMP '2024-01-01' + to_seconds(doc_id)) AS b,
+           unnest(regexp_split_to_array(lower(replace(text, ' ', '')), '[^\\p{{L}}\\p{{N}}]+')) AS run FROM documents)
+  WHERE run <> ''),
+places AS (SELECT id, b, run, unnest(range(1, length(run) + 1)) AS p FROM runs),
+pieces AS (SELECT id, b, p, n, substring(run, p, n) AS word, length(run) AS size FROM places, (SELECT DISTINCT length(word) AS n FROM dict)),
+hits AS (SELECT id, b, p, n, word FROM pieces JOIN dict USING (word) WHERE p + n <= size + 1),
+covered AS (SELECT DISTINCT id, unnest(range(p, p + n)) AS p FROM hits),
+free AS (
+  SELECT id, b, p, substring(run, p, 1) AS c, p - row_number() OVER (PARTITION BY id, regexp_matches(substring(run, p, 1), '{IDEOGRAPHS}') ORDER BY p) AS island,
+         regexp_matches(substring(run, p, 1), '{IDEOGRAPHS}') AS alone
+  FROM places ANTI JOIN covered USING (id, p)),
+left_over AS (SELECT b, string_agg(c, '' ORDER BY p) AS word FROM free GROUP BY id, b, island, alone, CASE WHEN alone THEN p END)
+SELECT {_BUCKET.format('10 minutes')}, 'search' AS source, word AS keyword, count(*) AS keyword_count
+FROM (SELECT b, word FROM hits UNION ALL SELECT b, word FROM left_over) GROUP BY b, word
+""")
+def keyword_segment_window(t: Tables) -> DataFrame:
+    """Documents with their spaces taken out, cut by the words of the benchmark items."""
+    typed = t.documents.select(
+        F.replace("text", F.lit(" "), F.lit("")).alias("text"),
+        times.from_millis_floor(F.lit(1704067200000) + F.col("doc_id") * 1000).alias("rt"),
+    )
+    return keyword_counts(typed, "text", "rt", "10 minutes", version=False, dictionary=words(t.benchmark, "text"))
+
+
 @query("""
 SELECT CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS day, round(sum(o_totalprice), 2) AS order_amount
 FROM orders GROUP BY 1

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidemart.operators.segment import SEPARATORS, segments
 from tidemart.operators.windows import WINDOW, tumble
 
-# Words are runs of letters and digits in any script.
-SEPARATORS = r"[^\p{L}\p{N}]+"
-
 
 def words(df: DataFrame, text: str, out: str = "word", pattern: str = SEPARATORS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One lower-case row per word of `text`; the whole text is read, text without words gives none."""
@@ -24,8 +22,13 @@ def keyword_counts(
     pattern: str = SEPARATORS,
     source: str | Column = "search",
     version: bool = True,
+    dictionary: DataFrame | None = None,
 ) -> DataFrame:
-    tokens = words(df, text, "keyword", pattern, keep=(ts,))
+    """Words per window; with a `dictionary` (column `word`), those of text without spaces too."""
+    if dictionary is None:
+        tokens = words(df, text, "keyword", pattern, keep=(ts,))
+    else:
+        tokens = segments(df, text, dictionary, "keyword", keep=(ts,))
     out = tumble(tokens, ts, size, {"keyword_count": F.count("*")}, ["keyword"], version)
     src = F.lit(source) if isinstance(source, str) else source
     tail = ["ts"] if version else []

@@ -62,11 +62,14 @@ def bounce_detail(pages: DataFrame, within_seconds: int = 10, order: tuple[str,
     return run(timed, "__mid", "rt", logs.entered(), within_seconds, order=order).select(*pages.columns)
 
 
-def keyword_window(pages: DataFrame, size: str = WINDOW, version: bool = True) -> DataFrame:
+def keyword_window(
+    pages: DataFrame, size: str = WINDOW, version: bool = True, dictionary: DataFrame | None = None
+) -> DataFrame:
+    """Searched words per window, cut by a dictionary where one is given."""
     found = logs.search_keywords(pages).select(
         F.col("page.item").alias("text"), from_millis_floor("ts").alias("rt")
     ).withWatermark("rt", DELAY)
-    return keywords.keyword_counts(found, "text", "rt", size, version=version)
+    return keywords.keyword_counts(found, "text", "rt", size, version=version, dictionary=dictionary)
 
 
 _CHANNEL = {"vc": "common.vc", "ch": "common.ch", "ar": "common.ar", "is_new": "common.is_new"}
