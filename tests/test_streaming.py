@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import rows_of, run, stream_of
@@ -12,7 +13,7 @@ from tidemart.operators.dedup import first_per_day, first_within, latest_in_wind
 from tidemart.operators.visitors import daily_visits, repair_is_new
 from tidemart.operators.windows import sums, tumble, tumble_distinct
 from tidemart.streaming.ordered import (
-    bounces_stream, daily_visits_stream, first_per_day_stream, repair_is_new_stream,
+    bounces_stream, daily_visits_stream, first_days, first_per_day_stream, repair_is_new_stream,
 )
 
 SCHEMA = "k string, ms long, flag string, n int"
@@ -52,11 +53,54 @@ def test_repair_is_new(spark, folder):
     assert rows_of(_no_end(got)) == rows_of(_no_end(want))
 
 
+def test_repair_starts_from_stored_days(spark, folder):
+    """A first run's table gives the days; the stream that follows gives the rows one run over both gives."""
+    batches = [sorted(b, key=lambda r: r[1]) for b in _batches(7, late_ms=1)]
+    old, new = batches[:2], batches[2:]
+    flat = lambda parts: _timed(spark.createDataFrame([r for b in parts for r in b], SCHEMA))
+    days = first_days(flat(old), "k", "rt", "flag", ["n"])
+    stream = _timed(stream_of(spark, folder, new, SCHEMA))
+    got = run(spark, folder, repair_is_new_stream(stream, "k", "rt", "flag", ["n"], known=days)).select("k", "ms", "n", "flag")
+    numbers = {r[3] for b in new for r in b}
+    whole = repair_is_new(flat(batches), "k", "rt", "flag", ["n"]).select("k", "ms", "n", "flag")
+    want = [r for r in rows_of(whole) if r[2] in numbers]
+    assert rows_of(got) == want
+    fresh = repair_is_new(flat(new), "k", "rt", "flag", ["n"]).select("k", "ms", "n", "flag")
+    assert rows_of(fresh) != want
+
+
+def test_repair_lets_rows_without_key_or_time_by(spark, folder):
+    rows = [[(None, 5, "1", 1), ("a", None, "1", 2), ("a", 1_700_000_000_000, "1", 2**60 + 1)], [("a", 1_800_000_000_000, "1", None), ("a", None, None, 4)]]
+    stream = _timed(stream_of(spark, folder, rows, SCHEMA.replace("n int", "n long")))
+    got = run(spark, folder, repair_is_new_stream(stream, "k", "rt", "flag", ["n"]))
+    assert rows_of(got, "k", "flag", "n") == sorted([(None, "1", 1), ("a", "1", 2), ("a", "1", 2**60 + 1), ("a", "0", None), ("a", None, 4)], key=str)
+    with pytest.raises(ValueError):
+        repair_is_new_stream(stream.withColumn("x", F.lit(1.5)), "k", "rt", "flag", ["x"])
+
+
+def _hot(seed):
+    """A third of all rows on one device, close together in places."""
+    batches = _batches(seed, n=150, keys=40)
+    return [[("hot", *r[1:]) if r[0] != "end" and r[3] % 3 == 0 else r for r in b] for b in batches]
+
+
 def test_first_per_day(spark, folder):
-    batch, stream = _both(spark, folder, 2)
-    want = first_per_day(batch, ["k"], "rt", ["n"])
-    got = run(spark, folder, first_per_day_stream(stream, "k", "rt", ["n"]))
-    assert rows_of(_no_end(got), "k", "ms", "n") == rows_of(_no_end(want), "k", "ms", "n")
+    for batches in (_batches(2), _hot(6)):
+        flat = [r for b in batches for r in b]
+        batch, stream = _timed(spark.createDataFrame(flat, SCHEMA)), _timed(stream_of(spark, folder, batches, SCHEMA))
+        days = lambda df: rows_of(_no_end(df).select("k", F.to_date("rt").alias("day")))
+        got = run(spark, folder, first_per_day_stream(stream, "k", "rt"))
+        assert days(got) == days(first_per_day(batch, ["k"], "rt", ["n"]))
+        assert set(rows_of(got, "k", "ms", "flag", "n")) <= set(flat)
+
+
+def test_first_per_day_forgets_days_that_are_over(spark, folder):
+    day = 86_400_000
+    batches = [[("a", 19_700 * day, "0", 0)], [("a", 19_700 * day + 5, "0", 1), ("b", 19_702 * day, "0", 2)], [("b", 19_702 * day + 1, "0", 3)], [("a", 19_700 * day + 6, "0", 4)]]
+    stream = _timed(stream_of(spark, folder, batches, SCHEMA))
+    assert rows_of(run(spark, folder, first_per_day_stream(stream, "k", "rt")), "n") == [(0,), (2,)]
+    late = _timed(stream_of(spark, folder, [[("a", 19_700 * day - 1, "0", 0)], [("a", 19_700 * day + 1, "0", 1)], [("a", 19_700 * day + 2, "0", 2)]], SCHEMA))
+    assert rows_of(run(spark, folder, first_per_day_stream(late, "k", "rt", "16 hours")), "n") == [(0,)]
 
 
 def test_daily_visits_then_window(spark, folder):
@@ -91,12 +135,22 @@ def test_daily_visits_late_across_midnight(spark, folder):
 
 
 def test_bounces(spark, folder):
-    batch, stream = _both(spark, folder, 4)
     entry = F.col("flag") == "1"
-    want = bounces(batch, "k", "rt", entry, 10, ["n"]).select("k", "ms", "n")
-    got = run(spark, folder, bounces_stream(stream, "k", "rt", entry, 10, ["n"])).select("k", "ms", "n")
-    assert rows_of(_no_end(got)) == rows_of(_no_end(want))
-    assert 0 < got.count() < 240
+    for batches, slide in ((_batches(4), None), (_hot(8), 4), (_batches(9, n=300, keys=2, span_ms=600_000), 25)):
+        flat = [r for b in batches for r in b]
+        batch, stream = _timed(spark.createDataFrame(flat, SCHEMA)), _timed(stream_of(spark, folder, batches, SCHEMA))
+        want = bounces(batch, "k", "rt", entry, 10, ["n"]).select("k", "ms", "n")
+        out = bounces_stream(stream, "k", "rt", entry, 10, ["n"], slide_seconds=slide).select("k", "ms", "n")
+        got = run(spark, folder, out)
+        assert rows_of(_no_end(got)) == rows_of(_no_end(want))
+        assert 0 < got.count() < len(flat)
+
+
+def test_no_python_worker_for_visitors_and_bounces(spark, folder):
+    stream = _timed(stream_of(spark, folder, _batches(1), SCHEMA))
+    for out in (first_per_day_stream(stream, "k", "rt"), bounces_stream(stream, "k", "rt", F.col("flag") == "1", 10, ["n"])):
+        plan = out._jdf.queryExecution().analyzed().toString()
+        assert "Python" not in plan and "Pandas" not in plan
 
 
 def test_latest_in_window_then_sum(spark, folder):
@@ -129,7 +183,11 @@ def test_first_within_drops_repeats(spark, folder):
 
 def test_ties_go_by_value(spark, folder):
     t0 = 1_700_000_000_000
-    batches = [[("a", t0, "x", 10), ("a", t0, "y", 9)], [("b", t0, "x", None), ("b", t0, "y", 3)], [("end", FAR, "0", -1)]]
+    batches = [[("a", t0, "1", 10), ("a", t0, "0", 9)], [("b", t0, "0", None), ("b", t0, "1", -3)], [("a", t0 + 86_400_000, "1", 1), ("b", t0 + 86_400_000, "1", 2)]]
+    batches += [[("end", FAR, "0", -1)]]
     stream = _timed(stream_of(spark, folder, batches, SCHEMA))
-    got = run(spark, folder, first_per_day_stream(stream, "k", "rt", ["n"]))
-    assert rows_of(_no_end(got), "k", "n") == [("a", 9), ("b", None)]
+    got = run(spark, folder, repair_is_new_stream(stream, "k", "rt", "flag", ["n"]))
+    want = repair_is_new(_timed(spark.createDataFrame([r for b in batches for r in b], SCHEMA)), "k", "rt", "flag", ["n"])
+    assert rows_of(got, "k", "n", "flag") == rows_of(want, "k", "n", "flag")
+    # The day before the first counts as the first day of both, whose earliest rows were not flagged.
+    assert ("a", 10, "0") in rows_of(got, "k", "n", "flag") and ("b", -3, "0") in rows_of(got, "k", "n", "flag")

@@ -31,14 +31,14 @@ def fan_out_raw_logs(raw: DataFrame, value_col: str = "value", order: tuple[str,
     return logs.fan_out(repair_logs(parse_logs(raw, value_col, keep=order), order))
 
 
-def repair_logs(parsed: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+def repair_logs(parsed: DataFrame, order: tuple[str, ...] = (), known: DataFrame | None = None) -> DataFrame:
+    """Logs with repaired visitor flags; a stream may start from devices `known` before (`mid`, `first_day`)."""
     if not parsed.isStreaming:
         return logs.repair_visitors(parsed, order)
-    known = F.col("common.mid").isNotNull()
-    flat = _timed(parsed.filter(known), DELAY).withColumns({"__mid": F.col("common.mid"), "__flag": F.col("common.is_new")})
-    repaired = logs.with_flag(repair_is_new_stream(flat, "__mid", "rt", "__flag", order), "__flag")
+    flat = parsed.withColumns({"rt": from_millis("ts"), "__mid": F.col("common.mid"), "__flag": F.col("common.is_new")})
+    before = None if known is None else known.select(F.col("mid").alias("__mid"), "first_day")
     # Records without a device have no history to be held against: they pass by the state.
-    return union_all(repaired.select(*parsed.columns), parsed.filter(~known))
+    return logs.with_flag(repair_is_new_stream(flat, "__mid", "rt", "__flag", order, before), "__flag").select(*parsed.columns)
 
 
 def _timed(pages: DataFrame, delay: str) -> DataFrame:
@@ -46,10 +46,10 @@ def _timed(pages: DataFrame, delay: str) -> DataFrame:
 
 
 def unique_visitors(pages: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
-    """The first session entry of each device on each day."""
+    """The first session entry of each device on each day; on a stream, the first to arrive."""
     timed = _timed(logs.entry_pages(pages), DELAY).withColumn("__mid", F.col("common.mid"))
     if timed.isStreaming:
-        first = first_per_day_stream(timed, "__mid", "rt", order)
+        first = first_per_day_stream(timed, "__mid", "rt")
     else:
         first = first_per_day(timed, ["__mid"], "rt", order)
     return first.select(*pages.columns)

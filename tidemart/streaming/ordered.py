@@ -1,155 +1,58 @@
-"""Per-key stateful operators on streams.
+"""Visits, flags and bounces on streams.
 
-Operators that return whole rows replay them in event-time order: rows wait in state until the
-watermark passes them, then meet the rule in (time, order) sequence. Results equal those of the
-batch twin for any arrival order the watermark allows. As they lie behind the watermark by then, they
-go to a sink, and the next job reads that sink as a stream of its own.
+First visits of a day and bounces are built-in operators: a drop of repeats and one windowed aggregate, both with
+state the watermark evicts. Flag repair and visit history keep a small value per key in Python processors that
+answer each micro-batch at once; they hold no rows and set no timers.
 
-`daily_visits_stream` feeds window sums in the same query and so answers at once.
+Rows without a time belong to no day and no window: they give no visit and no bounce, and flag repair lets them by.
 """
 
 from __future__ import annotations
 
-import json
 import sys
-from bisect import bisect_right
 from collections.abc import Iterator, Sequence
-from datetime import datetime, timedelta, timezone
-from itertools import groupby
-from zoneinfo import ZoneInfo
 
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from tidemart.operators.sets import union_all
+
 # Processors travel to the workers by value, which need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
-_FRAME_ROWS = 10_000
-_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
-
-
-def _rank(order: str) -> list:
-    """Order of rows at one instant: by value, NULLs first."""
-    return [(v is not None, v) for v in json.loads(order).values()]
-
-
-def _ceil_ms(micros: int) -> int:
-    return -(-micros // 1000)
 
 
-class OrderedReplay(StatefulProcessor):
-    """Holds the rows of a key until the watermark passes them, then meets the rule with them in order.
+class FirstDay(StatefulProcessor):
+    """Keeps the first day of a key and passes its rows by with that day.
 
-    State is read once and written once at most per key and callback: the waiting rows as one text, and the
-    rule's own value of type `VALUE`. One timer per key is live at a time, at the earliest moment anything is due.
-    Subclasses give `on_row` and, where silence matters, `on_time` and `next_deadline`; each takes the value and
-    those that may change it return it.
+    The first row of a key, the earliest of its first micro-batch, fixes the day: its own if it is flagged, else the
+    day before. A run may start from days that were found before.
     """
 
-    VALUE = ""
-
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getValueState("waiting", "rows string")
-        self.kept = handle.getValueState("kept", self.VALUE)
-
-    def on_row(self, value: tuple | None, micros: int, payload: str, flag: str | None, out: list[tuple]) -> tuple | None:
-        raise NotImplementedError
-
-    def on_time(self, value: tuple | None, watermark_us: int, out: list[tuple]) -> tuple | None:
-        return value
+        self.first = handle.getValueState("first", "day bigint")
 
-    def next_deadline(self, value: tuple | None) -> int | None:
-        return None
-
-    def _rows(self) -> list[list]:
-        return json.loads(self.waiting.get()[0]) if self.waiting.exists() else []
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        self.first.update((int(initialState["first_day"].min()),))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self._rows()
-        at = len(held)
-        for pdf in rows:
-            held.extend(map(list, zip(pdf["us"].tolist(), pdf["ord"], pdf["payload"], pdf["flag"])))
-        if len(held) > at:
-            self.waiting.update((json.dumps(held),))
-            self._arm(min(r[0] for r in held[at:]))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        held = sorted(self._rows(), key=lambda r: r[0])
-        due = bisect_right([_ceil_ms(r[0]) for r in held], mark)
-        before = value = tuple(self.kept.get()) if self.kept.exists() else None
-        out: list[tuple] = []
-        for _, same in groupby(held[:due], key=lambda r: r[0]):
-            group = list(same)
-            if len(group) > 1:
-                group.sort(key=lambda r: _rank(r[1]))
-            for us, _, payload, flag in group:
-                value = self.on_row(value, us, payload, flag, out)
-        value = self.on_time(value, mark * 1000, out)
-        if value != before:
-            self.kept.clear() if value is None else self.kept.update(value)
-        if due:
-            self.waiting.update((json.dumps(held[due:]),)) if due < len(held) else self.waiting.clear()
-        deadlines = [held[due][0] if due < len(held) else None, self.next_deadline(value)]
-        self._arm(min((t for t in deadlines if t is not None), default=None), fired=expiredTimerInfo.getExpiryTimeInMs())
-        for at in range(0, len(out), _FRAME_ROWS):
-            yield self._frame(out[at : at + _FRAME_ROWS])
-
-    def _arm(self, micros: int | None, fired: int = -1) -> None:
-        if micros is None:
-            return
-        at = _ceil_ms(micros)
-        # A timer is still listed while its own callback runs.
-        live = [t for t in self.handle.listTimers() if t > fired]
-        if live and min(live) <= at:
-            return
-        for t in live:
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(at)
-
-    def _frame(self, out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame({"payload": [r[0] for r in out], "result": pd.array([r[1] for r in out], dtype="object")})
+        frames = list(rows)
+        if self.first.exists():
+            day = self.first.get()[0]
+        else:
+            earliest = min((f.loc[f["rank"].idxmin(), ["rank", "day", "flag"]] for f in frames), key=lambda r: r["rank"])
+            day = int(earliest["day"]) - (earliest["flag"] != "1")
+            self.first.update((day,))
+        for frame in frames:
+            yield pd.DataFrame({"payload": frame["payload"], "wrong": (frame["flag"] == "1") & (frame["day"] != day)})
 
     def close(self) -> None:
         pass
 
 
-class _Days(OrderedReplay):
-    VALUE = "day string"
-
-    def __init__(self, zone: str) -> None:
-        self.zone = zone
-
-    def day(self, micros: int) -> str:
-        return (_EPOCH + timedelta(microseconds=micros)).astimezone(ZoneInfo(self.zone)).date().isoformat()
-
-
-class FirstDay(_Days):
-    """Keeps the first day of a key; the result of each row is that day."""
-
-    def on_row(self, value: tuple | None, micros: int, payload: str, flag: str | None, out: list[tuple]) -> tuple | None:
-        if value is None:
-            day = self.day(micros)
-            value = (day if flag == "1" else (datetime.fromisoformat(day) - timedelta(days=1)).date().isoformat(),)
-        out.append((payload, value[0]))
-        return value
-
-
-class FirstOfDay(_Days):
-    """Lets the first row of a key on each day through."""
-
-    def on_row(self, value: tuple | None, micros: int, payload: str, flag: str | None, out: list[tuple]) -> tuple | None:
-        day = self.day(micros)
-        if value is None or value[0] != day:
-            out.append((payload, None))
-        return (day,)
-
-
 class DayVisits(StatefulProcessor):
     """First visit of a key on each day, as it arrives, with the day visited before.
 
@@ -195,70 +98,67 @@ class DayVisits(StatefulProcessor):
         pass
 
 
-class Bounce(OrderedReplay):
-    """Lets an entry through once its next row, or silence, makes it a bounce. `flag` '1' marks entries."""
-
-    VALUE = "us bigint, payload string"
-
-    def __init__(self, within_us: int) -> None:
-        self.within_us = within_us
-
-    def on_row(self, value: tuple | None, micros: int, payload: str, flag: str | None, out: list[tuple]) -> tuple | None:
-        if value is not None and (micros - value[0] >= self.within_us or flag == "1"):
-            out.append((value[1], None))
-        return (micros, payload) if flag == "1" else None
-
-    def on_time(self, value: tuple | None, watermark_us: int, out: list[tuple]) -> tuple | None:
-        if value is None or value[0] + self.within_us > watermark_us:
-            return value
-        out.append((value[1], None))
-        return None
-
-    def next_deadline(self, value: tuple | None) -> int | None:
-        return None if value is None else value[0] + self.within_us
+def first_days(df: DataFrame, key: str, ts: str, flag: str, order: Sequence[str] = ()) -> DataFrame:
+    """(key, first_day) of a stored table: what a later stream of flag repair starts from; days count from 1970."""
+    known = df.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    flagged = F.min_by(F.coalesce(F.col(flag) == "1", F.lit(False)), F.struct(ts, *order))
+    day = F.unix_date(F.to_date(F.min(ts)))
+    return known.groupBy(key).agg((day - F.when(flagged, 0).otherwise(1)).cast("bigint").alias("first_day"))
 
 
-def _replay(
-    df: DataFrame, key: str, ts: str, order: Sequence[str], flag: Column, processor: OrderedReplay
+def repair_is_new_stream(
+    df: DataFrame, key: str, ts: str, flag: str, order: Sequence[str] = (), known: DataFrame | None = None
 ) -> DataFrame:
-    """Run a processor; gives the input columns and the text column `__result`.
+    """Streaming twin of `repair_is_new`: rows are answered in their own micro-batch, in order of arrival between batches.
 
-    Rows cross to Python as one JSON text next to the few columns a rule reads.
+    `known`, as `first_days` gives it, holds devices seen before the stream began. Rows cross to Python as one text
+    next to the four values the rule reads, and come back as they went; rows without key or time pass by the state.
     """
-    schema = df.schema
-    slim = df.select(
-        F.col(key).alias("__key"),
-        F.col(ts).alias("__rt"),
-        F.unix_micros(ts).alias("us"),
-        F.to_json(F.struct(*order), {"ignoreNullFields": "false"}).alias("ord") if order else F.lit("{}").alias("ord"),
-        flag.alias("flag"),
+    schema, timed = df.schema, F.col(key).isNotNull() & F.col(ts).isNotNull()
+    ranks = [_sortable(F.col(o), schema[o].dataType) for o in order]
+    slim = df.filter(timed).select(
+        F.to_json(F.struct(F.col(key).alias("key"))).alias("__key"),
+        F.concat_ws("\u0001", _sortable(F.unix_micros(F.col(ts).cast("timestamp")), T.LongType()), *ranks).alias("rank"),
+        F.unix_date(F.to_date(ts)).cast("bigint").alias("day"),
+        F.coalesce(F.col(flag), F.lit("")).alias("flag"),
         F.to_json(F.struct(*df.columns), _TIME).alias("payload"),
     )
+    initial = None
+    if known is not None:
+        initial = known.filter(F.col(key).isNotNull()).select(F.to_json(F.struct(F.col(key).alias("key"))).alias("__key"), "first_day").groupBy("__key")
     out = slim.groupBy("__key").transformWithStateInPandas(
-        statefulProcessor=processor,
-        outputStructType=T.StructType(
-            [T.StructField("payload", T.StringType()), T.StructField("result", T.StringType())]
-        ),
+        statefulProcessor=FirstDay(),
+        outputStructType=T.StructType([T.StructField("payload", T.StringType()), T.StructField("wrong", T.BooleanType())]),
         outputMode="append",
-        timeMode="EventTime",
+        timeMode="None",
+        initialState=initial,
     )
-    return out.select(F.inline(F.array(F.from_json("payload", schema, _TIME))), F.col("result").alias("__result"))
-
+    rows = out.select(F.inline(F.array(F.from_json("payload", schema, _TIME))), F.col("wrong").alias("__wrong"))
+    fixed = rows.withColumn(flag, F.when(F.col("__wrong"), "0").otherwise(F.col(flag))).drop("__wrong")
+    return union_all(fixed, df.filter(~timed))
 
-def _zone(df: DataFrame) -> str:
-    return df.sparkSession.conf.get("spark.sql.session.timeZone")
 
+def _sortable(value: Column, kind: T.DataType) -> Column:
+    """Text that sorts like the value, nulls first: whole numbers shifted above zero and padded."""
+    if isinstance(kind, T.FractionalType):
+        raise ValueError("order columns are whole numbers, texts or times")
+    if isinstance(kind, T.IntegralType):
+        shifted = value.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")
+        value = F.lpad(shifted.cast("string"), 20, "0")
+    return F.when(value.isNull(), "").otherwise(F.concat(F.lit("\u0002"), value.cast("string")))
 
-def repair_is_new_stream(df: DataFrame, key: str, ts: str, flag: str, order: Sequence[str] = ()) -> DataFrame:
-    """Streaming twin of `repair_is_new`; `ts` is the watermarked column."""
-    out = _replay(df, key, ts, order, F.col(flag), FirstDay(_zone(df)))
-    wrong = (F.col(flag) == "1") & (F.to_date(ts) != F.to_date("__result"))
-    return out.withColumn(flag, F.when(wrong, "0").otherwise(F.col(flag))).drop("__result")
 
+def first_per_day_stream(df: DataFrame, key: str, ts: str, day_start: str = "0 seconds") -> DataFrame:
+    """Streaming twin of `first_per_day`: a row of each key on each day, at once; its state goes when the day is over.
 
-def first_per_day_stream(df: DataFrame, key: str, ts: str, order: Sequence[str] = ()) -> DataFrame:
-    """Streaming twin of `first_per_day`: one date of state per key."""
-    return _replay(df, key, ts, order, F.lit(None).cast("string"), FirstOfDay(_zone(df))).drop("__result")
+    Between micro-batches the first to arrive stays. Rows of one micro-batch have no order among them, so of several
+    rows of a key and day in it any one stays. Days are those of UTC moved by `day_start`: '16 hours' for UTC+8.
+    """
+    day = F.window(ts, "1 day", startTime=day_start)
+    # The day takes the watermark over: Spark lets one event-time column decide when state goes, and here it is the day's end.
+    plain = F.timestamp_micros(F.unix_micros(F.col(ts))).alias(ts)
+    rows = df.withColumn("__day", day).select("__day", *(plain if c == ts else c for c in df.columns))
+    return rows.dropDuplicates([key, "__day"]).drop("__day")
 
 
 def daily_visits_stream(df: DataFrame, key: str, ts: str) -> DataFrame:
@@ -293,8 +193,40 @@ def daily_visits_stream(df: DataFrame, key: str, ts: str) -> DataFrame:
 
 
 def bounces_stream(
-    df: DataFrame, key: str, ts: str, is_entry: Column, within_seconds: int = 10, order: Sequence[str] = ()
+    df: DataFrame, key: str, ts: str, is_entry: Column, within_seconds: int = 10, order: Sequence[str] = (),
+    slide_seconds: int | None = None,
 ) -> DataFrame:
-    """Streaming twin of `bounces`: an entry with no successor comes out when the watermark passes its horizon."""
-    flag = F.when(is_entry, "1").otherwise("0")
-    return _replay(df, key, ts, order, flag, Bounce(within_seconds * 1_000_000)).drop("__result")
+    """Streaming twin of `bounces`, in one windowed aggregate.
+
+    Windows start every `slide_seconds` and reach `within_seconds` past the next start, so that a window sees the
+    successor of every row in its own part. A row stands in two windows by default. State is a window's rows per key,
+    of which only entries carry their columns; no pairs are formed. Rows come out when the watermark passes their
+    window: `slide_seconds + within_seconds` behind them at most.
+    """
+    slide = slide_seconds or within_seconds
+    width, reach = slide * 1_000_000, within_seconds * 1_000_000
+    entry = F.coalesce(is_entry, F.lit(False))
+    rows = df.select(
+        F.col(ts).alias("__rt"), F.col(key).alias("__key"),
+        F.struct(
+            F.unix_micros(F.col(ts).cast("timestamp")).alias("us"),
+            (F.struct(*order) if order else F.lit(0)).alias("ord"),
+            entry.alias("entry"),
+            F.when(entry, F.struct(*df.columns)).alias("row"),
+        ).alias("__r"),
+    )
+    window = F.window("__rt", f"{slide + within_seconds} seconds", f"{slide} seconds")
+    held = rows.groupBy(window.alias("__w"), "__key").agg(F.collect_list("__r").alias("__rows"))
+    # Sorted by time and order alone, as other columns need not be comparable.
+    places = F.array_sort(F.transform("__rows", lambda r, i: F.struct(r["us"], r["ord"], r["entry"], i.alias("at"))))
+    start = F.unix_micros("__w.start")
+
+    def alone(r: Column, i: Column) -> Column:
+        after = F.get("__places", i + 1)
+        last = after.isNull() | (after["us"] - r["us"] >= reach) | after["entry"]
+        own = (r["us"] >= start) & (r["us"] < start + width)
+        return F.when(r["entry"] & own & last, F.get("__rows", r["at"])["row"])
+
+    sorted_rows = held.select("__w", "__rows", places.alias("__places"))
+    found = sorted_rows.select(F.explode(F.array_compact(F.transform("__places", alone))).alias("__row"))
+    return found.select("__row.*")
