@@ -14,7 +14,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemart.operators.sets import union_all
@@ -35,19 +35,21 @@ class FirstDay(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.first = handle.getValueState("first", "day bigint")
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        self.first.update((int(initialState["first_day"].min()),))
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self.first.update((initialState["first_day"],))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows)
-        if self.first.exists():
-            day = self.first.get()[0]
-        else:
-            earliest = min((f.loc[f["rank"].idxmin(), ["rank", "day", "flag"]] for f in frames), key=lambda r: r["rank"])
-            day = int(earliest["day"]) - (earliest["flag"] != "1")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.first.get()
+        if held is None:
+            # Only a key's first micro-batch is held, to find its earliest row.
+            rows = list(rows)
+            earliest = min(rows, key=lambda r: r["rank"])
+            day = earliest["day"] - (earliest["flag"] != "1")
             self.first.update((day,))
-        for frame in frames:
-            yield pd.DataFrame({"payload": frame["payload"], "wrong": (frame["flag"] == "1") & (frame["day"] != day)})
+        else:
+            day = held[0]
+        for row in rows:
+            yield Row(payload=row["payload"], wrong=row["flag"] == "1" and row["day"] != day)
 
     def close(self) -> None:
         pass
@@ -126,7 +128,7 @@ def repair_is_new_stream(
     initial = None
     if known is not None:
         initial = known.filter(F.col(key).isNotNull()).select(F.to_json(F.struct(F.col(key).alias("key"))).alias("__key"), "first_day").groupBy("__key")
-    out = slim.groupBy("__key").transformWithStateInPandas(
+    out = slim.groupBy("__key").transformWithState(
         statefulProcessor=FirstDay(),
         outputStructType=T.StructType([T.StructField("payload", T.StringType()), T.StructField("wrong", T.BooleanType())]),
         outputMode="append",
