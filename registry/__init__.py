@@ -61,4 +61,4 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def load() -> None:
-    from registry import dwd, dws, operators, stores, streams  # noqa: F401
+    from registry import dwd, dws, operators, order_streams, stores, streams  # noqa: F401

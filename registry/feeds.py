@@ -97,12 +97,12 @@ def _texts(df: DataFrame, texts: Sequence[Column], keep: Sequence[str]) -> DataF
     return df.select(F.explode(F.array(*texts)).alias("value"), *keep)
 
 
-def order_text(orders: DataFrame, kinds: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+def order_text(orders: DataFrame, kinds: Sequence[str], keep: Sequence[str] = (), after: str = "1 day") -> DataFrame:
     """Change events of orders: placed, status (F cancelled, P refunding, O refunded), payment, coupon_get,
-    coupon_order, coupon_pay."""
+    coupon_order, coupon_pay; `after` is the time from placing to what follows."""
     status = F.col("o_orderstatus")
     placed = F.col("o_orderdate").cast("timestamp")
-    later = placed + F.expr("interval 1 day")
+    later = placed + F.expr(f"interval {after}")
     key, user = _text("o_orderkey"), _text("o_custkey")
     province = _text(F.col("o_custkey") % PROVINCES)
     coupon = {"id": key, "coupon_id": _text(F.col("o_orderkey") % 10), "user_id": user}

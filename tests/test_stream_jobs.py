@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from helpers import rows_of, run, stream_of
 from tidemart.plans import tools, trade, traffic
+from tidemart.operators.windows import tumble
 from tidemart.sources.text import parse_changes, parse_logs
+from tidemart.streaming.sinks import drain, to_files
 
 T0 = 1_704_067_200
 FAR = 4_000_000_000
@@ -244,3 +246,36 @@ def test_payment_detail_and_window(spark, folder, dictionary):
     assert {r[0] for r in known(want)} == {"d1", "d2"}
     summary = trade.payment_window(want, version=False).filter("stt < '2090'").collect()
     assert [(r.payment_suc_unique_user_count, r.payment_suc_new_user_count) for r in summary] == [(1, 1)]
+
+
+def test_offset_settles_versions_of_equal_time(spark, folder, dictionary):
+    """The place in the topic is carried through the joins and decides between versions of one time."""
+    numbered = [[(v, 10 * b + i) for i, v in enumerate(batch)] for b, batch in enumerate(ORDERS)]
+    schema = "value string, offset long"
+    table = spark.createDataFrame([r for b in numbered for r in b], schema)
+    pre = trade.order_pre_process(parse_changes(table, keep=("offset",)), dictionary, "shop", offset="offset")
+    want = rows_of(pre.filter("id <> 'end'"), "id", "type", "offset")
+    assert want == [("d1", "insert", 3), ("d1", "update", 11), ("d2", "insert", 10), ("d2", "update", 11)]
+    stream = stream_of(spark, folder, numbered, schema)
+    got = run(spark, folder, trade.order_pre_process(parse_changes(stream, keep=("offset",)), dictionary, "shop", offset="offset").drop("old"))
+    assert rows_of(got.filter("id <> 'end'"), "id", "type", "offset") == want
+    assert "offset" in trade.order_detail(pre, ("offset",)).columns
+
+
+def test_channel_window_waits_for_the_slowest_stream(spark, folder):
+    """Bounces that come batches after their pages still count; a row older than its own stream allows is counted as late."""
+    page = lambda ms, last=None: (("m", "c", "v", "a", "0"), ("home", last, 1), T0 * 1000 + ms)
+    schema = "common struct<mid string, ch string, vc string, ar string, is_new string>, page struct<page_id string, last_page_id string, during_time long>, ts long"
+    far = (("end",) * 5, ("end", None, 0), FAR * 1000)
+    pages = [[page(0), page(1_000, "x")], [page(60_000)], [page(120_000)], [far]]
+    stream = lambda batches: stream_of(spark, folder, batches, schema)
+    out = traffic.channel_window(stream(pages), stream([[page(60_000)], [far]]), stream([[page(0)], [page(60_000)], [far]]), version=False)
+    path = f"{folder}/channel"
+    late = drain(to_files(out, path, f"{path}-check").outputMode("append"))
+    got = {r.stt: (r.pv_ct, r.uv_ct, r.uj_ct) for r in spark.read.parquet(path).collect() if r.vc == "v"}
+    assert late == 0 and got == {"2024-01-01 00:00:00": (2, 0, 1), "2024-01-01 00:01:00": (1, 1, 1), "2024-01-01 00:02:00": (1, 0, 0)}
+
+    # Lateness is judged by the watermark of the batch before.
+    lone = stream([[page(0)], [page(900_000)], [page(900_001)], [page(1)], [far]]).withColumn("rt", F.timestamp_millis("ts")).withWatermark("rt", "2 seconds")
+    late = drain(to_files(tumble(lone, "rt", "10 seconds", {"n": F.count("*")}, version=False), f"{folder}/lone", f"{folder}/lone-check").outputMode("append"))
+    assert late == 1

@@ -54,15 +54,25 @@ def cart_add(changes: DataFrame, dictionary: DataFrame, database: str | None = N
 
 
 def order_pre_process(
-    changes: DataFrame, dictionary: DataFrame, database: str | None = None, horizon: float | None = None
+    changes: DataFrame, dictionary: DataFrame, database: str | None = None, horizon: float | None = None,
+    offset: str | None = None,
 ) -> DataFrame:
-    """Order lines joined with their order's events, activity and coupon, one row per line and event."""
+    """Order lines joined with their order's events, activity and coupon, one row per line and event.
+
+    `offset` names a column with the place of a change in its topic; a joined row takes the latest of its parts, which
+    settles versions of equal time in the summaries.
+    """
     h = _horizon(changes, ORDER_HORIZON, horizon)
+    placed = [offset] if offset else []
+
+    def own(df: DataFrame, side: str) -> DataFrame:
+        return df.withColumnRenamed(offset, f"__{side}_offset") if offset else df
+
     orders = _timed(
         change_events(
             changes, "order_info",
             {"info_id": "id", **{c: c for c in ("user_id", "province_id", "operate_time", "order_status")}},
-            ["insert", "update"], database, keep=["type", "old", "ts"],
+            ["insert", "update"], database, keep=["type", "old", "ts", *placed],
         ),
         "info_ts",
     )
@@ -70,22 +80,24 @@ def order_pre_process(
         changes, "order_detail",
         ["id", "order_id", "sku_id", "sku_name", "create_time", "source_id", "source_type", "sku_num",
          "order_price", "split_total_amount", "split_activity_amount", "split_coupon_amount"],
-        ["insert"], database, keep=["ts"],
+        ["insert"], database, keep=["ts", *placed],
     )
     lines = _timed(lines.withColumn("split_original_amount", product_text("sku_num", "order_price")), "line_ts")
     coupons = _timed(
         change_events(changes, "order_detail_coupon", {"coupon_line": "order_detail_id", "coupon_id": "coupon_id"},
-                      ["insert"], database, keep=["ts"]),
+                      ["insert"], database, keep=["ts", *placed]),
         "coupon_ts",
     )
     activities = _timed(
         change_events(
             changes, "order_detail_activity",
             {"activity_line": "order_detail_id", "activity_id": "activity_id", "activity_rule_id": "activity_rule_id"},
-            ["insert"], database, keep=["ts"],
+            ["insert"], database, keep=["ts", *placed],
         ),
         "activity_ts",
     )
+    orders, lines, coupons, activities = own(orders, "info"), own(lines, "line"), own(coupons, "coupon"), own(activities, "activity")
+    latest = [F.greatest(*(f"__{side}_offset" for side in ("info", "line", "coupon", "activity"))).alias(offset)] if offset else []
     # The dictionary join drops lines first. Activity and coupon share the line id and so one shuffle
     # of the lines; the order join, which repeats a line for every event of its order, comes last.
     joined = lookup(lines, dictionary, "source_type", "source_type_name")
@@ -98,11 +110,11 @@ def order_pre_process(
         "create_time", date_id("operate_time").alias("operate_date_id"), "operate_time",
         "source_id", "source_type", "source_type_name", "sku_num",
         "split_original_amount", "split_activity_amount", "split_coupon_amount", "split_total_amount",
-        "type", "old", F.current_timestamp().alias("row_op_ts"),
+        "type", "old", F.current_timestamp().alias("row_op_ts"), *latest,
     )
 
 
-def _line_fact(rows: DataFrame, day: str, time: str, time_name: str) -> DataFrame:
+def _line_fact(rows: DataFrame, day: str, time: str, time_name: str, keep: tuple[str, ...] = ()) -> DataFrame:
     same = ("id", "order_id", "user_id", "sku_id", "sku_name", "province_id", "activity_id",
             "activity_rule_id", "coupon_id")
     return rename(
@@ -110,14 +122,14 @@ def _line_fact(rows: DataFrame, day: str, time: str, time_name: str) -> DataFram
         {
             **{c: c for c in same}, "date_id": day, time_name: time, "source_id": "source_id",
             "source_type_code": "source_type",
-            **{c: c for c in ("source_type_name", "sku_num", *_AMOUNTS, "row_op_ts")},
+            **{c: c for c in ("source_type_name", "sku_num", *_AMOUNTS, "row_op_ts", *keep)},
         },
     )
 
 
-def order_detail(pre: DataFrame) -> DataFrame:
-    """Placed order lines."""
-    return _line_fact(pre.filter(F.col("type") == "insert"), "date_id", "create_time", "create_time")
+def order_detail(pre: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Placed order lines; `keep` names arrival columns of the pre-processed rows."""
+    return _line_fact(pre.filter(F.col("type") == "insert"), "date_id", "create_time", "create_time", keep)
 
 
 def cancel_detail(pre: DataFrame) -> DataFrame:

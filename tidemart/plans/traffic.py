@@ -83,8 +83,12 @@ def _channel_row(df: DataFrame, **metrics: Column | int) -> DataFrame:
 def channel_window(
     pages: DataFrame, unique: DataFrame, bounced: DataFrame, size: str = WINDOW, version: bool = True
 ) -> DataFrame:
-    """Visitors, sessions, views, dwell time and bounces by version, channel, area and newness."""
-    rows = union_all(
+    """Visitors, sessions, views, dwell time and bounces by version, channel, area and newness.
+
+    Each input has a watermark of its own, and the slowest of the three holds the windows open: visitors and bounces
+    may lag behind the pages by any time. Within one input a row may be late by the delay bounces need.
+    """
+    parts = (
         _channel_row(
             pages,
             sv_ct=logs.entered().cast("bigint"),
@@ -93,7 +97,8 @@ def channel_window(
         ),
         _channel_row(unique, uv_ct=1),
         _channel_row(bounced, uj_ct=1),
-    ).withWatermark("rt", LATE_DELAY)
+    )
+    rows = union_all(*(p.withWatermark("rt", LATE_DELAY) for p in parts))
     return tumble(
         rows, "rt", size, sums("uv_ct", "sv_ct", "pv_ct", "dur_sum", "uj_ct"), list(_CHANNEL), version
     )
