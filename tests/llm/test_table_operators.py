@@ -1,6 +1,7 @@
 """Mixing, packing, archives, links, and the pipeline as a whole."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -112,6 +113,18 @@ def test_packing_round_trip(docs):
     assert by_doc == want
 
 
+def test_random_strings_like_the_tokenizer():
+    """Letters of all scripts, marks and cases, the dotted capital I among them, in words and between marks."""
+    rng = random.Random(11)
+    tokenizer, known = Tokenizer.from_file(PATH), packing.Words(PATH)
+    letters = [c for c in map(chr, range(33, 0x3000)) if c.isalpha() or not c.isspace()]
+    near = "aIiİıÀéßŁǅǆK.,;!?'\"()[]<>|-_0189 日中кЖاあ\u0307\u0301"
+    drawn = ("".join(rng.choice(near if rng.random() < 0.7 else letters) for _ in range(rng.randint(1, 8))) for _ in range(60_000))
+    for text in ('日İ"', "Iİ.", "İİ!", *drawn):
+        ids = np.frombuffer(packing.encode(text.encode(), known), "<u4").tolist()
+        assert ids == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_forgetting_words_changes_nothing(monkeypatch):
     known = packing._words.__wrapped__(PATH)
     texts = [(prose(30, i) + " a b c").encode() for i in range(20)]

@@ -62,16 +62,18 @@ class Words(dict):
         ids = self.old.get(word)
         if ids is None:
             text = word.decode("utf-8", "replace")
-            # Up to U+024F lower case is one letter for one and composes with nothing, so it may come first too.
-            if text and max(text) < "\u0250" and "<|" not in text and text != text.lower():
+            # Up to U+024F lower case is one letter for one and composes with nothing, so it may come first too. Only
+            # U+0130 becomes a letter and a mark, which belongs to the run of marks behind it.
+            simple = "\u0130" not in text
+            if simple and text and max(text) < "\u0250" and "<|" not in text and text != text.lower():
                 return self[text.lower().encode()]
             core = text.rstrip(punctuation)
-            if len(core) < len(text) and core and "<|" not in text and core[-1] < "\u0250" and (core[-1].isalpha() or core[-1] in "0123456789"):
+            if simple and len(core) < len(text) and core and "<|" not in text and core[-1] < "\u0250" and (core[-1].isalpha() or core[-1] in "0123456789"):
                 ids = self[core.encode()] + self[text[len(core) :].encode()]
                 if len(core) <= 4:
                     self[word] = ids
                 return ids
-            if text.isalpha() and max(text) < "\u0250":
+            if simple and text.isalpha() and max(text) < "\u0250":
                 # One run of letters: only the merges are left to do, on the letters that stand for its bytes.
                 found = [t.id for t in self.merges.tokenize(text if text.isascii() else "".join([self.letters[b] for b in word]))]
             else:
