@@ -9,7 +9,9 @@ from registry.dwd import _config
 from tidemart.operators.sets import union_all
 from tidemart.plans import dim
 from tidemart.session import work_dir
-from tidemart.streaming.upsert import DimensionStore, PublishedFolders, UpsertTable
+from tidemart.sources.connectors import stream_files
+from tidemart.streaming.sinks import drain
+from tidemart.streaming.upsert import DimensionStore, UpsertTable, batch_rows
 
 _ORDER = T.StructType(
     [
@@ -25,17 +27,30 @@ n AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY
 SELECT o_custkey, o_orderkey, status FROM n WHERE NOT gone
 """)
 def upsert_orders(t: Tables) -> DataFrame:
-    """Each customer's newest order; a pending one is a tombstone. Batches come in no order of time, one of them twice."""
-    table = UpsertTable(work_dir(t.spark, "upsert-orders"), _ORDER, ["o_custkey"], ["version", "o_orderkey"], "gone")
+    """Each customer's newest order; a pending one is a tombstone.
+
+    A stream writes the batches, in no order of time. It is stopped between them and goes on from its checkpoint; one
+    batch is written twice, and the first ones are folded before the last.
+    """
+    folder = work_dir(t.spark, "upsert-orders")
+    table = UpsertTable(f"{folder}/rows", _ORDER, ["o_custkey"], ["version", "o_orderkey"], "gone")
     rows = t.orders.select(
         "o_custkey", "o_orderkey", F.col("o_orderstatus").alias("status"),
         F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("version"), (F.col("o_orderstatus") == "P").alias("gone"),
     )
     part = F.pmod(F.xxhash64("o_orderkey"), F.lit(4))
-    for i in (2, 0, 2, 1):
-        table.write_batch(rows.filter(part == i), i)
-    table.compact(t.spark)
-    table.write_batch(rows.filter(part == 3), 3)
+
+    def run(store: UpsertTable, *parts: int) -> None:
+        for i in parts:
+            rows.filter(part == i).write.mode("append").parquet(f"{folder}/in")
+        source = stream_files(t.spark, f"{folder}/in", _ORDER)
+        drain(source.writeStream.foreachBatch(store.write_batch).option("checkpointLocation", f"{folder}/checkpoint"))
+
+    run(table, 2, 0)
+    run(table, 1)
+    table.write_batch(rows.filter(part == 1), 1)
+    table = table.compact(t.spark, f"{folder}/folded")
+    run(table, 3)
     return table.read(t.spark).select("o_custkey", "o_orderkey", "status")
 
 
@@ -45,7 +60,7 @@ UNION ALL SELECT 'dim_supplier', CAST(s_suppkey AS VARCHAR), s_name FROM supplie
 UNION ALL SELECT 'dirty', NULL, CAST(count(*) AS VARCHAR) FROM benchmark
 """)
 def dimension_store(t: Tables) -> DataFrame:
-    """Two dimension tables kept by the dimension store, one batch repeated and one late, and the text that was no event."""
+    """Two dimension tables kept by a stream that is stopped and goes on, one of them fed twice, and the text that was no event."""
     config = t.region.select(
         F.explode(
             F.array(
@@ -56,22 +71,21 @@ def dimension_store(t: Tables) -> DataFrame:
             )
         ).alias("value")
     )
-    config = dim.current_config(config)
-    store, refused = DimensionStore(work_dir(t.spark, "dimension-store")), PublishedFolders(work_dir(t.spark, "dimension-dirty"))
+    folder = work_dir(t.spark, "dimension-store")
+    config.write.text(f"{folder}/config")
+    store, refused = DimensionStore(f"{folder}/store"), f"{folder}/dirty"
     customers = feeds.table_text(t.customer, "customer", {"id": "c_custkey", "name": "c_name"})
     suppliers = feeds.table_text(t.supplier, "supplier", {"id": "s_suppkey", "name": "s_name"})
-    batches = [(0, union_all(customers, t.benchmark.select(F.col("text").alias("value")))), (1, suppliers), (0, customers), (2, suppliers)]
-    for number, raw in batches:
-        routed, rest = dim.route_raw(raw, config)
-        store.write_batch(routed, number)
-        if not refused.current(t.spark):
-            folder = refused.fresh(number)
-            rest.write.parquet(f"{refused.path}/{folder}")
-            refused.publish(t.spark, {number: folder})
-    store.compact(t.spark)
+    value = T.StructType([T.StructField("value", T.StringType())])
+    # Each step stops the stream; the next goes on from its checkpoint. The suppliers come twice.
+    for raw in (union_all(customers, t.benchmark.select(F.col("text").alias("value"))), suppliers, suppliers):
+        raw.write.mode("append").parquet(f"{folder}/in")
+        stream = stream_files(t.spark, f"{folder}/in", value)
+        drain(dim.maintain_dimensions(t.spark, stream, f"{folder}/config", store, f"{folder}/checkpoint", refused))
+    store = store.compact(t.spark, f"{folder}/folded")
     tables = [
         store.read(t.spark, {"sink_table": name, "sink_columns": "id,name", "sink_pk": ""}).select(F.lit(name).alias("sink_table"), "id", "name")
         for name in ("dim_customer", "dim_supplier")
     ]
-    dirty = refused.rows(t.spark, T.StructType([T.StructField("value", T.StringType())])).agg(F.count("*").cast("string").alias("name"))
+    dirty = batch_rows(t.spark, refused, value).agg(F.count("*").cast("string").alias("name"))
     return union_all(*tables, dirty.select(F.lit("dirty").alias("sink_table"), F.lit(None).cast("string").alias("id"), "name"))

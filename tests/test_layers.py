@@ -21,7 +21,7 @@ from tidemart.session import work_dir
 from tidemart.sources.connectors import jdbc_options, jdbc_source, kafka_options, read_summary, store_summary
 from tidemart.sources.text import parse_changes, parse_json, parse_logs, split_line
 from tidemart.streaming.sinks import drain, kafka_rows, kafka_upserts
-from tidemart.streaming.upsert import DimensionStore, PublishedFolders, UpsertTable
+from tidemart.streaming.upsert import DimensionStore, UpsertTable, batch_rows
 
 COMMON = {"mid": "m1", "is_new": "1", "ch": "web", "vc": "v1", "ar": "1", "uid": "7"}
 PAGE = {"page_id": "home", "during_time": 5}
@@ -165,7 +165,7 @@ def test_dimension_stream(spark, folder):
         spark, _change("a", "insert", {"id": "1", "name": "it's"}), _change("a", "insert", {"id": "2"}),
         _change("b", "bootstrap-insert", {"code": "k"}), _change("c", "insert", {"id": "1"}), "dirty",
     ).coalesce(1).write.text(f"{folder}/in")
-    store, refused = DimensionStore(f"{folder}/store"), PublishedFolders(f"{folder}/dirty")
+    store, refused = DimensionStore(f"{folder}/store"), f"{folder}/dirty"
     assert store.read(spark, config[0]).count() == 0
 
     def step():
@@ -180,9 +180,9 @@ def test_dimension_stream(spark, folder):
     ).text(f"{folder}/in")
     step()
     assert rows_of(store.read(spark, config[0]), "id", "name") == [("1", "new"), ("2", None)]
-    store.compact(spark)
-    assert rows_of(store.read(spark, config[0]), "id", "name") == [("1", "new"), ("2", None)]
-    assert rows_of(refused.rows(spark, T.StructType([T.StructField("value", T.StringType())])), "value") == [("dirty",)]
+    folded = store.compact(spark, f"{folder}/folded")
+    assert rows_of(folded.read(spark, config[0]), "id", "name") == [("1", "new"), ("2", None)]
+    assert rows_of(batch_rows(spark, refused, T.StructType([T.StructField("value", T.StringType())])), "value", "batch_id") == [("dirty", 0)]
 
 
 def test_upsert_table(spark, folder):
@@ -196,9 +196,9 @@ def test_upsert_table(spark, folder):
     want = [("a", "c1"), ("c", "y")]
     assert rows_of(table.read(spark), "id", "v") == want
     before = table.read(spark)
-    table.compact(spark)
+    table = table.compact(spark, f"{folder}/folded")
     assert rows_of(table.read(spark), "id", "v") == want
-    assert table.log(spark).count() == 3 and list(table.folders.current(spark)) == [-1]
+    assert rows_of(table.log(spark).select("batch_id").distinct()) == [(-1,)] and table.log(spark).count() == 3
     assert rows_of(before, "id", "v") == want, "a reader that began earlier keeps its files"
     table.write_batch(batch(("b", "late", 2, False)), 3)
     assert rows_of(table.read(spark), "id", "v") == want, "a deleted key does not come back with an old version"
@@ -206,6 +206,28 @@ def test_upsert_table(spark, folder):
     assert rows_of(table.read(spark), "id", "v") == [("a", "c1"), ("c", "tie")]
 
 
+def test_upsert_stream_goes_on_from_its_checkpoint(spark, folder):
+    """A stream stopped between batches and started again; a batch that runs twice counts once."""
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("ver", T.LongType())])
+    table = UpsertTable(f"{folder}/t", schema, ["id"], ["ver"])
+    add = lambda *rows: spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    def step():
+        rows = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        drain(rows.writeStream.foreachBatch(table.write_batch).option("checkpointLocation", f"{folder}/check"), 120)
+
+    add(("a", 1), ("b", 5))
+    step()
+    add(("a", 3), ("b", 2), ("c", 1))
+    step()
+    step()
+    assert rows_of(table.log(spark)) == sorted([("a", 1, 0), ("b", 5, 0), ("a", 3, 1), ("b", 2, 1), ("c", 1, 1)], key=str)
+    table.write_batch(spark.createDataFrame([("a", 3), ("b", 2), ("c", 1)], schema), 1)
+    assert rows_of(table.read(spark)) == [("a", 3), ("b", 5), ("c", 1)]
+    plan = table.read(spark)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+
+
 def test_kafka_rows(spark):
     df = spark.createDataFrame([("1", "x", False), ("2", None, True)], "id string, v string, gone boolean")
     assert rows_of(kafka_upserts(df, ["id"], "gone")) == [('{"id":"1"}', '{"id":"1","v":"x"}'), ('{"id":"2"}', None)]

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from tidemart import schemas
 from tidemart.operators.routing import latest_config, route_dimensions
 from tidemart.sources.text import parse_config_changes, parse_json
-from tidemart.streaming.upsert import DimensionStore, PublishedFolders
+from tidemart.streaming.upsert import DimensionStore, write_batch_rows
 
 
 def route_raw(raw: DataFrame, config: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -23,9 +23,9 @@ def current_config(feed: DataFrame, value_col: str = "value") -> DataFrame:
 
 def maintain_dimensions(
     spark: SparkSession, raw: DataFrame, config_feed_path: str, store: DimensionStore, checkpoint: str,
-    dirty: PublishedFolders | None = None,
+    dirty: str | None = None,
 ) -> DataStreamWriter:
-    """A stream that keeps all dimension tables up to date; text that is no event goes to `dirty`, if given.
+    """A stream that keeps all dimension tables up to date; text that is no event goes to the folder `dirty`, if given.
 
     Each micro-batch reads the config feed afresh, so a new config row takes effect with the
     next batch, and readers of the store always see the last finished batch: there is no cache to clear.
@@ -36,8 +36,6 @@ def maintain_dimensions(
         routed, rest = route_raw(batch, config)
         store.write_batch(routed, batch_id)
         if dirty is not None:
-            folder = dirty.fresh(batch_id)
-            rest.write.parquet(f"{dirty.path}/{folder}")
-            dirty.publish(batch.sparkSession, {batch_id: folder})
+            write_batch_rows(rest, dirty, batch_id)
 
     return raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

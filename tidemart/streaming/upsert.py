@@ -1,16 +1,16 @@
-"""Keyed tables on plain files.
+"""Keyed tables as appended versions.
 
-Each micro-batch writes its rows to a fresh folder and then publishes it: a one-file manifest entry says which
-folder holds the batch. Nothing is overwritten, so readers see a batch whole or not at all, also while it is
-repeated; a repeat's entry replaces the earlier one. `compact` writes the current rows to one folder and
-publishes it in place of all batches before it, in one entry. Readers keep the newest version per key.
-Folders that no entry names any more may be deleted once no reader uses them.
+Each micro-batch of a `foreachBatch` stream writes its newest row per key as one partition, named by the batch's id. A
+batch that runs again after a failure replaces its own partition and no other. Readers scan the table once, whatever
+the number of batches, and keep the newest version per key.
+
+On plain files a reader may meet a batch while it is being written or replaced. Where that matters the same rows go to
+a table format with atomic commits; nothing else here would change. A table that has grown many batches is folded into
+a fresh one by `compact`, and the stream goes on with that.
 """
 
 from __future__ import annotations
 
-import time
-import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -19,45 +19,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tidemart.operators.dedup import latest_per_key
 from tidemart.operators.routing import dim_schema
 
-_BATCH = "batch_id"
-_ENTRY = T.StructType(
-    [T.StructField(_BATCH, T.LongType()), T.StructField("folder", T.StringType()), T.StructField("at", T.LongType())]
-)
+BATCH = "batch_id"
+#: The partition of rows folded from all batches before.
+FOLDED = -1
 
 
-class PublishedFolders:
-    """Which folder holds each batch of a table at `path`."""
+def write_batch_rows(rows: DataFrame, path: str, batch_id: int, partition_by: Sequence[str] = ()) -> None:
+    """Rows as the partition of their batch; written again, they replace it."""
+    named = rows.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+    writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(BATCH, *partition_by).parquet(path)
 
-    def __init__(self, path: str) -> None:
-        self.path = path
 
-    def current(self, spark: SparkSession) -> dict[int, str]:
-        """Folder per live batch. The manifest holds a row per batch, not per row of the table."""
-        entries = _read(spark, f"{self.path}/manifest", _ENTRY)
-        newest = entries.groupBy(_BATCH).agg(F.max_by("folder", "at").alias("folder")).collect()
-        return {r[_BATCH]: r["folder"] for r in newest if r["folder"] is not None}
-
-    def fresh(self, batch_id: int) -> str:
-        return f"data/{batch_id}-{uuid.uuid4().hex}"
-
-    def publish(self, spark: SparkSession, entries: dict[int, str | None]) -> None:
-        """One file, which appears whole: new folders, and None for batches that are gone."""
-        now = time.time_ns()
-        rows = spark.createDataFrame([(b, f, now) for b, f in entries.items()], _ENTRY)
-        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-
-    def rows(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
-        """Rows of all live batches, with their batch id."""
-        parts = [
-            spark.read.schema(schema).parquet(f"{self.path}/{folder}").withColumn(_BATCH, F.lit(b).cast("bigint"))
-            for b, folder in sorted(self.current(spark).items())
-        ]
-        if not parts:
-            return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField(_BATCH, T.LongType())]))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
+def batch_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Rows of all batches with their `batch_id`; none where nothing was written yet."""
+    whole = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
+    try:
+        return spark.read.schema(whole).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], whole)
 
 
 class UpsertTable:
@@ -66,37 +48,32 @@ class UpsertTable:
     def __init__(
         self, path: str, schema: T.StructType, keys: Sequence[str], version: Sequence[str], deleted: str | None = None
     ) -> None:
-        self.folders, self.schema = PublishedFolders(path), schema
+        self.path, self.schema = path, schema
         self.keys, self.version, self.deleted = list(keys), list(version), deleted
 
     def write_batch(self, batch: DataFrame, batch_id: int) -> None:
         """For `foreachBatch`. One row per key leaves each batch."""
-        newest = latest_per_key(batch.select(*self.schema.names), self.keys, self.version)
-        folder = self.folders.fresh(batch_id)
-        newest.write.parquet(f"{self.folders.path}/{folder}")
-        self.folders.publish(batch.sparkSession, {batch_id: folder})
+        write_batch_rows(latest_per_key(batch.select(*self.schema.names), self.keys, self.version), self.path, batch_id)
 
     def log(self, spark: SparkSession) -> DataFrame:
-        return self.folders.rows(spark, self.schema)
+        return batch_rows(spark, self.path, self.schema)
 
     def read(self, spark: SparkSession) -> DataFrame:
-        """Current rows; batches written later win ties."""
-        now = self._newest(spark).drop(_BATCH)
+        """Current rows; later batches win ties."""
+        now = self._newest(spark).drop(BATCH)
         return now.filter(~F.col(self.deleted)) if self.deleted else now
 
     def _newest(self, spark: SparkSession) -> DataFrame:
-        return latest_per_key(self.log(spark), self.keys, [*self.version, _BATCH])
+        return latest_per_key(self.log(spark), self.keys, [*self.version, BATCH])
 
-    def compact(self, spark: SparkSession) -> None:
-        """Fold all batches into one. Tombstones stay, so that an old version written later does not come back."""
-        live = self.folders.current(spark)
-        folder = self.folders.fresh(-1)
-        self._newest(spark).drop(_BATCH).write.parquet(f"{self.folders.path}/{folder}")
-        self.folders.publish(spark, {**dict.fromkeys(live), -1: folder})
+    def compact(self, spark: SparkSession, path: str) -> UpsertTable:
+        """The current rows as a table of one batch at `path`. Tombstones stay, so that an old version written later does not come back."""
+        write_batch_rows(self._newest(spark).drop(BATCH), path, FOLDED)
+        return UpsertTable(path, self.schema, self.keys, self.version, self.deleted)
 
 
 class DimensionStore:
-    """All configured dimension tables in one folder tree, a partition per target table.
+    """All configured dimension tables in one folder tree, a partition per batch and target table.
 
     Rows arrive as (sink_table, sink_pk, data map, version): one job writes every table of a
     micro-batch, however many there are. A table's columns come from its config row on read.
@@ -113,7 +90,7 @@ class DimensionStore:
     )
 
     def __init__(self, path: str) -> None:
-        self.folders = PublishedFolders(path)
+        self.path = path
 
     def write_batch(self, routed: DataFrame, batch_id: int) -> None:
         """For `foreachBatch`, on the output of `route_dimensions` with `ts` and `xid`/`xoffset` kept."""
@@ -127,33 +104,19 @@ class DimensionStore:
         newest = rows.groupBy("sink_table", "pk").agg(
             F.max_by(F.struct("data", "version", "arrival"), F.struct("version", "arrival")).alias("r")
         )
-        self._write(routed.sparkSession, newest.select("sink_table", "pk", "r.*"), batch_id, {})
+        self._write(newest.select("sink_table", "pk", "r.*"), self.path, batch_id)
 
-    def _write(self, spark: SparkSession, rows: DataFrame, batch_id: int, gone: dict[int, None]) -> None:
-        folder = self.folders.fresh(batch_id)
-        even = rows.hint("rebalance", F.col("sink_table"))
-        even.write.partitionBy("sink_table").parquet(f"{self.folders.path}/{folder}")
-        self.folders.publish(spark, {**gone, batch_id: folder})
+    def _write(self, rows: DataFrame, path: str, batch_id: int) -> None:
+        write_batch_rows(rows.hint("rebalance", F.col("sink_table")), path, batch_id, ["sink_table"])
 
-    def compact(self, spark: SparkSession) -> None:
-        """Fold all batches into one with the newest row per table and key."""
-        live = self.folders.current(spark)
-        rows = self.folders.rows(spark, self.SCHEMA)
-        newest = latest_per_key(rows, ["sink_table", "pk"], ["version", "arrival", _BATCH]).drop(_BATCH)
-        self._write(spark, newest, -1, dict.fromkeys(live))
+    def compact(self, spark: SparkSession, path: str) -> DimensionStore:
+        """The newest row per table and key as a store of one batch at `path`."""
+        newest = latest_per_key(batch_rows(spark, self.path, self.SCHEMA), ["sink_table", "pk"], ["version", "arrival", BATCH])
+        self._write(newest.drop(BATCH), path, FOLDED)
+        return DimensionStore(path)
 
     def read(self, spark: SparkSession, config_row) -> DataFrame:
-        """Current rows of one table, all text; NULL stays NULL."""
-        rows = self.folders.rows(spark, self.SCHEMA).filter(F.col("sink_table") == config_row["sink_table"])
-        now = latest_per_key(rows, ["pk"], ["version", "arrival", _BATCH])
+        """Current rows of one table, all text; NULL stays NULL. Other tables' partitions are not read."""
+        rows = batch_rows(spark, self.path, self.SCHEMA).filter(F.col("sink_table") == config_row["sink_table"])
+        now = latest_per_key(rows, ["pk"], ["version", "arrival", BATCH])
         return now.select(*(F.col("data")[c].alias(c) for c in dim_schema(config_row).names))
-
-
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Files at `path`, or no rows where nothing was written yet."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
