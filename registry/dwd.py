@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from registry import Tables, layer, layer_path, query
-from tidemart.operators.logs import split_log
+from tidemart.operators.logs import fan_out, split_log
 from tidemart.operators.sets import union_all
 from tidemart.plans import dim, tools, trade, traffic
 from tidemart.schemas import DIM_CONFIG
@@ -95,6 +95,36 @@ def detail_side_logs(t: Tables) -> DataFrame:
     )
 
 
+@query("""
+WITH a AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, user_id, event_type AS kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
+r AS (
+  SELECT 'action' AS record, *, NULL AS trace, CAST(k AS VARCHAR) AS slot FROM a WHERE kind = 'purchase'
+  UNION ALL SELECT 'display', *, NULL, CAST(k AS VARCHAR) FROM a WHERE kind = 'view' UNION ALL SELECT 'display', *, NULL, CAST(k AS VARCHAR) FROM a WHERE kind = 'view'
+  UNION ALL SELECT 'start', *, 't' || event_id, NULL FROM a WHERE kind = 'error' AND k < 30
+  UNION ALL SELECT 'error', *, 't' || event_id, NULL FROM a WHERE kind = 'error'
+  UNION ALL SELECT 'page', *, 't' || event_id, NULL FROM a WHERE NOT (kind = 'error' AND k < 30))
+SELECT record, ms AS ts, 'mid_' || user_id AS mid, CAST(user_id AS VARCHAR) AS imei, CASE WHEN record <> 'start' THEN k::VARCHAR END AS depth, trace, slot FROM r
+""")
+def log_open_fields(t: Tables) -> DataFrame:
+    """Fields that no layout knows, at every level of a log record, come out of every kind of record."""
+    k, event = F.get_json_object("props", "$.k"), F.col("event_id").cast("string")
+    raw = feeds.log_text(t.events, ["props", "event_id", "user_id"])
+    text = F.concat(F.lit('{"trace":{"id":"t'), event, F.lit('"},'), F.substr("value", F.lit(2)))
+    for mark, field in (
+        ('"common":{', F.concat(F.lit('"imei":{"n":'), F.col("user_id").cast("string"), F.lit("},"))),
+        ('"page":{', F.concat(F.lit('"depth":'), k, F.lit(","))),
+        ('"display_type":', F.concat(F.lit('"slot":'), k, F.lit(","))),
+        ('"action_id":', F.concat(F.lit('"slot":'), k, F.lit(","))),
+    ):
+        text = F.replace(text, F.lit(mark), F.concat(F.lit(mark), field) if mark.endswith("{") else F.concat(field, F.lit(mark)))
+    out = fan_out(traffic.repair_logs(parse_logs(raw.select(text.alias("value")), open_fields=True)))
+    get = lambda path: F.get_json_object("value", path)
+    return out.select(
+        "record", get("$.ts").cast("bigint").alias("ts"), get("$.common.mid").alias("mid"), get("$.common.imei.n").alias("imei"),
+        get("$.page.depth").alias("depth"), get("$.trace.id").alias("trace"), get("$.slot").alias("slot"),
+    )
+
+
 @query(f"WITH {LOGS} SELECT event_id, mid, page_id, ms AS ts FROM uv")
 def detail_unique_visitor(t: Tables) -> DataFrame:
     return visitor_rows(page_logs(t)).select("event_id", "common.mid", "page.page_id", "ts")
@@ -332,6 +362,36 @@ def detail_user_register(t: Tables) -> DataFrame:
     return registers(t)
 
 
+@query("""
+SELECT CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN 'dim_order' ELSE 'dim_order_status' END AS sink_table, CAST(o_orderkey AS VARCHAR) AS pk,
+       CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN CAST(o_custkey AS VARCHAR) END AS user_id,
+       CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN '1001' END AS order_status
+FROM orders
+UNION ALL
+SELECT 'dim_refund', CAST(l_orderkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), NULL
+FROM lineitem WHERE l_returnflag = 'R' AND CAST(l_shipdate AS TIMESTAMP) >= TIMESTAMP '1997-01-01'
+""")
+def dimension_router_history(t: Tables) -> DataFrame:
+    """Events go by the config of their own time: one table changes its target and columns, one is configured late."""
+    at = lambda text: F.unix_millis(F.to_timestamp(F.lit(text)))
+    row = lambda source, target, columns, op, ms: F.to_json(
+        F.struct(_config(source, target, columns).alias("after"), F.lit(op).alias("op"), ms.alias("ts_ms"))
+    )
+    config_feed = t.region.select(
+        F.explode(
+            F.array(
+                row("order_info", "dim_order", "id,user_id", "r", F.lit(0)),
+                row("order_info", "dim_order_status", "id,order_status", "u", at("1998-01-01 00:00:00")),
+                row("order_refund_info", "dim_refund", "order_id,user_id", "c", at("1997-01-01 00:00:00")),
+            )
+        ).alias("value")
+    ).distinct()
+    raw = union_all(feeds.order_text(t.orders, ["placed"]), feeds.line_text(t.lineitem, ["refund"]))
+    routed, _ = dim.route_raw(raw, dim.past_config(config_feed), history=True)
+    data = F.col("data")
+    return routed.select("sink_table", F.coalesce(data["id"], data["order_id"]).alias("pk"), data["user_id"].alias("user_id"), data["order_status"].alias("order_status"))
+
+
 @query("""
 SELECT 'dim_province' AS sink_table, CAST(n_nationkey AS VARCHAR) AS pk, n_name AS name FROM nation
 UNION ALL SELECT 'dim_region', CAST(r_regionkey AS VARCHAR), r_name FROM region

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemart.operators.visitors import repair_is_new
 from tidemart.schemas import LOG
+from tidemart.sources.text import OPEN
 
 DETAIL_PAGES = ("home", "good_detail")
 
@@ -55,26 +56,36 @@ def split_log(logs: DataFrame) -> dict[str, DataFrame]:
 def fan_out(logs: DataFrame) -> DataFrame:
     """All record kinds of `split_log` in one pass, as (`record`, JSON `value`).
 
-    One write partitioned by `record` then serves every kind from a single scan.
+    One write partitioned by `record` then serves every kind from a single scan. Fields beyond the layout, where
+    `parse_logs` kept them, stand where they stood: those of the device, the page and the item in every record that
+    has these, those at the top in whole records.
     """
-    page = F.struct("common", "page", "ts")
+    kept = OPEN in logs.columns
+    extra = (lambda name: F.col(OPEN)[name]) if kept else (lambda name: None)
+    common, page = (_merged_object(c, extra(c)) for c in ("common", "page"))
+    top = extra("top")
 
-    def tagged(kind: str, row: Column) -> Column:
-        return F.struct(F.lit(kind).alias("record"), F.to_json(row).alias("value"))
+    def tagged(kind: str, row: Column, more: Column | None = None) -> Column:
+        return F.struct(F.lit(kind).alias("record"), _merged(F.to_json(row), more).alias("value"))
 
     def items(kind: str, field: str) -> Column:
         names = [n for n in logs.schema[field].dataType.elementType.names if n != "ts"]
-        each = F.transform(
-            field, lambda i: tagged(kind, F.struct(*(i[n].alias(n) for n in names), "common", "page", "ts"))
-        )
-        return F.when(~started, each)
+
+        def one(i: Column, at: Column) -> Column:
+            more = F.get(extra(field), at) if kept else None
+            return tagged(kind, F.struct(*(i[n].alias(n) for n in names), common, page, "ts"), more)
+
+        return F.when(~started, F.transform(field, one))
 
     started = F.col("start").isNotNull()
-    whole = F.struct(*(_raw_object(c) if c in ("start", "err") else F.col(c) for c in LOG.names))
+    objects = {"common": common, "page": page, "start": _raw_object("start"), "err": _raw_object("err")}
+    if kept:
+        objects |= {n: _merged_list(n, extra(n)) for n in ("displays", "actions")}
+    whole = F.struct(*(objects.get(c, F.col(c)) for c in LOG.names))
     singles = F.array(
-        F.when(F.col("err").isNotNull(), tagged("error", whole)),
-        F.when(started, tagged("start", F.struct("common", _raw_object("start"), "ts"))),
-        F.when(~started, tagged("page", page)),
+        F.when(F.col("err").isNotNull(), tagged("error", whole, top)),
+        F.when(started, tagged("start", F.struct(common, _raw_object("start"), "ts"), top)),
+        F.when(~started, tagged("page", F.struct(common, page, "ts"), top)),
     )
     none = F.array().cast(singles_type := "array<struct<record:string,value:string>>")
     parts = [F.coalesce(p.cast(singles_type), none) for p in (items("display", "displays"), items("action", "actions"))]
@@ -82,6 +93,25 @@ def fan_out(logs: DataFrame) -> DataFrame:
     return logs.select(F.explode(every).alias("__o")).select("__o.*")
 
 
+def _merged(text: Column, more: Column | None) -> Column:
+    """JSON text of an object with the entries of a map behind its own."""
+    if more is None:
+        return text
+    inner = F.substr(F.to_json(more), F.lit(2))
+    joined = F.when(text == "{}", F.concat(F.lit("{"), inner)).otherwise(F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.lit(","), inner))
+    return F.when(more.isNotNull(), joined).otherwise(text)
+
+
+def _merged_object(name: str, more: Column | None) -> Column:
+    if more is None:
+        return F.col(name)
+    return F.try_parse_json(_merged(F.to_json(F.col(name)), more)).alias(name)
+
+
+def _merged_list(name: str, more: Column) -> Column:
+    return F.transform(name, lambda i, at: F.try_parse_json(_merged(F.to_json(i), F.get(more, at)))).alias(name)
+
+
 def _raw_object(name: str) -> Column:
     """Raw JSON text as a value again, so that it is not written as an escaped string."""
     return F.try_parse_json(name).alias(name)

@@ -75,8 +75,37 @@ def parse_json(
     return good, some.filter(~is_json_object(value_col)).select(value_col, *keep)
 
 
-def parse_logs(df: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
-    return parse_json(df, value_col, schemas.LOG, keep)[0]
+#: The column of what a log record holds beside the layout.
+OPEN = "open"
+_FIELDS = T.MapType(T.StringType(), T.VariantType())
+
+
+def _unknown(fields: Column, known: T.StructType) -> Column:
+    """The entries of a parsed object that the layout has no name for; null if there are none."""
+    rest = F.map_filter(fields, lambda name, _: ~name.isin(known.names))
+    return F.when(F.size(rest) > 0, rest)
+
+
+def _open(text: Column) -> Column:
+    """What a log record holds beside the layout: at its top, in `common` and `page`, and in each display and action."""
+    objects = {"common": schemas.COMMON, "page": schemas.PAGE}
+    lists = {"displays": schemas.DISPLAY, "actions": schemas.ACTION}
+    layout = T.StructType([T.StructField(n, _FIELDS) for n in objects] + [T.StructField(n, T.ArrayType(_FIELDS)) for n in lists])
+    parsed, top = F.from_json(text, layout), F.from_json(text, _FIELDS)
+    rest = lambda known: lambda one: _unknown(one, known)
+    return F.struct(
+        _unknown(top, schemas.LOG).alias("top"),
+        *(_unknown(parsed[n], known).alias(n) for n, known in objects.items()),
+        *(F.transform(parsed[n], rest(known)).alias(n) for n, known in lists.items()),
+    )
+
+
+def parse_logs(df: DataFrame, value_col: str = "value", keep: tuple[str, ...] = (), open_fields: bool = False) -> DataFrame:
+    """Log records in their layout; with `open_fields`, the column `open` holds every field the layout does not know."""
+    if not open_fields:
+        return parse_json(df, value_col, schemas.LOG, keep)[0]
+    rows = df.withColumn(OPEN, _open(F.col(value_col)))
+    return parse_json(rows, value_col, schemas.LOG, (*keep, OPEN))[0]
 
 
 def parse_changes(df: DataFrame, value_col: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
