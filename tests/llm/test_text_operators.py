@@ -397,3 +397,23 @@ def test_empty_tables(docs):
     assert jaccard.Join(frame).classes().count() == 0
     assert substrings.Repeats(frame).removed().count() == 0
     assert secrets.find(frame).count() == 0
+
+
+def mirrored(n):
+    """Two words of n letters that polynomials modulo 2^64 cannot tell apart: each the other with its letters swapped."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_cancel_in_polynomials_stay_apart(docs):
+    one, other = mirrored(2048)
+    rows = [(i, f"x y z {w} p q r") for i, w in enumerate((one, other, one))]
+    got = {r.id: r.component_id for r in jaccard.Join(docs(rows).select("doc_id", "text"), k=4, percent=85).classes().collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+    front, back = prose(20, 901), prose(20, 902)
+    twice = [(i, f"{prose(5, 910 + i)} {front} {w} {back} {prose(5, 920 + i)}") for i, w in enumerate((one, other))]
+    assert all(r.n_removed == 0 for r in substrings.Repeats(docs(twice)).removed().collect())
+    same = [(i, f"{prose(5, 910 + i)} {front} {one} {back} {prose(5, 920 + i)}") for i in range(2)]
+    assert all(r.n_removed == 41 for r in substrings.Repeats(docs(same)).removed().collect())

@@ -19,8 +19,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from tidemart.llm.session import lower_ascii, numbered, prepared, stored, table
-from tidemart.session import work_dir
+from tidemart.llm.session import lower_ascii, numbered, prepared, scratch, stored, table
 
 FILES_PER_BATCH = 64
 
@@ -55,7 +54,7 @@ def dedup(
 def _dedup(rows: DataFrame, id: str, text: str, digest: Callable[[Column], Column] = sha256, files: int = FILES_PER_BATCH) -> DataFrame:
     """The answer for rows stored with their numbers."""
     spark = prepared(rows.sparkSession)
-    folder = work_dir(spark, "exact-dedup")
+    folder = scratch(spark, "exact-dedup")
     row = F.col("row")
     source = rows.select(row[id].cast("long").alias("id"), lower_ascii(row[text]).alias("norm"), "seq", F.col("file").alias("locator"))
     prints = source.select("id", "seq", "locator", digest(F.col("norm")).alias("digest"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"))

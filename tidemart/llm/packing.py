@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemart.llm.session import prepared, table
+from tidemart.llm.session import prepared, scratch, table
 from tidemart.llm.words import slices
-from tidemart.session import work_dir
 
 LIMIT = 4096
 END = 2
@@ -123,7 +122,7 @@ def pack(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", lim
 
     source = docs.select(docs[id].cast("long").alias("id"), docs[text].cast("binary").alias("text"))
     made = source.mapInArrow(cut, SCHEMA).withColumn("sequence_id", F.monotonically_increasing_id())
-    folder = work_dir(spark, "packed")
+    folder = scratch(spark, "packed")
     made.withColumn("bucket", F.col("length")).write.partitionBy("bucket").parquet(folder)
     stored = spark.read.schema(f"{SCHEMA}, sequence_id long").parquet(folder)
     return stored.withColumn("offset", F.lit(0).cast("long"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemart.session import tune, work_dir
@@ -28,9 +31,46 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return prepared(spark).read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+#: Folders made by the step that is being recorded.
+_recorded: list[list[str]] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder path for what a step keeps between its own jobs; `recording` remembers it."""
+    path = work_dir(spark, name)
+    for folders in _recorded:
+        folders.append(path)
+    return path
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The folders made within, for `drop_folders` when what was read from them has been written elsewhere."""
+    folders: list[str] = []
+    _recorded.append(folders)
+    try:
+        yield folders
+    finally:
+        # By identity: lists with the same folders are equal.
+        _recorded[:] = [f for f in _recorded if f is not folders]
+
+
+def drop_folders(spark: SparkSession, folders: Iterable[str], still_read: DataFrame | None = None) -> list[str]:
+    """Delete folders, but for those `still_read` is read from; gives what is left."""
+    files = still_read.inputFiles() if still_read is not None else []
+    left = []
+    for folder in folders:
+        if any(folder.rsplit("/", 1)[-1] in f for f in files):
+            left.append(folder)
+            continue
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return left
+
+
 def stored(frame: DataFrame, name: str, **options: str) -> DataFrame:
     """The frame written to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = work_dir(frame.sparkSession, name)
+    path = scratch(frame.sparkSession, name)
     frame.write.options(**options).parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 

@@ -1,6 +1,6 @@
 """Words of many texts at once, as numpy columns over the bytes of an Arrow string column.
 
-A word is a run of bytes other than space and 0x09-0x0D. Word hashes are 64-bit polynomials, the same for
+A word is a run of bytes other than space and 0x09-0x0D. Word hashes have 64 bits, the same for
 equal words wherever they stand; what must be exact is compared by such hashes only where the
 module says so.
 """
@@ -16,7 +16,6 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _P = U64(0x9E3779B97F4A7C15)
-_P_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _SPAN = 1 << 18
 
 
@@ -69,21 +68,30 @@ def split(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, starts, ends, _hashes(data, starts, ends), np.searchsorted(starts, offsets))
 
 
+#: Bytes of a word whose values come from a table; those behind are worked out.
+_NEAR = 64
+_TABLE = mix(np.arange(_NEAR * 256, dtype=U64) * _P + U64(0x632BE59BD9B4E019))
+
+
 def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Differences of a running polynomial, in stretches that end between words, so that memory stays small."""
+    """Sum of a random number for each byte at its place in the word, in stretches that end between words.
+
+    No arithmetic of bytes is left in it that words could be made to cancel, as they can in polynomials modulo 2^64.
+    """
     out = np.empty(len(starts), U64)
-    at, power, inverse = 0, np.ones(1, U64), np.ones(1, U64)
+    at = 0
     while at < len(starts):
         low = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, low + _SPAN, "right")))
-        size = int(ends[to - 1] - low)
-        if size > len(power):
-            power = np.cumprod(np.concatenate((np.ones(1, U64), np.full(size - 1, _P))))
-            inverse = np.cumprod(np.concatenate((np.ones(1, U64), np.full(size - 1, _P_INVERSE))))
-        run = np.zeros(size + 1, U64)
-        np.cumsum((data[low : low + size].astype(U64) + U64(1)) * power[:size], out=run[1:])
-        begin, end = starts[at:to] - low, ends[at:to] - low
-        out[at:to] = (run[end] - run[begin]) * inverse[begin]
+        begin, sizes = starts[at:to] - low, ends[at:to] - starts[at:to]
+        first = np.cumsum(sizes) - sizes
+        place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+        key = (place << 8) | data[low + place + np.repeat(begin, sizes)]
+        value = _TABLE[np.minimum(key, len(_TABLE) - 1)]
+        far = np.flatnonzero(place >= _NEAR)
+        if len(far):
+            value[far] = mix(key[far].astype(U64) * _P + U64(0x632BE59BD9B4E019))
+        out[at:to] = np.add.reduceat(value, first)
         at = to
     return mix(out)
 
