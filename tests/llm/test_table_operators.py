@@ -1,6 +1,7 @@
 """Mixing, packing, archives, links, and the pipeline as a whole."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_text_operators import ROWS, exact_truth, linked_components, measured, near_copies, prose
-from tidemart.llm import archive, links, mixing, packing
+from tidemart.llm import archive, links, mixing, packing, session
 from tidemart.llm.queries import QUERIES
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -288,3 +289,29 @@ def test_pipeline_takes_an_empty_table(spark, docs, folder):
     for name, stage in corpus_pipeline.STAGES:
         frame = corpus_pipeline.stored(stage(spark, frame, folder), name)
     assert frame.count() == 0
+
+
+def test_pipeline_leaves_no_folder_but_its_result(spark, docs, folder):
+    """The table by that name in a folder of its own; what a stage kept between its jobs goes once its result is stored."""
+    docs([*ROWS, *near_copies(8, 83)])
+    home = next(os.path.dirname(os.path.join(d, n)) for d, names, _ in os.walk(folder) for n in names if n == "documents.parquet")
+    root = os.path.dirname(session.work_dir(spark, "x")).removeprefix("file://")
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    out = corpus_pipeline.run(spark, home)
+    left = set(os.listdir(root)) - before
+    assert {n.rsplit("-", 1)[0] for n in left} == {"pipeline-sequence_packing"} and len(left) == 1
+    assert out.count() == out.filter("length > 0").count() > 0
+
+
+def test_stages_called_alone_drop_what_earlier_ones_left(spark, docs, folder):
+    frame = docs([*ROWS, *near_copies(8, 84)])
+    steps = dict(corpus_pipeline.STAGES)
+    clean = steps["quality_rules"](spark, frame, folder)
+    exact_rows = steps["exact_dedup"](spark, session.stored(clean, "a"), folder)
+    made = [f for kept in corpus_pipeline._left.values() for f in kept]
+    assert made and all(os.path.isdir(f.removeprefix("file://")) for f in made)
+    kept = session.stored(exact_rows, "c")
+    path = next(iter({f.rsplit("/", 1)[0] for f in kept.inputFiles()})).replace("file:///", "/")
+    assert session.drop_folders(spark, [path], still_read=kept) == [path] and kept.count() > 0
+    steps["near_dedup"](spark, kept, folder)
+    assert not any(os.path.isdir(f.removeprefix("file://")) for f in made)
