@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from tidemart.operators.bounce import bounces
 from tidemart.operators.dedup import first_per_day, first_within, latest_in_window
 from tidemart.operators.visitors import daily_visits, repair_is_new
 from tidemart.operators.windows import sums, tumble, tumble_distinct
+from tidemart.streaming.sinks import to_files
 from tidemart.streaming.ordered import (
-    bounces_stream, daily_visits_stream, first_days, first_per_day_stream, repair_is_new_stream,
+    bounces_stream, daily_visits_stream, first_by_key_stream, first_days, first_per_day_stream, repair_is_new_stream,
 )
 
 SCHEMA = "k string, ms long, flag string, n int"
@@ -191,3 +193,21 @@ def test_ties_go_by_value(spark, folder):
     assert rows_of(got, "k", "n", "flag") == rows_of(want, "k", "n", "flag")
     # The day before the first counts as the first day of both, whose earliest rows were not flagged.
     assert ("a", 10, "0") in rows_of(got, "k", "n", "flag") and ("b", -3, "0") in rows_of(got, "k", "n", "flag")
+
+
+@pytest.mark.parametrize("ttl, third", [(1.0, [("a", 3), ("b", 2)]), (3600.0, [("b", 2)])])
+def test_state_with_a_time_to_live(spark, folder, ttl, third):
+    """The stream is stopped and started again from its checkpoint; a key whose state has expired comes through again."""
+    add = lambda *rows: spark.createDataFrame(list(rows), "k string, n int").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    def step():
+        stream = first_by_key_stream(spark.readStream.schema("k string, n int").parquet(f"{folder}/in"), "k", ttl)
+        writer = to_files(stream, f"{folder}/out", f"{folder}/check").outputMode("append")
+        assert writer.trigger(once=True).start().awaitTermination(120)
+        return rows_of(spark.read.schema("k string, n int").parquet(f"{folder}/out"))
+
+    add(("a", 1))
+    assert step() == [("a", 1)]
+    time.sleep(2)
+    add(("a", 3), ("b", 2))
+    assert step() == sorted([("a", 1), *third])

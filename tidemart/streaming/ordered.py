@@ -55,6 +55,24 @@ class FirstDay(StatefulProcessor):
         pass
 
 
+class FirstByKey(StatefulProcessor):
+    """Lets the first row of a key through, again once its state has outlived its time since it was written."""
+
+    def __init__(self, ttl_ms: int) -> None:
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seen boolean", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        if not self.seen.exists():
+            self.seen.update((True,))
+            yield Row(payload=next(rows)["payload"])
+
+    def close(self) -> None:
+        pass
+
+
 class DayVisits(StatefulProcessor):
     """First visit of a key on each day, as it arrives, with the day visited before.
 
@@ -140,6 +158,23 @@ def repair_is_new_stream(
     return union_all(fixed, df.filter(~timed))
 
 
+def first_by_key_stream(df: DataFrame, key: str, ttl_seconds: float) -> DataFrame:
+    """The first row of each key to arrive, and the next one after `ttl_seconds` of processing time, and so on.
+
+    Where the time to live is one of event time, `operators.dedup.first_within` does the same without Python. Rows
+    without a key are one key. State in processing time keeps a query going: give it a trigger that repeats or runs
+    once, as one over what is available now does not end by itself.
+    """
+    slim = df.select(F.to_json(F.struct(F.col(key).alias("key"))).alias("__key"), F.to_json(F.struct(*df.columns), _TIME).alias("payload"))
+    out = slim.groupBy("__key").transformWithState(
+        statefulProcessor=FirstByKey(round(ttl_seconds * 1000)),
+        outputStructType=T.StructType([T.StructField("payload", T.StringType())]),
+        outputMode="append",
+        timeMode="ProcessingTime",
+    )
+    return out.select(F.inline(F.array(F.from_json("payload", df.schema, _TIME))))
+
+
 def _sortable(value: Column, kind: T.DataType) -> Column:
     """Text that sorts like the value, nulls first: whole numbers shifted above zero and padded."""
     if isinstance(kind, T.FractionalType):
