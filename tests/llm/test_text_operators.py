@@ -195,6 +195,26 @@ def test_lists_longer_than_a_block(docs, monkeypatch):
     assert by_row(got, "id", ("size", "component_id")) == linked_components(rows, 4, 85)
 
 
+def test_a_template_below_the_threshold_tells_few_pairs(docs):
+    """Documents that share nine tenths of their shingles and link with none; a few true pairs among them are found."""
+    base = prose(183, 61)
+    rows = [(i, base + " " + " ".join(f"own{i}x{j}" for j in range(20))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(5)]
+    join = jaccard.Join(docs(rows))
+    assert join.first.count() + join.second.count() < 600
+    got = {r.id: r.component_id for r in join.classes().collect()}
+    assert got == {i: i % 1000 if i >= 1000 else i for i, _ in rows}
+
+
+def test_a_query_of_more_candidates_than_a_block(docs, monkeypatch):
+    """Copies around one text, their candidates dealt in blocks of two and their pairs looked at one row at a time."""
+    for name in ("PARTNERS", "PAIRS_AT_ONCE", "ROWS_AT_ONCE", "BUNDLE"):
+        monkeypatch.setattr(jaccard, name, 2)
+    rows = near_copies(30, 71) + near_copies(15, 72)
+    got = jaccard.Join(docs(rows), k=5, percent=80).classes()
+    assert by_row(got, "id", ("size", "component_id")) == linked_components(rows, 5, 80)
+
+
 def test_near_kept_rows(docs):
     rows = near_copies(10, 41) + [(1, None), (None, ""), (2, "ab"), (2, "ab")]
     frame = docs(rows)

@@ -5,19 +5,25 @@ A document's set holds its distinct shingles as 64-bit hashes. Two documents lin
 inverted lists. DivideSkip merges short lists and skips long ones, up to T - 1 of them, which are only probed:
 
 1. Documents with equal sets fold to one. The most frequent shingles (`LONG_LISTS` at most, a fixed bound) are
-   found over all documents; they come last in the order of lists. This steers work and never results.
-2. Each set sends its first n - T + 1 shingles, its short lists, to the shuffle; partners must meet in one of
-   them. A task folds its own occurrences first, so a shingle of a third of all documents stays small; lists of one are dropped.
-3. In each list, cut into blocks, pairs are kept whose sizes allow a link and whose counts of shingles per hash
-   class (`CLASSES`) do not rule out the overlap. A first round takes a spanning forest of them.
-4. Candidates are verified by T-occurrence: per document the lists over its candidates, short ones heap-merged,
-   long ones probed by binary search, exact overlap at the end. Links give components.
-5. A second round takes all remaining pairs across components, verifies them likewise and joins the components, so
-   no link between different sets is lost although groups of near copies are not expanded into all pairs.
+   found over all documents and all their shingles; they come last in the order of lists. This steers work and never results.
+2. Each set sends its first n - T + 1 shingles, its short lists, to the shuffle with the number of its lists from there
+   on, its reach: two sets that meet share no more than they met before and the smaller reach. A task folds its own
+   occurrences first, so a shingle of a third of all documents stays small; lists of one are dropped.
+3. Of two sets that may link where they first meet, the smaller one is early there: its reach would do for a partner of
+   its own size. Lists without an early member go, and only early members are compared with the others, in blocks.
+   So documents alike in frequent shingles only, which stand last, are never told as pairs.
+4. A first round takes, by sketches, each member's likeliest smaller partner per list. Links give components. A second round
+   merges the lists of all pairs across components: a pair is a candidate if its count and the reach left at its
+   last meeting give the overlap needed. No link between different sets is lost, although groups of near copies are
+   not expanded into all pairs.
+5. Candidates that counts of shingles per hash class (`CLASSES`) do not rule out are verified: texts of candidates
+   travel to their query in blocks (`PARTNERS`), the query's once per block; lists of the query over its candidates,
+   short ones heap-merged, long ones probed by binary search, exact overlap at the end.
 
 A document with words but fewer than a shingle has one for the whole sequence; one without words or text
 has an empty set and links with nothing. Null and repeated ids are kept apart by row number, with which the rows are
-stored once and read in every later step. An empty table gives no rows; other columns are not read.
+stored once and read in every later step. Texts of any length are read whole. An empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -34,18 +40,22 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemart.llm import words as W
 from tidemart.llm.components import components
-from tidemart.llm.session import numbered, prepared, stored, table
+from tidemart.llm.session import drop_folders, numbered, prepared, recording, stored, table
 
 SHINGLE = 4
 PERCENT = 85
-#: Shingles in more documents than this may come last in the order; of them, the most frequent that fit the bound.
-LONG_FROM = 32
-LONG_LISTS = 65_536
-#: Members of a list compared at a time. Longer lists are cut, and all their blocks are compared in the second round.
+#: Shingles counted more often than this may come last in the order, by powers of two of their counts; of them, the most
+#: frequent that fit the bound. A task counts a stretch of shingles of all its documents and tells those met twice in it.
+LONG_FROM = 3
+LONG_LISTS = 262_144
+STRETCH = 8_000_000
+#: Members of a list compared at a time. Longer lists are cut, and in the second round one side of the pairs goes to all blocks.
 BLOCK = 256
 CLASSES = 64
-#: Smallest lists of a document that travel with it, so that a pair of many common lists is told once.
-FIRSTS = 8
+#: Candidates of a query that go to one task with its text.
+PARTNERS = 256
+#: Pairs of list members looked at together.
+PAIRS_AT_ONCE = 500_000
 ROWS_AT_ONCE = 20_000
 FOLD = 2_000_000
 BUNDLE = 64
@@ -75,10 +85,10 @@ def sets_of(texts, k: int) -> list[np.ndarray]:
     return out
 
 
-def _lists(arrays: list[np.ndarray], short: bool) -> pa.ListArray:
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-    flat = np.concatenate(arrays) if arrays else np.zeros(0, W.U64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(_low(flat).view(np.int32) if short else flat.view(np.int64)))
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
 def _low(tokens: np.ndarray) -> np.ndarray:
@@ -86,172 +96,188 @@ def _low(tokens: np.ndarray) -> np.ndarray:
     return (tokens & W.U64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _heads(k: int, percent: int, long_lists: np.ndarray | None):
-    """Per document its size, a digest of its set, counts per class, and its short lists in the order of lists.
+def _sizes(k: int):
+    """Per document its size, a digest of its set, counts per class and a sketch.
 
-    Before the long lists are known, lists are those of the smallest hashes, by half a hash each.
+    The first row after a stretch of shingles also holds those that were in two of its sets or more, and in how many.
     """
 
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+
+        def often() -> tuple[np.ndarray, np.ndarray]:
+            tokens, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint32),) * 2
+            held.clear()
+            return tokens[counts > 1].view(np.int32), counts[counts > 1].astype(np.int64)
+
+        def rows(part, sets: list[np.ndarray], told: bool) -> pa.RecordBatch:
+            tokens, counts = often() if told else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            none = [tokens[:0]] * (len(sets) - 1), [counts[:0]] * (len(sets) - 1)
+            columns = [
+                part["seq"], part["id"], pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+                pa.array([_counts(s) for s in sets], pa.binary()), pa.array(_sketches(sets)), _lists([tokens, *none[0]]), _lists([counts, *none[1]]),
+            ]
+            return pa.record_batch(columns, ["seq", "id", "size", "set_digest", "counts", "sketch", "often", "often_n"])
+
+        last = None
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                if last is not None:
+                    yield rows(*last, n >= STRETCH)
+                    n *= n < STRETCH
+                sets = sets_of(part["text"], k)
+                held += [_low(s) for s in sets]
+                n += sum(map(len, sets))
+                last = part, sets
+        if last is not None:
+            yield rows(*last, True)
+
+    return sizes
+
+
+_SIZES = "seq long, id long, size long, set_digest binary, counts binary, sketch long, often array<int>, often_n array<long>"
+
+
+def _heads(k: int, percent: int, long_lists: np.ndarray, levels: np.ndarray):
+    """Per document that has shingles its size and its short lists in the order of lists."""
+
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
                 sets = sets_of(part["text"], k)
                 first = []
                 for s in sets:
-                    n = short_lists(len(s), percent)
-                    if long_lists is not None and len(long_lists) and len(s):
+                    if len(long_lists) and len(s):
                         half = _low(s)
                         place = np.minimum(np.searchsorted(long_lists, half), len(long_lists) - 1)
-                        late = long_lists[place] == half
-                        s = np.concatenate((s[~late], s[late]))
-                    first.append(s[:n])
-                columns = [
-                    part["seq"], part["id"], pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([_counts(s) for s in sets], pa.binary()), _lists(first, long_lists is None),
-                ]
-                yield pa.record_batch(columns, ["seq", "id", "size", "set_digest", "counts", "lists"])
+                        s = s[np.argsort(np.where(long_lists[place] == half, levels[place], 0), kind="stable")]
+                    first.append(s[: short_lists(len(s), percent)])
+                columns = [part["seq"], pa.array([len(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in first])]
+                yield pa.record_batch(columns, ["seq", "size", "lists"])
 
     return heads
 
 
-_HEADS = "seq long, id long, size long, set_digest binary, counts binary, lists array<long>"
-_SIZES = _HEADS.replace("array<long>", "array<int>")
-
-
 def _counts(s: np.ndarray) -> bytes:
     """Shingles per hash class as bytes; all 255 if one does not fit, which rules nothing out."""
     n = np.bincount((s >> W.U64(40)).astype(np.int64) % CLASSES, minlength=CLASSES)
     return n.astype(np.uint8).tobytes() if n.max() < 255 else b"\xff" * CLASSES
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of inverted lists; of those a task holds, the first stands for all and the others are known to have company."""
-    held, size = [], 0
-    for b in batches:
-        n = np.diff(np.asarray(b["lists"].offsets))
-        held.append((b["lists"].flatten().to_numpy(), np.repeat(b["seq"].to_numpy(), n)))
-        size += len(held[-1][0])
-        if size >= FOLD:
+_BINS = np.arange(16, dtype=W.U64) << W.U64(60)
+_ONES = W.U64(0x1111111111111111)
+
+
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Four bits of the smallest hash in each sixteenth of the range of hashes."""
+    out = np.zeros(len(sets), W.U64)
+    for i, s in enumerate(sets):
+        if len(s):
+            least = s[np.minimum(np.searchsorted(s, _BINS), len(s) - 1)]
+            out[i] = np.bitwise_or.reduce((least & W.U64(15)) << (_BINS >> W.U64(58)))
+    return out.view(np.int64)
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many of their sixteen parts sketches agree."""
+    x = (a ^ b).view(W.U64)
+    x = x | (x >> W.U64(1))
+    return 16 - np.bitwise_count((x | (x >> W.U64(2))) & _ONES).astype(np.int64)
+
+
+def _members(percent: int):
+    """Members of inverted lists; of those a task holds, the first stands for all and the others are known to have company.
+
+    A member's code is its reach, then a bit if it is early, then one if it has company.
+    """
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            n = np.diff(np.asarray(b["lists"].offsets))
+            total, size = int(n.sum()), b["size"].to_numpy()
+            reach = np.repeat(size + np.cumsum(n) - n, n) - np.arange(total)
+            early = reach >= np.repeat(least_overlap(size, size, percent), n)
+            held.append((b["lists"].flatten().to_numpy(), np.repeat(b["seq"].to_numpy(), n), reach * 4 + early * 2))
+            rows += total
+            if rows >= FOLD:
+                yield _fold(held)
+                held, rows = [], 0
+        if held:
             yield _fold(held)
-            held, size = [], 0
-    if held:
-        yield _fold(held)
+
+    return members
 
 
 def _fold(held: list) -> pa.RecordBatch:
-    tokens, seqs = (np.concatenate(c) for c in zip(*held))
-    order = np.argsort(tokens, kind="stable")
-    tokens, seqs = tokens[order], seqs[order]
+    columns = [np.concatenate(c) for c in zip(*held)]
+    order = np.argsort(columns[0], kind="stable")
+    tokens, seqs, code = (c[order] for c in columns)
     first = np.ones(len(tokens), bool)
     first[1:] = tokens[1:] != tokens[:-1]
     known = (np.bincount(np.cumsum(first) - 1) > 1)[np.cumsum(first) - 1] if len(tokens) else first
     salt = np.where(first, 0, 1 + seqs % 1021).astype(np.int32)
-    return pa.record_batch([pa.array(c) for c in (tokens, salt, seqs, known)], ["token", "salt", "seq", "known"])
+    return pa.record_batch([pa.array(c) for c in (tokens, salt, seqs, code + known)], ["token", "salt", "seq", "code"])
 
 
-def repeated_members(heads: DataFrame) -> DataFrame:
-    """token and seq of lists with two members or more."""
-    rows = heads.mapInArrow(_members, "token long, salt int, seq long, known boolean")
-    seen = rows.withColumn("n", F.count("*").over(Window.partitionBy("token", "salt")))
-    return seen.filter("known OR (salt = 0 AND n > 1)").select("token", "seq")
+def repeated_members(heads: DataFrame, percent: int) -> DataFrame:
+    """token, seq, reach (the member's lists from this one on) and early, of lists with two members or more."""
+    rows = heads.mapInArrow(_members(percent), "token long, salt int, seq long, code long")
+    seen = rows.withColumn("n", F.count("*").over(Window.partitionBy("token", "salt"))).filter("code & 1 = 1 OR (salt = 0 AND n > 1)")
+    return seen.selectExpr("token", "seq", "shiftright(code, 2) AS reach", "code & 2 = 2 AS early")
 
 
-_TRAITS = "seq long, size long, counts binary, firsts binary"
+# ---- candidates
 
 
-def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What candidates are judged by; the smallest lists as bytes, filled up with the largest number."""
-    fill = np.full(FIRSTS, np.iinfo(np.int64).max)
-    for batch in batches:
-        firsts = [np.concatenate((np.asarray(t, np.int64), fill))[:FIRSTS].tobytes() for t in batch["tokens"].to_pylist()]
-        yield pa.record_batch([batch["seq"], batch["size"], batch["counts"], pa.array(firsts, pa.binary())], ["seq", "size", "counts", "firsts"])
-
+class _Rows:
+    """Members of lists, sorted by list, block, size and row, as numpy columns."""
 
-# ---- candidates
+    def __init__(self, batch: pa.Table, percent: int) -> None:
+        names = ("token", "block", "seq", "root", "size", "reach", "own", "wide", "sketch")
+        self.token, self.block, self.seq, self.root, self.size, self.reach, self.own, self.wide, self.sketch = (batch[c].to_numpy() for c in names)
+        self.percent = percent
+        self.change = (self.token[1:] != self.token[:-1]) | (self.block[1:] != self.block[:-1])
 
+    def pairs(self, n: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Pairs of the first n rows that may link by what they have left, smaller set first, with need and reach.
 
-class _Rows:
-    """Members of lists, sorted by list and block, as numpy columns."""
-
-    def __init__(self, batch: pa.RecordBatch | pa.Table, percent: int, firsts: bool) -> None:
-        column = lambda name: batch[name].to_numpy()
-        self.token, self.block, self.seq, self.root = (column(c) for c in ("token", "block", "seq", "root"))
-        self.size, self.percent = column("size"), percent
-        self.own = batch["own"].to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch["own"].to_numpy()
-        self.classes = np.frombuffer(W.text_bytes(batch["counts"])[0], np.uint8).reshape(-1, CLASSES)
-        self.open = (self.classes == 255).all(axis=1)
-        self.firsts = None
-        if firsts:
-            flat, offsets = W.text_bytes(batch["firsts"])
-            self.firsts = np.frombuffer(flat.tobytes(), np.int64).reshape(-1, FIRSTS)
-
-    def may_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of pairs of rows those that may link and have to be told here, and the bound on their similarity."""
-        need = least_overlap(self.size[a], self.size[b], self.percent)
-        keep = (np.minimum(self.size[a], self.size[b]) >= need) & (self.root[a] != self.root[b]) & (self.own[a] | self.own[b])
-        a, b, need = a[keep], b[keep], need[keep]
-        bound = np.minimum(self.classes[a], self.classes[b]).sum(axis=1, dtype=np.int64)
-        least = np.minimum(self.size[a], self.size[b])
-        bound = np.where(self.open[a] & self.open[b], least, np.minimum(bound, least))
-        keep = bound >= need
-        a, b, bound = a[keep], b[keep], bound[keep]
-        if self.firsts is not None and len(a):
-            # A pair is told in the smallest list both are known to share, and nowhere else.
-            told = np.zeros(len(a), bool)
-            for i in range(FIRSTS):
-                one = self.firsts[a, i]
-                told |= (one < self.token[a]) & (one[:, None] == self.firsts[b]).any(axis=1)
-            a, b, bound = a[~told], b[~told], bound[~told]
-        return a, b, bound / np.maximum(self.size[a] + self.size[b] - bound, 1)
-
-
-def _index_pairs(starts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows of all pairs within runs of n rows, some hundred thousand at a time."""
-    for low in range(0, n, BLOCK):
-        i, j = np.meshgrid(np.arange(low, min(low + BLOCK, n)), np.arange(low, n), indexing="ij")
-        upper = i < j
-        i, j = i[upper], j[upper]
-        step = max(1, 200_000 // max(len(i), 1))
-        for at in range(0, len(starts), step):
-            some = starts[at : at + step, None]
-            yield (some + i).ravel(), (some + j).ravel()
-
-
-def _forest(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a spanning forest, likeliest first."""
-    root: dict[int, int] = {}
-
-    def top(x: int) -> int:
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    keep = []
-    for e in np.argsort(-score, kind="stable").tolist():
-        x, y = top(int(a[e])), top(int(b[e]))
-        if x != y:
-            root[x] = y
-            keep.append(e)
-    return a[keep], b[keep]
+        Cut between rows of smaller sets. Both sides sent to all blocks: told at home of the lower row number.
+        """
+        run = np.concatenate(([0], np.cumsum(self.change)))[:n].astype(np.int64)
+        size, reach = self.size[:n], self.reach[:n]
+        early = np.flatnonzero(reach >= least_overlap(size, size, self.percent))
+        # No partner is larger than what the reach of the smaller set can make up for.
+        most = reach[early] * (100 + self.percent) // self.percent - size[early]
+        to = np.searchsorted((run << 32) | size, (run[early] << 32) | most, "right")
+        some = np.maximum(to - early - 1, 0)
+        total = np.cumsum(some)
+        at = 0
+        while at < len(early):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            n_each = some[at:end]
+            a = np.repeat(early[at:end], n_each)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(n_each) - n_each, n_each)
+            at = end
+            left = np.minimum(self.reach[a], self.reach[b])
+            need = least_overlap(self.size[a], self.size[b], self.percent)
+            told = np.where(self.seq[a] < self.seq[b], self.own[a], self.own[b]) | ~(self.wide[a] & self.wide[b])
+            keep = (left >= need) & (self.root[a] != self.root[b]) & told
+            yield a[keep], b[keep], need[keep], left[keep]
+
+
+def _likeliest(rows: _Rows, found: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Of each larger set's pairs in a list the one of most similar sketches, the smallest set of equal ones."""
+    a, b = found[:2]
+    order = np.lexsort((a, -_alike(rows.sketch[a], rows.sketch[b]), b))
+    first = np.ones(len(order), bool)
+    first[1:] = b[order][1:] != b[order][:-1]
+    return tuple(c[order[first]] for c in found)
 
 
 def _pairs(percent: int, forest: bool):
-    def found(rows: _Rows, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Pairs of runs that end at `ends`, runs of one length together."""
-        starts = np.concatenate(([0], ends[:-1]))
-        lengths = ends - starts
-        for n in np.unique(lengths[lengths > 1]).tolist():
-            runs = starts[lengths == n]
-            for group in np.split(runs, range(1, len(runs))) if forest and n > 3 else [runs]:
-                got = [rows.may_link(a, b) for a, b in _index_pairs(group, n)]
-                a, b, score = (np.concatenate(c) for c in zip(*got))
-                if forest and n > 3:
-                    a, b = _forest(a, b, score)
-                if len(a):
-                    yield _pair_batch(np.minimum(rows.seq[a], rows.seq[b]), np.maximum(rows.seq[a], rows.seq[b]))
-
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -260,12 +286,15 @@ def _pairs(percent: int, forest: bool):
             if not held:
                 return
             table = pa.Table.from_batches(held).combine_chunks()
-            rows = _Rows(table, percent, not forest)
-            change = (rows.token[1:] != rows.token[:-1]) | (rows.block[1:] != rows.block[:-1])
-            ends = np.concatenate((np.flatnonzero(change) + 1, [len(rows.token)] if last else []))
-            if len(ends):
-                yield from found(rows, ends.astype(np.int64))
-            held[:] = [] if last else table.slice(int(ends[-1]) if len(ends) else 0).to_batches()
+            rows = _Rows(table, percent)
+            ends = np.flatnonzero(rows.change)
+            n = table.num_rows if last else int(ends[-1]) + 1 if len(ends) else 0
+            for found in rows.pairs(n):
+                a, b, need, left = _likeliest(rows, found) if forest else found
+                if len(a):
+                    x, y = np.minimum(rows.seq[a], rows.seq[b]), np.maximum(rows.seq[a], rows.seq[b])
+                    yield pa.record_batch([pa.array(c) for c in (x, y, need, left)], ["x", "y", "need", "reach"])
+            held[:] = table.slice(n).to_batches()
 
         for batch in batches:
             if batch.num_rows:
@@ -277,9 +306,13 @@ def _pairs(percent: int, forest: bool):
     return pairs
 
 
-def _pair_batch(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-    rows = np.unique(np.column_stack((x, y)), axis=0)
-    return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["x", "y"])
+def _plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose counts per class allow the overlap needed."""
+    for batch in batches:
+        x, y = (np.frombuffer(W.text_bytes(batch[c])[0], np.uint8).reshape(-1, CLASSES) for c in ("counts_x", "counts_y"))
+        open_ = (x == 255).all(axis=1) | (y == 255).all(axis=1)
+        keep = open_ | (np.minimum(x, y).sum(axis=1, dtype=np.int64) >= batch["need"].to_numpy())
+        yield batch.select(["x", "y"]).filter(pa.array(keep))
 
 
 # ---- verification
@@ -330,24 +363,32 @@ def _linked(query: np.ndarray, others: list[np.ndarray], percent: int) -> list[b
 
 
 def _verify(k: int, percent: int):
-    """Pairs with both texts, those of one x together; gives the links."""
+    """A query's row, then those of its candidates, block by block; gives the links."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query = np.zeros(0, W.U64)
         for batch in batches:
             linked: list[tuple[int, int]] = []
-            x = batch["x"].to_numpy()
-            cuts = [0, *(np.flatnonzero(x[1:] != x[:-1]) + 1).tolist(), len(x)] if len(x) else [0]
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                query = sets_of(batch["text_x"].slice(a, 1), k)[0]
-                for low in range(a, b, BUNDLE):
-                    part = batch.slice(low, min(BUNDLE, b - low))
-                    hits = _linked(query, sets_of(part["text_y"], k), percent)
-                    linked += [(int(x[a]), y) for y, hit in zip(part["y"].to_pylist(), hits) if hit]
+            for part in W.slices(batch, "text"):
+                q, is_query = part["q"].to_numpy(), part["c"].is_null().to_numpy(zero_copy_only=False)
+                numbers, sets = part["c"].to_pylist(), sets_of(part["text"], k)
+                starts = np.flatnonzero(is_query).tolist()
+                for a, b in zip([0, *starts], [*starts, len(q)]):
+                    if a < b and is_query[a]:
+                        query, a = sets[a], a + 1
+                    for low in range(a, b, BUNDLE):
+                        some = range(low, min(low + BUNDLE, b))
+                        hits = _linked(query, [sets[i] for i in some], percent)
+                        linked += [(int(q[i]), numbers[i]) for i, hit in zip(some, hits) if hit]
             yield pa.record_batch([pa.array([p[i] for p in linked], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return verify
 
 
+def _home():
+    return F.pmod(F.xxhash64("token", "seq"), F.ceil(F.col("n") / BLOCK)).cast("int")
+
+
 class Join:
     """The steps over one table, stored as `numbered`; `classes()` is the result."""
 
@@ -357,65 +398,87 @@ class Join:
         self.numbered = numbered(docs)
         row = F.col("row")
         self.rows = self.numbered.select("seq", row[id].cast("long").alias("id"), row[text].cast("binary").alias("text"))
-        early = stored(self.rows.mapInArrow(_heads(k, percent, None), _SIZES).drop("counts"), "join-sizes")
-        counts = early.select(F.explode("lists").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+        with recording() as made:
+            early = stored(self.rows.mapInArrow(_sizes(k), _SIZES), "join-sizes")
+        told = early.filter(F.size("often") > 0).select(F.explode(F.arrays_zip("often", "often_n")).alias("o"))
+        counts = told.groupBy(F.col("o.often").alias("token")).agg(F.sum("o.often_n").alias("n"))
         often = counts.filter(F.col("n") > LONG_FROM).orderBy(F.desc("n"), "token").limit(LONG_LISTS).collect()
-        long_lists = np.sort(np.array([r.token for r in often], np.int32).view(np.uint32))
-        self.docs = early.drop("lists")
+        long_lists, counted = np.array([r.token for r in often], np.int32).view(np.uint32), np.array([r.n for r in often], np.int64)
+        order = np.argsort(long_lists)
+        long_lists, levels = long_lists[order], np.log2(counted[order]).astype(np.int8)
+        self.docs = stored(early.drop("often", "often_n"), "join-docs")
+        drop_folders(spark, made)
 
         same = self.docs.filter("size > 0").groupBy("set_digest").agg(F.min("seq").alias("first"), F.count("*").alias("copies")).filter("copies > 1")
         same = stored(same, "join-copies")
         copies = self.docs.join(same.filter("copies > 1"), "set_digest").filter("seq <> first").select(F.col("seq").alias("a"), F.col("first").alias("b"))
         self.copies = stored(copies, "join-copy-links")
 
-        heads = self.rows.mapInArrow(_heads(k, percent, long_lists), _HEADS).drop("id", "set_digest")
-        heads = stored(heads.filter("size > 0").join(self.copies, F.col("seq") == F.col("a"), "left_anti"), "join-heads")
-        tokens = repeated_members(heads.select("seq", "lists")).groupBy("seq").agg(F.sort_array(F.collect_list("token")).alias("tokens"))
-        tokens = stored(tokens, "join-tokens")
-        members = tokens.select("seq", F.explode("tokens").alias("token"))
-        firsts = tokens.select("seq", F.slice("tokens", 1, FIRSTS).alias("tokens"))
-        traits = stored(firsts.join(heads.select("seq", "size", "counts"), "seq").mapInArrow(_traits, _TRAITS), "join-traits")
-        self.members = members.select("token", "seq")
-        self.traits = traits
-
-        first = stored(self._candidates(self.members.select("token", "seq", F.col("seq").alias("root")), forest=True), "join-pairs")
-        links = stored(self._links(first), "join-links")
+        heads = self.rows.mapInArrow(_heads(k, percent, long_lists, levels), "seq long, size long, lists array<long>")
+        heads = heads.filter("size > 0").join(self.copies, F.col("seq") == F.col("a"), "left_anti")
+        self.members = stored(repeated_members(heads, percent), "join-members")
+
+        self.first = stored(self._nearest(), "join-pairs")
+        links = stored(self._links(self.first), "join-links")
         roots = components(links)
         labelled = self.members.join(roots, self.members["seq"] == roots["node"], "left").withColumn("root", F.coalesce("root", "seq")).drop("node")
-        apart = labelled.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-        labelled = stored(labelled.join(apart.select("token"), "token").select("token", "seq", "root"), "join-apart")
-        second = self._candidates(labelled, forest=False).join(first, ["x", "y"], "left_anti")
-        self.links = links.union(stored(self._links(stored(second, "join-pairs")), "join-links"))
-
-    def _candidates(self, members: DataFrame, forest: bool) -> DataFrame:
-        """Distinct pairs x < y of different roots that may link.
-
-        A list's members go to blocks by hash. For all pairs across blocks, those outside the list's most frequent
-        root go to every block and pair there with the block's own; the forest needs no pairs across blocks.
+        self.second = stored(self._across(labelled).join(self.first, ["x", "y"], "left_anti"), "join-pairs")
+        self.links = links.union(stored(self._links(self.second), "join-links"))
+
+    def _told(self, rows: DataFrame, forest: bool) -> DataFrame:
+        """x < y, need and reach of the pairs that may link, of rows with their block."""
+        n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        sketch = F.col("sketch") if forest else F.lit(0).cast("long").alias("sketch")
+        rows = rows.join(self.docs.select("seq", "size", sketch), "seq")
+        rows = rows.select("token", "block", "seq", "root", "size", "reach", "wide", "sketch", (F.col("block") == F.col("home")).alias("own"))
+        dealt = rows.repartition(n, "token", "block").sortWithinPartitions("token", "block", "size", "seq")
+        return dealt.mapInArrow(_pairs(self.percent, forest), "x long, y long, need long, reach long")
+
+    def _nearest(self) -> DataFrame:
+        """Pairs of the first round; a list's members go to blocks by hash, and pairs across blocks are left to the second."""
+        lists = self.members.groupBy("token").agg(F.count("*").alias("n"), F.count_if("early").alias("n_early")).filter("n > 1 AND n_early > 0")
+        rows = self.members.join(lists, "token").withColumn("home", _home()).withColumn("block", F.col("home"))
+        told = self._told(rows.withColumn("root", F.col("seq")).withColumn("wide", F.lit(False)), forest=True)
+        return told.select("x", "y", "need").distinct()
+
+    def _across(self, members: DataFrame) -> DataFrame:
+        """Candidates between components: pairs of different roots whose merged lists leave room for the overlap needed.
+
+        Of a list's pairs one side is early and one is outside its most frequent root. The rarer kind goes to
+        every block and pairs there with the block's own.
         """
-        per_root = members.groupBy("token", "root").agg(F.count("*").alias("n"))
-        lists = per_root.groupBy("token").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
-        lists = lists.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.col("most.root").alias("major"))
-        rows = members.join(lists, "token").withColumn("home", F.pmod(F.xxhash64("token", "seq"), F.col("blocks")).cast("int"))
-        if forest:
-            rows = rows.withColumn("block", F.col("home"))
-        else:
-            everywhere = F.when(F.col("root") == F.col("major"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-            rows = rows.withColumn("block", F.explode(everywhere))
-        firsts = [] if forest else ["firsts"]
-        rows = rows.select("token", "block", "seq", "root", (F.col("block") == F.col("home")).alias("own"))
-        rows = rows.join(self.traits.select("seq", "size", "counts", *firsts), "seq")
-        n = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        dealt = rows.repartition(int(n), "token", "block").sortWithinPartitions("token", "block", "size", "seq")
-        return dealt.mapInArrow(_pairs(self.percent, forest), "x long, y long").distinct()
+        per_root = members.groupBy("token", "root").agg(F.count("*").alias("n"), F.count_if("early").alias("n_early"))
+        most = F.max(F.struct("n", "root"))
+        lists = per_root.groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_early").alias("n_early"), F.count("*").alias("n_roots"), most.alias("most"))
+        lists = lists.filter("n_roots > 1 AND n_early > 0").select("token", "n", F.col("most.root").alias("major"), F.expr("n_early <= n - most.n").alias("by_early"))
+        rows = members.join(lists, "token").withColumn("home", _home())
+        rows = rows.withColumn("wide", F.when(F.col("by_early"), F.col("early")).otherwise(F.col("root") != F.col("major")))
+        last = F.ceil(F.col("n") / BLOCK).cast("int") - 1
+        rows = rows.withColumn("block", F.explode(F.when(F.col("wide"), F.sequence(F.lit(0), last)).otherwise(F.array("home"))))
+        met = self._told(rows, forest=False).groupBy("x", "y").agg(F.first("need").alias("need"), F.count("*").alias("n"), F.min("reach").alias("reach"))
+        return met.filter("n - 1 + reach >= need").select("x", "y", "need")
 
     def _links(self, pairs: DataFrame) -> DataFrame:
         """a, b of the pairs that link."""
-        needed = stored(pairs.select(F.explode(F.array("x", "y")).alias("seq")).distinct(), "join-needed")
-        texts = self.rows.join(needed.filter("seq >= 0"), "seq").select("seq", "text")
-        with_y = pairs.join(texts.select(F.col("seq").alias("y"), F.col("text").alias("text_y")), "y")
-        with_x = with_y.join(texts.select(F.col("seq").alias("x"), F.col("text").alias("text_x")), "x")
-        return with_x.select("x", "y", "text_x", "text_y").sortWithinPartitions("x").mapInArrow(_verify(self.k, self.percent), "a long, b long")
+        traits = self.docs.select("seq", "counts")
+        pairs = pairs.join(traits.select(F.col("seq").alias("x"), F.col("counts").alias("counts_x")), "x")
+        pairs = pairs.join(traits.select(F.col("seq").alias("y"), F.col("counts").alias("counts_y")), "y")
+        pairs = stored(pairs.mapInArrow(_plausible, "x long, y long"), "join-plausible")
+        needed = stored(pairs.select(F.explode(F.array("x", "y")).alias("seq")).groupBy("seq").agg(F.count("*").alias("n")), "join-needed")
+        degree = lambda c: needed.select(F.col("seq").alias(c), F.col("n").alias(f"n_{c}"))
+        # The document of more pairs is the query; its text travels once per block of candidates.
+        turn = F.col("n_x") >= F.col("n_y")
+        blocks = F.ceil(F.greatest("n_x", "n_y") / PARTNERS)
+        pairs = pairs.join(degree("x"), "x").join(degree("y"), "y").select(
+            F.when(turn, F.col("x")).otherwise(F.col("y")).alias("q"), F.when(turn, F.col("y")).otherwise(F.col("x")).alias("c"), blocks.alias("blocks")
+        )
+        pairs = pairs.select("q", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int").alias("block"), "c")
+        texts = self.rows.join(needed.filter("n > 0"), "seq").select("seq", "text")
+        candidates = pairs.join(texts, F.col("c") == F.col("seq")).select("q", "block", "c", "text")
+        queries = pairs.select("q", "block").distinct().join(texts, F.col("q") == F.col("seq")).select("q", "block", F.lit(None).cast("long").alias("c"), "text")
+        n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        dealt = queries.union(candidates).repartition(n, "q", "block").sortWithinPartitions("q", "block", F.asc_nulls_first("c"))
+        return dealt.mapInArrow(_verify(self.k, self.percent), "a long, b long")
 
     def classes(self) -> DataFrame:
         """seq, id, size, the component's smallest id and number of rows, and whether the row is its first by id."""
