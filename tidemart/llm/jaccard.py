@@ -12,8 +12,8 @@ inverted lists. DivideSkip merges short lists and skips long ones, up to T - 1 o
 3. Of two sets that may link where they first meet, the smaller one is early there: its reach would do for a partner of
    its own size. Lists without an early member go, and only early members are compared with the others, in blocks.
    So documents alike in frequent shingles only, which stand last, are never told as pairs.
-4. A first round takes, by sketches, each member's likeliest smaller partner per list. Links give components. A second round
-   merges the lists of all pairs across components: a pair is a candidate if its count and the reach left at its
+4. `ROUNDS` rounds take, by sketches, each member's likeliest smaller partner per list outside its component. Links give
+   components. A last round merges the lists of all pairs across components: a pair is a candidate if its count and the reach left at its
    last meeting give the overlap needed. No link between different sets is lost, although groups of near copies are
    not expanded into all pairs.
 5. Candidates that counts of shingles per hash class (`CLASSES`) do not rule out are verified: texts of candidates
@@ -49,11 +49,13 @@ PERCENT = 85
 LONG_FROM = 3
 LONG_LISTS = 262_144
 STRETCH = 8_000_000
-#: Members of a list compared at a time. Longer lists are cut, and in the second round one side of the pairs goes to all blocks.
+#: Members of a list compared at a time. Longer lists are cut, and in the last round one side of the pairs goes to all blocks.
 BLOCK = 256
 CLASSES = 64
 #: Candidates of a query that go to one task with its text.
 PARTNERS = 256
+#: Rounds of likeliest pairs between components before all pairs across them.
+ROUNDS = 2
 #: Pairs of list members looked at together.
 PAIRS_AT_ONCE = 500_000
 ROWS_AT_ONCE = 20_000
@@ -385,8 +387,8 @@ def _verify(k: int, percent: int):
     return verify
 
 
-def _home():
-    return F.pmod(F.xxhash64("token", "seq"), F.ceil(F.col("n") / BLOCK)).cast("int")
+def _home(turn: int = 0):
+    return F.pmod(F.xxhash64("token", "seq", F.lit(turn)), F.ceil(F.col("n") / BLOCK)).cast("int")
 
 
 class Join:
@@ -418,10 +420,15 @@ class Join:
         heads = heads.filter("size > 0").join(self.copies, F.col("seq") == F.col("a"), "left_anti")
         self.members = stored(repeated_members(heads, percent), "join-members")
 
-        self.first = stored(self._nearest(), "join-pairs")
-        links = stored(self._links(self.first), "join-links")
-        roots = components(links)
-        labelled = self.members.join(roots, self.members["seq"] == roots["node"], "left").withColumn("root", F.coalesce("root", "seq")).drop("node")
+        labelled = self.members.withColumn("root", F.col("seq"))
+        self.first = links = None
+        for turn in range(ROUNDS):
+            near = self._nearest(labelled, turn)
+            near = stored(near.join(self.first, ["x", "y"], "left_anti") if turn else near, "join-pairs")
+            found = stored(self._links(near), "join-links")
+            self.first, links = (self.first.union(near), links.union(found)) if turn else (near, found)
+            roots = components(links)
+            labelled = self.members.join(roots, self.members["seq"] == roots["node"], "left").withColumn("root", F.coalesce("root", "seq")).drop("node")
         self.second = stored(self._across(labelled).join(self.first, ["x", "y"], "left_anti"), "join-pairs")
         self.links = links.union(stored(self._links(self.second), "join-links"))
 
@@ -434,12 +441,11 @@ class Join:
         dealt = rows.repartition(n, "token", "block").sortWithinPartitions("token", "block", "size", "seq")
         return dealt.mapInArrow(_pairs(self.percent, forest), "x long, y long, need long, reach long")
 
-    def _nearest(self) -> DataFrame:
-        """Pairs of the first round; a list's members go to blocks by hash, and pairs across blocks are left to the second."""
+    def _nearest(self, members: DataFrame, turn: int) -> DataFrame:
+        """Likeliest pairs of different roots; a list's members go to blocks by hash, others each turn, and meet there only."""
         lists = self.members.groupBy("token").agg(F.count("*").alias("n"), F.count_if("early").alias("n_early")).filter("n > 1 AND n_early > 0")
-        rows = self.members.join(lists, "token").withColumn("home", _home()).withColumn("block", F.col("home"))
-        told = self._told(rows.withColumn("root", F.col("seq")).withColumn("wide", F.lit(False)), forest=True)
-        return told.select("x", "y", "need").distinct()
+        rows = members.join(lists, "token").withColumn("home", _home(turn)).withColumn("block", F.col("home"))
+        return self._told(rows.withColumn("wide", F.lit(False)), forest=True).select("x", "y", "need").distinct()
 
     def _across(self, members: DataFrame) -> DataFrame:
         """Candidates between components: pairs of different roots whose merged lists leave room for the overlap needed.
