@@ -96,6 +96,28 @@ def test_first_per_day(spark, folder):
         assert set(rows_of(got, "k", "ms", "flag", "n")) <= set(flat)
 
 
+def test_first_per_day_with_an_order_gives_the_first_row(spark, folder):
+    batches = _batches(5)
+    flat = [r for b in batches for r in b]
+    batch, stream = _timed(spark.createDataFrame(flat, SCHEMA)), _timed(stream_of(spark, folder, batches, SCHEMA))
+    got = run(spark, folder, first_per_day_stream(stream, "k", "rt", order=["n"]))
+    want = _no_end(first_per_day(batch, ["k"], "rt", ["n"]))
+    assert rows_of(_no_end(got), "k", "ms", "flag", "n") == rows_of(want, "k", "ms", "flag", "n")
+
+
+def test_unique_visitor_query_gives_the_days_first_rows(spark, folder):
+    from registry import Tables, streams
+
+    day = "timestamp'2024-01-0{} {}'"
+    rows = [(1, 7, day.format(2, "10:00:00")), (0, 7, day.format(2, "10:00:00")), (2, 7, day.format(3, "09:00:00")), (5, 7, "null"), (4, 7, "null"),
+            (6, 8, day.format(2, "11:00:00")), (3, 8, day.format(2, "12:00:00")), (9, "null", day.format(1, "00:00:00"))]
+    values = ",".join(f"(bigint({e}), bigint({u}), {ts})" for e, u, ts in rows)
+    events = spark.sql(f"select *, 'view' as event_type, 1.0D as value, '' as props from values {values} as t(event_id, user_id, ts)")
+    events.select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value", "props").write.parquet(f"{folder}/events.parquet")
+    got = streams.stream_unique_visitor(Tables(spark, folder))
+    assert rows_of(got, "event_id", "user_id") == [(0, 7), (2, 7), (4, 7), (6, 8), (9, None)]
+
+
 def test_first_per_day_forgets_days_that_are_over(spark, folder):
     day = 86_400_000
     batches = [[("a", 19_700 * day, "0", 0)], [("a", 19_700 * day + 5, "0", 1), ("b", 19_702 * day, "0", 2)], [("b", 19_702 * day + 1, "0", 3)], [("a", 19_700 * day + 6, "0", 4)]]
