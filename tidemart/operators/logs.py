@@ -62,8 +62,11 @@ def fan_out(logs: DataFrame) -> DataFrame:
     """
     kept = OPEN in logs.columns
     extra = (lambda name: F.col(OPEN)[name]) if kept else (lambda name: None)
-    common, page = (_merged_object(c, extra(c)) for c in ("common", "page"))
-    top = extra("top")
+    if kept:
+        # Made whole once a record, behind a generator that nothing is pushed through, and not in each of its outputs.
+        fields = {c: F.col(c) for c in logs.columns} | {c: _merged_object(c, extra(c)) for c in ("common", "page")}
+        logs = logs.select(F.inline(F.array(F.struct(*(value.alias(c) for c, value in fields.items())))))
+    common, page, top = F.col("common"), F.col("page"), extra("top")
 
     def tagged(kind: str, row: Column, more: Column | None = None) -> Column:
         return F.struct(F.lit(kind).alias("record"), _merged(F.to_json(row), more).alias("value"))
@@ -98,13 +101,16 @@ def _merged(text: Column, more: Column | None) -> Column:
     if more is None:
         return text
     inner = F.substr(F.to_json(more), F.lit(2))
-    joined = F.when(text == "{}", F.concat(F.lit("{"), inner)).otherwise(F.concat(F.substr(text, F.lit(1), F.length(text) - 1), F.lit(","), inner))
-    return F.when(more.isNotNull(), joined).otherwise(text)
 
+    def joined(own: Column) -> Column:
+        both = F.when(own == "{}", F.concat(F.lit("{"), inner)).otherwise(F.concat(F.substr(own, F.lit(1), F.length(own) - 1), F.lit(","), inner))
+        return F.when(more.isNotNull(), both).otherwise(own)
 
-def _merged_object(name: str, more: Column | None) -> Column:
-    if more is None:
-        return F.col(name)
+    # The text is worked out once as a lambda's argument.
+    return F.transform(F.array(text), joined)[0]
+
+
+def _merged_object(name: str, more: Column) -> Column:
     return F.try_parse_json(_merged(F.to_json(F.col(name)), more)).alias(name)
 
 
