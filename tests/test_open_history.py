@@ -6,11 +6,13 @@ import json
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from helpers import rows_of
 from tidemart.operators.logs import fan_out
 from tidemart.plans import dim
 from tidemart.plans.traffic import repair_logs
-from tidemart.sources.text import parse_logs
+from tidemart.sources.text import _open, parse_logs
 from tidemart.streaming.sinks import drain
 from tidemart.streaming.upsert import DimensionStore
 
@@ -104,3 +106,10 @@ def test_a_replay_routes_as_the_first_run(spark, folder):
         [rows_of(s.read(spark, {"sink_table": t, "sink_columns": c, "sink_pk": ""})) for t, c in (("first", "id,x"), ("second", "id,y"), ("late", "id"))] for s in stores[1:]
     ]
     assert rows[0] == rows[1] == [[("1", "x"), ("2", "x")], [("3", "y"), ("4", "y")], [("6",)]]
+
+
+def test_open_fields_are_read_once(spark):
+    """Every field named outside of a lambda read the text again: two reads, of the layout and of the whole, are enough."""
+    rows = spark.createDataFrame([("{}",)], "value string").select(_open(F.col("value")).alias("open"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2
