@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from helpers import rows_of
+from tidemart.session import open_files
 from tidemart.sources.text import parse_changes, store_changes, stored_changes
 
 
@@ -61,3 +62,38 @@ def test_stored_without_a_shuffle(spark, folder):
     assert rows_of(stored, "table", "ts") == rows_of(changes, "table", "ts")
     # One file per task and table; rows dealt by table would lie in one each.
     assert len([name for name in stored.inputFiles() if "table=t1" in name]) == 2
+
+
+def test_rows_are_not_sorted_by_table_before_they_are_stored(spark, folder):
+    """The sort took a task's whole share of the topic through disk."""
+    store_changes(parse_changes(texts(spark, '{"table":"a","ts":1,"data":{}}', '{"table":"b","ts":1,"data":{}}')), f"{folder}/unsorted")
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [done.apply(i).physicalPlanDescription() for i in range(done.size())]
+    (plan,) = [p for p in plans if f"{folder}/unsorted" in p and "InsertIntoHadoopFsRelationCommand" in p]
+    assert "Sort" not in plan
+
+
+def test_more_tables_than_open_files(spark, folder):
+    lines = [f'{{"table":"t{i % 40}","ts":{i},"data":{{"id":"{i}"}}}}' for i in range(200)]
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    changes = parse_changes(texts(spark, *lines).coalesce(1))
+    store_changes(changes, f"{folder}/many")
+    assert rows_of(stored_changes(spark, f"{folder}/many"), "table", "ts") == rows_of(changes, "table", "ts")
+    with pytest.raises(ValueError), open_files(spark, 3):
+        assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "3"
+        raise ValueError
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_texts_of_other_tables_are_not_parsed(spark):
+    lines = [
+        '{"table":"a","ts":1,"data":{"x":"b"}}', '{"table":"b","ts":2,"data":{"x":1.50}}', '{ "data":{"table":"b"}, "table" : "a","ts":3}',
+        r'{"table":"\u0062","ts":4}', '{"table":"b","ts":5', '{"table":null,"ts":6}', '{"ts":7}', '{"table":"bb","ts":8}', '{"table":"c","ts":9}', '"b"', "",
+        r'{"table":"a","ts":10,"data":{"x":"\\"}}', '{"table":"b","table":"c","ts":11}', '{"table":"c","table":"b","ts":12}',
+    ]
+    every = parse_changes(texts(spark, *lines))
+    for tables in (["b"], ["b", "c"], ["none"]):
+        some = parse_changes(texts(spark, *lines), tables=tables)
+        assert rows_of(some, "table", "ts", "data") == rows_of(every.filter(every["table"].isin(tables)), "table", "ts", "data")
+    filters = [line for line in plan_of(parse_changes(texts(spark, *lines), tables=["b"])).splitlines() if "Filter" in line]
+    assert any("Contains" in line and "from_json" not in line for line in filters)
