@@ -233,3 +233,33 @@ def test_state_with_a_time_to_live(spark, folder, ttl, third):
     time.sleep(2)
     add(("a", 3), ("b", 2))
     assert step() == sorted([("a", 1), *third])
+
+
+def test_day_visits_take_rows_as_they_come():
+    """A data frame per key and micro-batch cost more than all else on a stream of many keys."""
+    from pyspark.sql import Row
+
+    from tidemart.streaming.ordered import EPOCH, DayVisits
+
+    class State:
+        held = None
+
+        def get(self):
+            return self.held
+
+        def update(self, new):
+            self.held = new
+
+    class Timers:
+        def getCurrentWatermarkInMs(self):
+            return 4
+
+    visits = DayVisits()
+    visits.days = State()
+    rows = [Row(day=d, us=u) for d, u in (("2024-01-02", 9_000), ("2024-01-01", 5_000), ("2024-01-02", 7_000), (None, None), ("2024-01-01", 1_000))]
+    micros = lambda out: [((r["rt"] - EPOCH).microseconds, r["day"], r["previous_day"], r["key"]) for r in out]
+    assert micros(visits.handleInputRows(("k",), iter(rows), Timers())) == [(4_000, "2024-01-01", None, "k"), (7_000, "2024-01-02", "2024-01-01", "k")]
+    assert visits.days.held == ("2024-01-02", "2024-01-01")
+    assert micros(visits.handleInputRows(("k",), iter(rows[:1]), Timers())) == []
+    late = [Row(day="2023-12-31", us=5_000), Row(day="2024-01-05", us=6_000)]
+    assert micros(visits.handleInputRows(("k",), iter(late), Timers())) == [(5_000, "2023-12-31", "2024-01-01", "k"), (6_000, "2024-01-05", "2024-01-02", "k")]
