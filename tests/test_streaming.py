@@ -6,7 +6,7 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from helpers import rows_of, run, stream_of
 from tidemart.operators.bounce import bounces
@@ -263,3 +263,17 @@ def test_day_visits_take_rows_as_they_come():
     assert micros(visits.handleInputRows(("k",), iter(rows[:1]), Timers())) == []
     late = [Row(day="2023-12-31", us=5_000), Row(day="2024-01-05", us=6_000)]
     assert micros(visits.handleInputRows(("k",), iter(late), Timers())) == [(5_000, "2023-12-31", "2024-01-01", "k"), (6_000, "2024-01-05", "2024-01-02", "k")]
+
+
+def test_a_replay_has_a_file_per_core_in_every_micro_batch(spark, folder):
+    """Two files a micro-batch left all but two cores idle while a topic was parsed."""
+    from registry import Tables
+    from registry.streams import in_time
+
+    rows = spark.range(200_000).select("id", F.timestamp_seconds(F.pmod(F.col("id") * 7919, F.lit(200_000))).alias("at"))
+    path, files = in_time(Tables(spark, folder), "per-core", rows, "at", [{"id": F.lit(-1), "at": F.lit("2100-01-01")}])
+    assert files == min(spark.sparkContext.defaultParallelism, 5) > 1
+    place = F.dense_rank().over(Window.orderBy("file_modification_time", "file_path"))
+    placed = spark.read.parquet(path).select("id", "at", "_metadata.file_modification_time", "_metadata.file_path").withColumn("batch", F.floor((place - 1) / files))
+    spans = placed.groupBy("batch").agg(F.min("at"), F.max("at"), F.count("*").alias("n")).orderBy("batch").collect()
+    assert len(spans) == 5 and all(a[2] < b[1] for a, b in zip(spans, spans[1:])) and sum(s["n"] for s in spans) == 200_001
