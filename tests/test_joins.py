@@ -135,3 +135,11 @@ def test_window_labels(spark):
     assert rows_of(got, "stt", "edt", "n") == [
         ("2024-01-01 00:00:00", "2024-01-01 00:00:10", 2), ("2024-01-01 00:00:10", "2024-01-01 00:00:20", 1)
     ]
+
+
+def test_a_shuffle_is_cut_by_size_not_by_a_fixed_number(spark):
+    """With a fixed number of partitions, what a task holds grows with the input."""
+    rows = spark.range(4_000_000).select(F.expr("uuid()").alias("key"))
+    counted = rows.groupBy("key").count().select(F.spark_partition_id().alias("part")).groupBy("part").count()
+    parts = counted.count()
+    assert parts > 4 and spark.range(100).groupBy("id").count().select(F.spark_partition_id().alias("part")).distinct().count() <= 4

@@ -17,6 +17,9 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Shuffles are cut fine and put together to partitions of the advisory size, so that a task's share does not grow with the input.
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "800",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16MB",
     # Catalyst only splits a skewed join if that adds no shuffle; a hot key costs more than a shuffle.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
