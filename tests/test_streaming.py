@@ -277,3 +277,24 @@ def test_a_replay_has_a_file_per_core_in_every_micro_batch(spark, folder):
     placed = spark.read.parquet(path).select("id", "at", "_metadata.file_modification_time", "_metadata.file_path").withColumn("batch", F.floor((place - 1) / files))
     spans = placed.groupBy("batch").agg(F.min("at"), F.max("at"), F.count("*").alias("n")).orderBy("batch").collect()
     assert len(spans) == 5 and all(a[2] < b[1] for a, b in zip(spans, spans[1:])) and sum(s["n"] for s in spans) == 200_001
+
+
+def test_first_by_key_keeps_its_state_on_the_heap(spark, folder, monkeypatch):
+    """A state row in RocksDB cost more than all else in this stream; the setting is the session's own again afterwards."""
+    import glob
+
+    import registry
+    from registry import streams
+    from tidemart.session import ROCKSDB
+
+    registry.load()
+    monkeypatch.setattr(streams, "work_dir", lambda spark, name: f"{folder}/{name}")
+    lines = spark.range(60).selectExpr(
+        "id AS l_orderkey", "id AS l_partkey", "id AS l_suppkey", "1 AS l_linenumber", "timestamp_ntz'1996-01-01 00:00:00' AS l_shipdate"
+    )
+    lines.write.parquet(f"{folder}/lineitem.parquet")
+    got = [r[0] for r in registry.QUERIES["stream_first_by_key"](spark, folder).select("id").collect()]
+    assert len(got) == len(set(got)) == 60
+    state = glob.glob(f"{folder}/first-by-key/checkpoint/state/**", recursive=True)
+    assert any(f.endswith(".delta") for f in state) and not any(f.endswith(".zip") for f in state)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == ROCKSDB
