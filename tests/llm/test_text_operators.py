@@ -437,3 +437,37 @@ def test_words_that_cancel_in_polynomials_stay_apart(docs):
     assert all(r.n_removed == 0 for r in substrings.Repeats(docs(twice)).removed().collect())
     same = [(i, f"{prose(5, 910 + i)} {front} {one} {back} {prose(5, 920 + i)}") for i in range(2)]
     assert all(r.n_removed == 41 for r in substrings.Repeats(docs(same)).removed().collect())
+
+
+def test_repeats_keep_no_anchors_once_repeated_ones_are_known(spark, monkeypatch, folder):
+    """Anchors lay beside the largest shuffles of op7 until its end, a third of all it stored."""
+    import os
+
+    from tidemart.llm import session, substrings
+
+    monkeypatch.setattr(session, "work_dir", lambda spark, name: f"{folder}/{name}")
+    words = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, words + " a b"), (2, "c " + words), (3, "x"), (None, None)], "doc_id long, text string")
+    found = substrings.Repeats(docs)
+    assert "anchors" not in found.docs.columns and not os.path.exists(f"{folder}/repeat-scan")
+    got = {r["id"]: (r["n_words"], r["n_removed"]) for r in found.removed().collect()}
+    assert got == {1: (82, 80), 2: (81, 80), 3: (1, 0), None: (0, 0)}
+
+
+def test_texts_are_filtered_before_the_shuffle_by_any_number_of_ids(spark, folder):
+    """Beyond 10 MB of ids Spark made no filter, and all texts went through the shuffle."""
+    from pyspark.sql import functions as F
+
+    from tidemart.llm.session import prepared
+
+    prepared(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        spark.range(1_500_000).select(F.xxhash64("id").alias("seq"), F.xxhash64("id", "id").alias("n")).write.parquet(f"{folder}/ids")
+        spark.range(1_000).select(F.xxhash64("id").alias("seq"), F.repeat(F.lit("text "), 20).alias("text")).write.parquet(f"{folder}/texts")
+        ids, texts = spark.read.parquet(f"{folder}/ids"), spark.read.parquet(f"{folder}/texts")
+        joined = texts.join(ids.filter("n % 2 = 0"), "seq").select("seq", "text", "n")
+        assert "might_contain" in joined._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
     # A join of all texts with some of their ids drops most texts before the shuffle, whatever their size.
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+    # However large the table of ids is; the filter itself is bounded by Spark, and by default made for a million ids.
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "100g",
+    "spark.sql.optimizer.runtime.bloomFilter.expectedNumItems": "4000000",
     # A state store per partition must not reserve disk it does not need.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }

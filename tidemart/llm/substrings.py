@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemart.llm import words as W
-from tidemart.llm.session import numbered, prepared, stored, table
+from tidemart.llm.session import drop_folders, numbered, prepared, recording, stored, table
 
 LENGTH = 35
 ANCHOR = 18
@@ -84,11 +84,12 @@ def _scan(length: int, anchor: int):
 def _folded(keys: np.ndarray, seqs: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
     """The first occurrence of each key stands for the task; further ones are known to repeat and need no company."""
     order = np.argsort(keys, kind="stable")
-    keys, seqs, places = keys[order], seqs[order], places[order]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    group = np.cumsum(first) - 1
-    known = (np.bincount(group) > 1)[group] if len(keys) else np.zeros(0, bool)
+    first, known = np.ones(len(keys), bool), np.zeros(len(keys), bool)
+    opens = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]])) if len(keys) else first
+    group = np.cumsum(opens) - 1
+    # Rows stay in the order of documents, whose numbers and places the shuffle compresses better than scattered ones.
+    first[order] = opens
+    known[order] = np.bincount(group)[group] > 1
     salt = np.where(first, 0, 1 + (seqs + places) % 1021).astype(np.int32)
     columns = [keys.view(np.int64), salt, seqs, places.astype(np.int32), known]
     return pa.record_batch([pa.array(c) for c in columns], ["key", "salt", "seq", "place", "known"])
@@ -173,20 +174,24 @@ class Repeats:
     def __init__(self, docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR) -> None:
         if not 1 <= anchor <= length:
             raise ValueError("an anchor must fit into the window")
-        prepared(docs.sparkSession)
+        spark = prepared(docs.sparkSession)
         self.length = length
         row = F.col("row")
         self.rows = numbered(docs.select(id, text)).select("seq", row[id].cast("long").alias("id"), row[text].cast("binary").alias("text"))
         scanned = self.rows.mapInArrow(
             _scan(length, anchor), "seq long, id long, n_words long, words_digest binary, sha string, anchors array<long>, places array<int>"
         )
-        self.docs = stored(scanned, "repeat-docs")
+        with recording() as made:
+            scanned = stored(scanned, "repeat-scan")
+        self.docs = stored(scanned.drop("anchors", "places"), "repeat-docs")
         same = self.docs.filter(f"n_words >= {length}").groupBy("words_digest").agg(F.min("seq").alias("first"), F.count("*").alias("copies"))
         self.same = stored(same.filter("copies > 1"), "repeat-copies")
-        seeds = self.docs.select("seq", "anchors", "places").mapInArrow(_seed_places, _PLACES)
+        seeds = scanned.select("seq", "anchors", "places").mapInArrow(_seed_places, _PLACES)
         others = self.docs.join(self.same.filter("copies > 1"), "words_digest").filter("seq <> first").select(F.col("seq").alias("other"))
         found = _repeated(seeds)
         self.seeds = stored(found.join(others, found["seq"] == others["other"], "left_anti"), "repeat-seeds")
+        # Anchors are half of what is kept, and the largest shuffles are still to come.
+        drop_folders(spark, made)
         windows = self._texts(self.seeds).mapInArrow(_windows(length, anchor), _PLACES)
         self.windows = stored(_repeated(windows), "repeat-windows")
 
@@ -197,7 +202,7 @@ class Repeats:
     def removed(self) -> DataFrame:
         """id, n_words, n_removed, kept_sha256 of every document."""
         cut = self._texts(self.windows).mapInArrow(_remove(self.length), "seq long, n_removed long, sha_kept string")
-        rows = self.docs.drop("anchors", "places").join(self.same.select("words_digest", "copies"), "words_digest", "left").join(cut, "seq", "left")
+        rows = self.docs.join(self.same.select("words_digest", "copies"), "words_digest", "left").join(cut, "seq", "left")
         copy = F.col("copies").isNotNull() & (F.col("n_words") >= self.length)
         return rows.select(
             F.col("id"), "n_words",
