@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from helpers import rows_of, run, stream_of
 from tidemart.plans import tools, trade, traffic
+from tidemart.operators.joins import bounded_join
 from tidemart.operators.windows import tumble
 from tidemart.sources.text import parse_changes, parse_logs
 from tidemart.streaming.sinks import drain, to_files
@@ -165,6 +166,40 @@ def test_traffic_windows(spark, folder, job):
     assert want.count() >= 1
 
 
+def test_a_joined_partition_keeps_one_store_and_commits_its_changes(spark, folder):
+    """Four stores a partition, each written whole with every micro-batch, cost more than the joins themselves."""
+    import glob
+
+    side = lambda name: stream_of(spark, folder, [[(1, 5)], [(2, 6)], [(3, 4_000_000_000)]], f"{name}k int, {name}s long").withColumn(
+        f"{name}t", F.timestamp_seconds(f"{name}s")
+    ).withWatermark(f"{name}t", "2 seconds")
+    got = run(spark, folder, bounded_join(side("a"), side("b"), [("ak", "bk")], "inner", "at", "bt", 5.0))
+    assert rows_of(got, "ak", "bs") == [(1, 5), (2, 6), (3, 4_000_000_000)]
+    stores = glob.glob(f"{folder}/out*-check/state/0/[0-9]*/*")
+    assert any(f.endswith(".changelog") for f in stores)
+    assert not any(f.rsplit("/", 1)[-1].startswith(("left-", "right-")) for f in stores)
+
+
+def test_texts_of_the_order_topic_are_built_once(spark, folder, monkeypatch):
+    from registry import Tables, order_streams
+
+    class Seen(Exception):
+        pass
+
+    def replay(t, name, rows, *_):
+        raise Seen(rows)
+
+    monkeypatch.setattr(order_streams, "in_time", replay)
+    orders = "id AS o_orderkey, id AS o_custkey, 'O' AS o_orderstatus, timestamp_ntz'1996-01-01' AS o_orderdate"
+    lines = "id AS l_orderkey, id AS l_partkey, id AS l_suppkey, 1 AS l_linenumber, 2.0D AS l_quantity, 3.0D AS l_extendedprice, 0.1D AS l_discount, 0.1D AS l_tax, 'R' AS l_returnflag, 'F' AS l_linestatus, timestamp_ntz'1996-01-01' AS l_shipdate"
+    spark.range(3).selectExpr(*orders.split(", ")).write.parquet(f"{folder}/orders.parquet")
+    spark.range(3).selectExpr(*lines.split(", ")).write.parquet(f"{folder}/lineitem.parquet")
+    with pytest.raises(Seen) as seen:
+        order_streams.order_topic(Tables(spark, folder))
+    rows = seen.value.args[0]
+    assert rows.count() == 18 and all("order-topic-texts" in f for f in rows.inputFiles())
+
+
 def test_visitor_repair_and_channel_window(spark, folder):
     """The log layer as separate streams, each reading what the one before wrote."""
     table, stream = both(spark, folder, LOGS)
